@@ -43,22 +43,17 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join ``left`` (many rows a key) to ``right`` (one row a key) on ``key`` without a hot task.
+def lookup_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """Inner join of ``left`` (many rows a key) with ``right`` (one row a key) on ``key``, with no hot task.
 
-    Keys with more than 1/HOT_SHARE of the rows of ``left`` number fewer than HOT_SHARE, so their
-    rows of ``right`` are broadcast; the others are shuffled, and none of them holds more than that share.
-    ``left`` is read twice and should be stored.
+    Column ``rows`` of ``right`` says how many rows of ``left`` have the key; ``total`` is the sum. Keys with more than
+    1/HOT_SHARE of all rows number fewer than HOT_SHARE, so their rows of ``right`` are broadcast; the others are
+    shuffled, and none of them holds more than that share. Both sides are read twice and should be stored.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.count()
-    hot = counts.filter(F.col("_n") > max(1, total // HOT_SHARE)).select(key)
-    hot_right = right.join(F.broadcast(hot), key, "left_semi").withColumn("_hot", F.lit(True))
-    keys = hot_right.select(key, "_hot")
-    marked = left.join(F.broadcast(keys), key, "left")
-    cold = marked.filter(F.col("_hot").isNull()).drop("_hot").join(right, key, how)
-    warm = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(hot_right.drop("_hot")), key, "inner")
-    return cold.unionByName(warm)
+    limit = max(1, total // HOT_SHARE)
+    hot = F.broadcast(right.filter(F.col(rows) > limit))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.filter(F.col(rows) <= limit), key)
+    return cold.unionByName(left.join(hot, key))
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:

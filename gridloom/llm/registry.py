@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import op5_bpe
+from gridloom.llm import op1_exact_dedup, op5_bpe, op7_url_filter, op9_packing, op10_licenses
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_exact_dedup": op1_exact_dedup.query,
         "op5_bpe": op5_bpe.query,
+        "op7_url_filter": op7_url_filter.query,
+        "op9_packing": op9_packing.query,
+        "op10_licenses": op10_licenses.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_exact_dedup": op1_exact_dedup.SQL,
+        "op7_url_filter": op7_url_filter.SQL,
+        "op10_licenses": op10_licenses.sql(),
+    }
