@@ -68,3 +68,18 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2
             held += n
         if len(lengths) > start:
             yield batch.slice(start)
+
+
+def sample_by(rows: DataFrame, label: str, each: int, labels: int) -> DataFrame | None:
+    """About ``each`` rows of every label, by a threshold on a hash of doc_id; None if there are no rows.
+
+    Raises if there are more than ``labels`` labels, so that the sample is bounded by their product.
+    """
+    counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(labels + 1).collect()}
+    if len(counts) > labels:
+        raise ValueError(f"more than {labels} labels")
+    if not counts:
+        return None
+    scale = 1 << 20
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(scale, -(-scale * each // n)))))
+    return rows.filter(F.expr(f"pmod(xxhash64(doc_id, 'sample'), {scale})") < F.element_at(share, F.col(label)))
