@@ -9,10 +9,10 @@ from functools import lru_cache
 
 import regex
 
-from gridloom.llm.wordcache import PieceCache, pieces
+from gridloom.llm.wordcache import LONGEST_KEPT, piece_key, piece_text, pieces
 
-#: Encoded pieces, and encoded matches of the pre-tokenizer's pattern, that a worker keeps at most.
-PIECES_KEPT, WORDS_KEPT = 900_000, 600_000
+#: Encoded pieces that a worker keeps at most.
+PIECES_KEPT = 2_000_000
 #: The pattern of byte-level pre-tokenizers, and where all the libraries agree on letters and digits.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = regex.compile(r"[\n -~À-ÖØ-öø-ÿ]*").fullmatch
@@ -24,8 +24,25 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _ids(encodings) -> list[bytes]:
-    return [array("I", e.ids).tobytes() for e in encodings]
+class _Kept(dict):
+    """Text -> bytes of its ids, computed when first asked for. Once half of ``limit`` is held, the rest is forgotten but for what is asked for again."""
+
+    def __init__(self, compute, limit: int):
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(key) <= LONGEST_KEPT:
+            self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > self.limit // 2:
+            self.old = dict(self)
+            self.clear()
 
 
 class TextEncoder:
@@ -42,37 +59,42 @@ class TextEncoder:
         pre, normal = form.get("pre_tokenizer") or {}, form.get("normalizer")
         split = next((x["pattern"]["Regex"] for x in pre.get("pretokenizers", ()) if x["type"] == "Split" and x.get("invert") and x["behavior"] == "Removed" and "Regex" in x["pattern"]), None)
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and normal is None:
-            self._setup(BYTE_LEVEL, None, str)
+            self._setup(BYTE_LEVEL, piece_text, piece_key, str)
             self.cut = pieces
         elif split and r"\s" in split and normal and any(x["type"] == "Lowercase" for x in normal.get("normalizers", ())):
-            self._setup(split, str, str.lower)  # of plain letters; others are lowered by the library
+            self._setup(split, str, str, str.lower)  # of plain letters; others are lowered by the library
             self.cut = lambda t: [x for x in (t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if x]
         else:  # nothing is known of where this tokenizer cuts
             self.cut = lambda t: None
+            self.pieces = None
 
-    def _setup(self, pattern: str, to_text, lower) -> None:
+    def _setup(self, pattern: str, to_text, to_key, lower) -> None:
         match = regex.compile(pattern).findall
-        words = PieceCache(self.whole, WORDS_KEPT, str)
+        whole = self.whole
 
-        def encode(texts: list[str]) -> list[bytes]:
-            matches = [match(lower(t)) if PLAIN(t) else None for t in texts]
-            known = words.fill({m for own in matches if own for m in own})
-            odd = iter(self.whole([t for t, own in zip(texts, matches, strict=True) if own is None]))
-            return [next(odd) if own is None else b"".join(map(known.__getitem__, own)) for own in matches]
+        def compute(key: str) -> bytes:
+            text = to_text(key)
+            if key.isalpha() or not PLAIN(text):
+                return whole(text)
+            if key[-1:] in (".", ",") and key[:-1].isalpha():  # by far the most of the others
+                return kept(key[:-1]) + kept(to_key(key[-1]))
+            parts = match(lower(text))
+            return b"".join(map(kept, map(to_key, parts))) if len(parts) > 1 else whole(text)
 
-        self.cache = PieceCache(encode, PIECES_KEPT, to_text) if to_text else PieceCache(encode, PIECES_KEPT)
+        self.pieces = _Kept(compute, PIECES_KEPT)
+        kept = self.pieces.__getitem__
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return _ids(self.tokenizer.encode_batch(texts, add_special_tokens=False)) if texts else []
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        keys = set()
-        for own in cut:
-            if own:
-                keys.update(own)
-        get = self.cache.fill(keys).__getitem__ if keys else None
-        return [self.whole([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, cut, strict=True)]
+        out = []
+        for text in texts:
+            cut = self.cut(text)
+            out.append(self.whole(text) if cut is None else b"".join(map(self.pieces.__getitem__, cut)))
+        if self.pieces is not None:
+            self.pieces.trim()
+        return out
 
 
 @lru_cache(maxsize=2)

@@ -38,6 +38,11 @@ def piece_text(key: str) -> str:
     return key if key[:1] == "\n" else " " + key
 
 
+def piece_key(text: str) -> str:
+    """A key of which this is the piece."""
+    return text[1:] if text[:1] == " " and text[1:2] != "\n" else "\n\n" + text
+
+
 class PieceCache:
     """key -> bytes of its ids. Holds ``limit`` keys at most and starts afresh beyond; ``encode`` gets the texts of missing keys."""
 
