@@ -84,6 +84,24 @@ def lower_index(lat: Column, lon: Column) -> Column:
     return _shl(spread(row_word(lat)), 1).bitwiseOR(spread(column_word(lon)))
 
 
+def _spread(x: int) -> int:
+    return sum((x >> i & 1) << 2 * i for i in range(16))
+
+
+#: Where invalid positions go.
+MARKER_TILE = (_spread((MARKER_LAT + LAT_SHIFT) >> 16) << 1 | _spread(MARKER_LON >> 16)) ^ 1 << 30
+MARKER_LOWER = _spread((MARKER_LAT + LAT_SHIFT) & 0xFFFF) << 1 | _spread(MARKER_LON & 0xFFFF)
+
+
+def place_tile(lat: Column, lon: Column) -> Column:
+    """Tile of any position. What is tested is the position itself, so that the expression stays small."""
+    return F.when(is_valid(lat, lon), tile_index(lat, lon)).otherwise(F.lit(MARKER_TILE))
+
+
+def place_lower(lat: Column, lon: Column) -> Column:
+    return F.when(is_valid(lat, lon), lower_index(lat, lon)).otherwise(F.lit(MARKER_LOWER))
+
+
 def coarse(index: Column) -> Column:
     """Region of 16 by 16 tiles, without the compound bit."""
     return _band(index, 0x7FFFFF00)
@@ -113,38 +131,46 @@ def tile_west(index: Column) -> Column:
     return _shl(upper_column(index) - F.lit(1 << 15), 16)
 
 
+#: What ``corners`` gives.
+CORNERS = ("row_lo", "row_hi", "col_lo", "col_hi", "compound", "anywhere")
+#: Bits of rows and columns, the compound bit's place included, in which corners are added up.
+ROW_WORD, COLUMN_WORD = 0xAAAAAAAA, 0x55555555
+
+
+def _plus(a: Column, b: Column | int, word: int) -> Column:
+    """Sum of two numbers that are spread over the bits of ``word``, modulo its size: the bits between pass carries on."""
+    return _band(a.bitwiseOR(F.lit(~word & 0xFFFFFFFF)) + (F.lit(b) if isinstance(b, int) else b), word)
+
+
 def corners(index: Column) -> dict[str, Column]:
-    """Lowest and highest row and column bits of an index's area, for a fold; ``anywhere`` if it has no bounds."""
+    """Lowest and highest row and column bits of an index's area, whether it is compound, and whether it has no bounds."""
     is_compound = _band(index, COMPOUND) != 0
-    row_lo, row_hi, col_lo, col_hi = (_band(index, m) for m in (ROW_BITS, ROW_BITS, COLUMN_BITS, COLUMN_BITS))
-    out = {"row_lo": F.when(~is_compound, row_lo), "row_hi": F.when(~is_compound, row_hi), "col_lo": F.when(~is_compound, col_lo), "col_hi": F.when(~is_compound, col_hi)}
+    out = {name: F.when(~is_compound, _band(index, word)) for name, word in zip(CORNERS[:4], (ROW_BITS, ROW_BITS, COLUMN_BITS, COLUMN_BITS), strict=True)}
     for level in LEVELS[:-1]:
-        step = level_step(level)
-        keep = ~((1 << 2 * step) - 1) & 0x7FFFFFFF
-        rows, columns, reach = keep & ROW_BITS, keep & COLUMN_BITS, (1 << step + 1) - 1
-        has = _band(index, level) != 0
-        south, west = _band(index, rows), _band(index, columns)
-        north = _shl(spread(upper_row(south) + F.lit(reach)), 1)
-        east = spread(upper_column(west) + F.lit(reach))
-        for name, value in (("row_lo", south), ("row_hi", north), ("col_lo", west), ("col_hi", east)):
-            out[name] = out[name].when(has, value)
+        step, has = level_step(level), _band(index, level) != 0
+        below, reach = (1 << 2 * step) - 1, (1 << 2 * step + 2) - 1
+        for axis, bits, word in (("row", ROW_BITS, ROW_WORD), ("col", COLUMN_BITS, COLUMN_WORD)):
+            low = _band(index, bits & ~below)
+            out[f"{axis}_lo"] = out[f"{axis}_lo"].when(has, low)
+            out[f"{axis}_hi"] = out[f"{axis}_hi"].when(has, _plus(low, word & reach, word))
     return out | {"compound": is_compound, "anywhere": is_compound & (_band(index, 0x7F) == 0)}
 
 
 def extent_index(first: Column, row_lo: Column, row_hi: Column, col_lo: Column, col_hi: Column) -> Column:
-    """Index of a box of row and column bits (as in ``corners``) whose first part has index ``first``. Null bounds give NO_POSITION."""
-    rows = (upper_row(row_lo), upper_row(row_hi))
-    cols = (upper_column(col_lo), upper_column(col_hi))
+    """Index of a box of row and column bits whose first part has index ``first``; NO_POSITION for a null box.
+
+    A box fits a level if on both axes its aligned ends are the same or neighbours.
+    """
     out = F.when(row_lo.isNull(), F.lit(NO_POSITION)).when((row_lo == row_hi) & (col_lo == col_hi), first)
     for level in LEVELS[:-1]:
         step = level_step(level)
-        mask, bound = 0xFFFF << step & 0xFFFF, 1 << step + 1
-        fits = None
-        for low, high in (rows, cols):
-            within = _band(_band(high, mask) - _band(low, mask), 0xFFFFFFFF) < bound
-            fits = within if fits is None else fits & within
-        square = ~((1 << 2 * step) - 1) & 0xFFFFFFFF
-        out = out.when(fits, _band(row_lo.bitwiseOR(col_lo), square).bitwiseOR(F.lit(COMPOUND | level)))
+        below = (1 << 2 * step) - 1
+        fits = []
+        for low, high, word in ((row_lo, row_hi, ROW_WORD), (col_lo, col_hi, COLUMN_WORD)):
+            kept = word & ~below
+            a, b = _band(low, kept), _band(high, kept)
+            fits.append((a == b) | ((a < b) & (b == _plus(a, word & (1 << 2 * step + 2) - 1 & ~below, kept))))
+        out = out.when(fits[0] & fits[1], _band(row_lo.bitwiseOR(col_lo), ~below & 0xFFFFFFFF).bitwiseOR(F.lit(COMPOUND | level)))
     return out.otherwise(F.lit(ANYWHERE))
 
 

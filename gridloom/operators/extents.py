@@ -10,9 +10,7 @@ from gridloom.functions import position as P
 
 def placed(nodes: DataFrame) -> DataFrame:
     """nodes (id, lat, lon, ...) with the tile and the position in it; invalid positions go to the marker's."""
-    lat, lon = P.stored_lat(F.col("lat"), F.col("lon")), P.stored_lon(F.col("lat"), F.col("lon"))
-    out = nodes.withColumns({"lat_": lat, "lon_": lon})
-    return out.withColumns({"tile": P.tile_index(F.col("lat_"), F.col("lon_")), "lower": P.lower_index(F.col("lat_"), F.col("lon_"))}).drop("lat_", "lon_")
+    return nodes.withColumns({"tile": P.place_tile(F.col("lat"), F.col("lon")), "lower": P.place_lower(F.col("lat"), F.col("lon"))})
 
 
 def located_refs(refs: DataFrame, places: DataFrame) -> DataFrame:
@@ -24,7 +22,7 @@ def way_index(ways: DataFrame, located: DataFrame) -> DataFrame:
     """(id, idx) of every way: minima and maxima of row and column bits, summed up before the shuffle."""
     rows, columns = F.col("tile").bitwiseAND(F.lit(P.ROW_BITS)), F.col("tile").bitwiseAND(F.lit(P.COLUMN_BITS))
     boxes = located.groupBy(F.col("way_id").alias("id")).agg(F.min(rows).alias("row_lo"), F.max(rows).alias("row_hi"), F.min(columns).alias("col_lo"), F.max(columns).alias("col_hi"), F.min("tile").alias("first"))
-    return ways.select("id").join(boxes, "id", "left").select("id", P.extent_index(*(F.col(c) for c in ("first", "row_lo", "row_hi", "col_lo", "col_hi"))).alias("idx"))
+    return ways.select("id").join(boxes, "id", "left").select("id", P.extent_index(*(F.col(c) for c in ("first", *P.CORNERS[:4]))).alias("idx"))
 
 
 def way_geometry(located: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -42,9 +40,9 @@ def member_values(members: DataFrame, places: DataFrame, indexes: DataFrame) ->
 
 def relation_index(relations: DataFrame, values: DataFrame) -> DataFrame:
     """(id, idx): members folded in order, since near the date line the order decides. Corners are computed before the fold."""
-    parts = values.filter("value is not null").select("relation_id", "pos", "value", *(c.alias(n) for n, c in P.corners(F.col("value")).items()))
-    names = ("row_lo", "row_hi", "col_lo", "col_hi", "compound", "anywhere")
-    listed = parts.groupBy(F.col("relation_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("pos", "value", *names))).alias("parts"))
+    parts = values.select("relation_id", "pos", "value", *(c.alias(n) for n, c in P.corners(F.col("value")).items()))
+    names = P.CORNERS
+    listed = parts.groupBy(F.col("relation_id").alias("id")).agg(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("pos", "value", *names)))).alias("parts"))
 
     def widen(low: str, high: str):
         """Plain parts below the box don't also raise it."""
@@ -56,10 +54,10 @@ def relation_index(relations: DataFrame, values: DataFrame) -> DataFrame:
         return both
 
     rows, columns = widen("row_lo", "row_hi"), widen("col_lo", "col_hi")
-    first = F.col("parts")[0]
+    first = F.get(F.col("parts"), F.lit(0))
     start = F.struct(*(first[n].alias(n) for n in names[:4]), first["anywhere"].alias("anywhere"))
     fold = lambda acc, x: F.struct(*rows(acc, x), *columns(acc, x), (acc["anywhere"] | x["anywhere"]).alias("anywhere"))
-    boxes = listed.select("id", F.col("parts")[0]["value"].alias("first"), F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), start, fold).alias("box"))
+    boxes = listed.select("id", first["value"].alias("first"), F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), start, fold).alias("box"))
     index = F.when(F.col("box.anywhere"), F.lit(P.ANYWHERE)).otherwise(P.extent_index(F.col("first"), *(F.col(f"box.{n}") for n in names[:4])))
     return relations.select("id").join(boxes.select("id", index.alias("idx")), "id", "left").select("id", F.coalesce("idx", F.lit(P.NO_POSITION)).alias("idx"))
 

@@ -1,11 +1,17 @@
-"""Queries of the graph engine, and SQL for them."""
+"""Queries of the graph engine, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+
+from gridloom.plans import formats, graph, service
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return graph.QUERIES | service.QUERIES | formats.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return graph.SQL | service.SQL | formats.SQL
