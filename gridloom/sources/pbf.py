@@ -340,8 +340,8 @@ def encode(elements: list[tuple], timestamp: int | None = None, per_block: int =
     header = _field(4, b"OsmSchema-V0.6") + _field(4, b"DenseNodes") + (_field(32, timestamp) if timestamp is not None else b"")
     out = [_blob(HEADER_BLOB, header, raw)]
     for start in range(0, len(elements), per_block):
-        texts: dict[str, int] = {"": 0}
-        number = lambda s: texts.setdefault(s, len(texts))  # noqa: B023, E731
+        texts: dict[str, int] = {}
+        number = lambda s: texts.setdefault(s, len(texts) + 1)  # noqa: B023, E731  string 0 ends a dense node's tags
         groups = b""
         part = elements[start : start + per_block]
         nodes = [e for e in part if e[0] == 1]
@@ -356,6 +356,6 @@ def encode(elements: list[tuple], timestamp: int | None = None, per_block: int =
             elif e[0] == 3:
                 members = _packed(8, [number(r) for _, _, r in e[5]]) + _packed(9, _deltas([i for _, i, _ in e[5]])) + _packed(10, [k - 1 for k, _, _ in e[5]])
                 groups += _field(2, _field(4, _field(1, e[1]) + tags + members))
-        table = b"".join(_field(1, t.encode()) for t in texts)
+        table = b"".join(_field(1, t.encode()) for t in ("", *texts))
         out.append(_blob(DATA_BLOB, _field(1, table) + groups, raw))
     return b"".join(out)
