@@ -119,17 +119,19 @@ def classes(docs: DataFrame, largest: bool = True, trie_bytes: int = TRIE_BYTES,
     if total_bytes is None:
         total_bytes = own.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     parts = own.mapInArrow(partial(_fold, largest=largest, limit=trie_bytes), CLASS + ", key binary")
-    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total_bytes // owner_bytes)
-    done = None
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners, limit, done = max(least, total_bytes // owner_bytes), trie_bytes, None
     while True:
         dealt = parts.repartition(owners, "n_bytes", "digest")
-        found = stored(dealt.mapInArrow(partial(_own, largest=largest, limit=trie_bytes), CLASS + ", key binary"), "classes")
+        found = stored(dealt.mapInArrow(partial(_own, largest=largest, limit=limit), CLASS + ", key binary"), "classes")
         ended = found.filter(F.col("key").isNull()).drop("key")
         done = ended if done is None else done.unionByName(ended)
         parts = found.filter(F.col("key").isNotNull())
-        if parts.isEmpty():
+        left = parts.agg(F.sum("n_bytes")).head()[0]
+        if left is None:
             return done
-        owners *= 3
+        # what was given up is dealt by itself; the limit grows so that a text longer than it finds a place
+        owners, limit = max(least, left // owner_bytes), 2 * limit
 
 
 def exact_duplicates(docs: DataFrame, largest: bool = True, trie_bytes: int = TRIE_BYTES, owner_bytes: int = OWNER_BYTES) -> DataFrame:
