@@ -20,7 +20,7 @@ from gridloom.llm.common import lookup_join, small_batches, stored, table
 from gridloom.llm.trie import PatriciaTrie
 
 #: Bytes that a task's trie may take, and bytes of text dealt to an owner.
-TRIE_BYTES, OWNER_BYTES = 96 << 20, 48 << 20
+TRIE_BYTES, OWNER_BYTES = 48 << 20, 24 << 20
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: A class or a part of one: its digest, length, the identifier that stays, its rows, and how many of them have that identifier.
 CLASS = "digest binary, n_bytes long, keep_id long, group_size long, keep_rows long"

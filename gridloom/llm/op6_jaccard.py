@@ -32,7 +32,7 @@ from gridloom.llm.shingles import HASH_BITS, WORDS, shingle_sets
 
 PERCENT = 75
 #: Hashes in a chunk and in a block, about; a hash that more documents of a chunk have is sent without their numbers.
-CHUNK, BLOCK, OFTEN = 2_000_000, 1_000_000, 64
+CHUNK, BLOCK, OFTEN = 700_000, 1_000_000, 64
 #: Bytes of text for each bucket, and buckets at most.
 BUCKET_BYTES, BUCKETS = 4 << 20, 1 << 12
 PACKED = "chunk long, bucket int, n int, data binary, numbers binary, counts binary"

@@ -12,7 +12,7 @@ import regex
 from gridloom.llm.wordcache import LONGEST_KEPT, piece_key, piece_text, pieces
 
 #: Encoded pieces that a worker keeps at most.
-PIECES_KEPT = 2_000_000
+PIECES_KEPT = 1_000_000
 #: The pattern of byte-level pre-tokenizers, and where all the libraries agree on letters and digits.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = regex.compile(r"[\n -~À-ÖØ-öø-ÿ]*").fullmatch
