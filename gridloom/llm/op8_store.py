@@ -27,6 +27,8 @@ from gridloom.llm.common import lookup_join, shared_path, small_batches, stored,
 from gridloom.llm.tokens import encoder, vocabulary
 
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"
+#: Encoded pieces that a worker keeps: this tokenizer's words take longest to encode.
+PIECES_KEPT = 2_000_000
 #: Ids in a chunk: at least (but for a document's last), about, and at most.
 LEAST, ABOUT, MOST = 64, 256, 1024
 #: Ids that the rolling hash sees.
@@ -67,7 +69,7 @@ def cuts(start: int, end: int, candidates: np.ndarray) -> list[int]:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    own = encoder(path)
+    own = encoder(path, PIECES_KEPT)
     end = int(end_id).to_bytes(4, "little")
     width = width_of(path)
     sent: set[bytes] = set()
@@ -166,7 +168,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def width_of(path: str) -> int:
-    return 2 if encoder(path).tokenizer.get_vocab_size() <= 1 << 16 else 4
+    return 2 if encoder(path, PIECES_KEPT).tokenizer.get_vocab_size() <= 1 << 16 else 4
 
 
 def write_store(docs: DataFrame, out: str, path: str | None = None, end_id: int = END_ID) -> None:

@@ -11,7 +11,7 @@ import regex
 
 from gridloom.llm.wordcache import LONGEST_KEPT, piece_key, piece_text, pieces
 
-#: Encoded pieces that a worker keeps at most.
+#: Encoded pieces that a worker keeps at most, where an operator doesn't say otherwise.
 PIECES_KEPT = 1_000_000
 #: The pattern of byte-level pre-tokenizers, and where all the libraries agree on letters and digits.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,7 +48,8 @@ class _Kept(dict):
 class TextEncoder:
     """Texts to bytes of their ids (little-endian, unsigned, 32 bits), equal to what the library gives for each whole text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = PIECES_KEPT):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -81,7 +82,7 @@ class TextEncoder:
             parts = match(lower(text))
             return b"".join(map(kept, map(to_key, parts))) if len(parts) > 1 else whole(text)
 
-        self.pieces = _Kept(compute, PIECES_KEPT)
+        self.pieces = _Kept(compute, self.kept)
         kept = self.pieces.__getitem__
 
     def whole(self, text: str) -> bytes:
@@ -98,5 +99,5 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> TextEncoder:
-    return TextEncoder(path)
+def encoder(path: str, kept: int = PIECES_KEPT) -> TextEncoder:
+    return TextEncoder(path, kept)
