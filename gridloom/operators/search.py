@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import position as P
 
+#: Rounds of a recursion after which what was found is written as one table, so that plans stay short.
+SEEN_PARTS = 16
+
 
 def _tile_runs(south: int, west: int, north: int, east: int, depth: int = 6) -> list[tuple[int, int]]:
     """Runs of tile indexes that cover a box: quadrants are divided ``depth`` times below the one that holds it."""
@@ -105,24 +109,23 @@ def union(*sets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sets).dropDuplicates(["type", "id"])
 
 
-def recurse_down(members: DataFrame, refs: DataFrame, relation_ids: DataFrame, rounds: int = 64) -> DataFrame:
+def recurse_down(members: DataFrame, refs: DataFrame, relation_ids: DataFrame) -> DataFrame:
     """(type, id) of everything below the relations (id), themselves included: relations in rounds until none is new, then ways and nodes.
 
-    Cycles end since a relation is followed once. Each round is written to the shared folder.
+    However deep relations are nested; cycles end since a relation is followed once. Each round is written to the shared folder.
     """
     from gridloom.operators.storage import stored
 
-    children = members.filter("kind = 3").select("relation_id", F.col("ref").alias("child"))
-    seen = stored(relation_ids.select("id").distinct(), "seen")
-    fresh = seen
-    for _ in range(rounds):
+    children = stored(members.filter("kind = 3").select("relation_id", F.col("ref").alias("child")).distinct(), "children")
+    seen = fresh = stored(relation_ids.select("id").distinct(), "seen")
+    for n in count(1):
         below = children.join(fresh.withColumnRenamed("id", "relation_id"), "relation_id", "left_semi").select(F.col("child").alias("id")).distinct()
         fresh = stored(below.join(seen, "id", "left_anti"), "fresh")
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
-    else:
-        raise RuntimeError("relations are nested too deeply")
+        if n % SEEN_PARTS == 0:
+            seen = stored(seen.repartition("id"), "seen")
     own = members.join(seen.withColumnRenamed("id", "relation_id"), "relation_id", "left_semi")
     ways = own.filter("kind = 2").select(F.col("ref").alias("id")).distinct()
     nodes = own.filter("kind = 1").select(F.col("ref").alias("id")).unionByName(refs.join(ways.withColumnRenamed("id", "way_id"), "way_id", "left_semi").select(F.col("node_id").alias("id"))).distinct()

@@ -179,6 +179,11 @@ def recurse_down(g: Graph) -> DataFrame:
     return Q.recurse_down(g.members, g.refs, g.relations.filter("id % 100 = 1").select("id"))
 
 
+def recurse_down_segment(g: Graph) -> DataFrame:
+    """Everything below the relations with a tag; most of their sub-relations don't have it."""
+    return Q.recurse_down(g.members, g.refs, g.relations.filter("exists(tags, t -> t.k = 'segment' and t.v = 'BUILDING')").select("id"))
+
+
 def recurse_up(g: Graph) -> DataFrame:
     return Q.recurse_up(g.members, g.refs, g.nodes.filter("id % 50 = 1").select("id"))
 
@@ -282,6 +287,10 @@ SQL = {
         w as (select distinct ref as id from member_values where kind = 2 and relation_id in (select id from rel))
         select 'relation' as type, id from rel union all select 'way', id from w union all
         select 'node', id from (select ref as id from member_values where kind = 1 and relation_id in (select id from rel) union select node_id from refs where way_id in (select id from w))""",
+    "recurse_down_segment": "with recursive" + _CTE[4:] + """, rel(id) as (select o_orderkey + 1 from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING' union select ref from rel join member_values on relation_id = id where kind = 3),
+        w as (select distinct ref as id from member_values where kind = 2 and relation_id in (select id from rel))
+        select 'relation' as type, id from rel union all select 'way', id from w union all
+        select 'node', id from (select ref as id from member_values where kind = 1 and relation_id in (select id from rel) union select node_id from refs where way_id in (select id from w))""",
     "recurse_up": _CTE + """, w as (select distinct way_id as id from refs where node_id in (select id from nodes where id % 50 = 1))
         select 'way' as type, id from w union all select distinct 'relation', relation_id from member_values where (kind = 1 and ref in (select id from nodes where id % 50 = 1)) or (kind = 2 and ref in (select id from w))""",
     "around": _CTE + f"select id, lat * lat + lon * lon as distance2 from nodes where lat * lat + lon * lon <= {RADIUS * RADIUS}",
@@ -293,4 +302,4 @@ SQL = {
     "iso_timestamp": "select event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') as iso from events",
 }
 
-QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Graph(spark, sf_dir))) for f in (order_violations_lag, duplicate_ids, id_range_refusals, unaligned_coordinates, text_refusals, empty_ways, key_order_violations, dataset_diff_full_outer, outcome_counts, keyset_symmetric_difference, span_gaps, first_difference, prefix_sum_positions, bucket_lookup_range, every_nth_shard, shard_disjointness, shard_coverage, shard_merge, version_agreement, pack_segments, pack_blocks, bbox_count, bbox_nodes, id_lookup, ways_by_tag_bbox, tag_equality_nwr, tag_key_exists, tag_regex, recurse_down, recurse_up, around, is_in_rect, ring_closure, way_centres, relation_nesting, member_ways_foreach, iso_timestamp)}
+QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Graph(spark, sf_dir))) for f in (order_violations_lag, duplicate_ids, id_range_refusals, unaligned_coordinates, text_refusals, empty_ways, key_order_violations, dataset_diff_full_outer, outcome_counts, keyset_symmetric_difference, span_gaps, first_difference, prefix_sum_positions, bucket_lookup_range, every_nth_shard, shard_disjointness, shard_coverage, shard_merge, version_agreement, pack_segments, pack_blocks, bbox_count, bbox_nodes, id_lookup, ways_by_tag_bbox, tag_equality_nwr, tag_key_exists, tag_regex, recurse_down, recurse_down_segment, recurse_up, around, is_in_rect, ring_closure, way_centres, relation_nesting, member_ways_foreach, iso_timestamp)}

@@ -1,5 +1,7 @@
 """Cases that the fixture graph doesn't have."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from gridloom.operators import compare, search, shards, tags
@@ -39,6 +41,14 @@ def test_cycles_end(spark):
     assert got == {("relation", 1), ("relation", 2), ("way", 5), ("node", 9), ("node", 7)}
 
 
+def test_deep_nesting(spark):
+    """A chain that is longer than 64, back to its middle at the end."""
+    members = spark.createDataFrame([(i, 0, 3, i + 1 if i < 70 else 30, "") for i in range(1, 71)] + [(70, 1, 1, 9, "")], "relation_id long, pos long, kind int, ref long, role string")
+    refs = spark.createDataFrame([], "way_id long, pos long, node_id long")
+    got = Counter(tuple(r) for r in search.recurse_down(members, refs, spark.createDataFrame([(1,)], "id long")).collect())
+    assert got == Counter([*(("relation", i) for i in range(1, 71)), ("node", 9)])
+
+
 def test_areas(spark):
     """A square with a square hole, of two ways each, and an open ring that makes no area."""
     nodes = spark.createDataFrame([(1, 0, 0), (2, 0, 100), (3, 100, 100), (4, 100, 0), (5, 40, 40), (6, 40, 60), (7, 60, 60), (8, 60, 40)], "id long, lat long, lon long")
