@@ -192,12 +192,16 @@ def around(g: Graph) -> DataFrame:
     return Q.around(g.staged_nodes, LAT, LON, RADIUS)
 
 
-def _rectangles(g: Graph) -> DataFrame:
+def _all_rectangles(g: Graph) -> DataFrame:
     """A rectangle's four edges for each way whose nodes span one."""
     boxes = g.refs.join(g.nodes.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id").groupBy(F.col("way_id").alias("area_id")).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
     ring = [("s", "w", "s", "e"), ("s", "e", "n", "e"), ("n", "e", "n", "w"), ("n", "w", "s", "w")]
     edges = F.explode(F.array(*(F.struct(*(F.col(c).alias(a) for c, a in zip(r, ("lat1", "lon1", "lat2", "lon2"), strict=True))) for r in ring)))
-    return boxes.filter("area_id % 20 = 3 and s < n and w < e").select("area_id", edges.alias("x")).select("area_id", "x.*")
+    return boxes.filter("s < n and w < e").select("area_id", edges.alias("x")).select("area_id", "x.*")
+
+
+def _rectangles(g: Graph) -> DataFrame:
+    return _all_rectangles(g).filter("area_id % 20 = 3")
 
 
 def is_in_rect(g: Graph) -> DataFrame:
@@ -205,10 +209,20 @@ def is_in_rect(g: Graph) -> DataFrame:
     return Q.is_in(points, _rectangles(g), 1 << 26)
 
 
+def is_in_every_rect(g: Graph) -> DataFrame:
+    """All nodes in all rectangles."""
+    return Q.is_in(g.nodes.select(F.col("id").alias("point_id"), "lat", "lon"), _all_rectangles(g), 1 << 26)
+
+
 def ring_closure(g: Graph) -> DataFrame:
     return Q.closed_rings(_rectangles(g).filter("not (area_id % 3 = 0 and lat1 = lat2)"))
 
 
+def every_ring_closure(g: Graph) -> DataFrame:
+    """All rectangles, those with an id divisible by three without two of their edges."""
+    return Q.closed_rings(_all_rectangles(g).filter("not (area_id % 3 = 0 and lat1 = lat2)"))
+
+
 def way_centres(g: Graph) -> DataFrame:
     return Q.centres(g.nodes, g.refs)
 
@@ -243,6 +257,7 @@ _SPANS = _CTE + ", spans as (select way_id % 100 as file, way_id * 8 + pos as s,
 _SHARD = _CTE + ", sh as (select id, ((row_number() over (order by id) - 1) % {n})::int as shard from (select o_orderkey + 1 as id from orders))"
 _OVER = _SHARD.replace("{n}", "7") + ", ov as (select id, shard from sh where id % 43 <> 0 union all select id, ((shard + 2) % 7)::int from sh where id % 31 = 0 and id % 43 <> 0)"
 _RECT = _CTE + """, rect as (select way_id as area_id, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from refs join nodes on id = node_id where way_id % 20 = 3 group by way_id having min(lat) < max(lat) and min(lon) < max(lon))"""
+_RECTS = _CTE + """, rect as (select way_id as area_id, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from refs join nodes on id = node_id group by way_id having min(lat) < max(lat) and min(lon) < max(lon))"""
 _SIZES = _CTE + ", sizes as (select way_id % 8 as file, way_id as key, 8 + count(*) * 37 + case when way_id % 23 = 0 then 700 else 0 end as size from refs group by way_id)"
 
 SQL = {
@@ -296,10 +311,12 @@ SQL = {
     "around": _CTE + f"select id, lat * lat + lon * lon as distance2 from nodes where lat * lat + lon * lon <= {RADIUS * RADIUS}",
     "is_in_rect": _RECT + "select id as point_id, area_id from nodes join rect on lat >= s and lat < n and lon >= w and lon < e where id % 10 = 1",
     "ring_closure": _RECT + "select area_id, area_id % 3 <> 0 as ok, case when area_id % 3 = 0 then 2 else 4 end::bigint as n_edges from rect",
+    "is_in_every_rect": _RECTS + "select id as point_id, area_id from nodes join rect on lat >= s and lat < n and lon >= w and lon < e",
+    "every_ring_closure": _RECTS + "select area_id, area_id % 3 <> 0 as ok, case when area_id % 3 = 0 then 2 else 4 end::bigint as n_edges from rect",
     "way_centres": _CTE + "select way_id, floor((min(lat) + max(lat)) / 2)::bigint as lat, floor((min(lon) + max(lon)) / 2)::bigint as lon from refs join nodes on id = node_id group by way_id",
     "relation_nesting": _CTE + "select distinct a.relation_id as parent, a.ref as child from member_values a join member_values b on b.kind = 3 and b.relation_id = a.ref and b.ref = a.relation_id where a.kind = 3",
     "member_ways_foreach": _CTE + "select distinct relation_id, ref as id, status as v from member_values join ways on id = ref where kind = 2 and relation_id % 25 = 1",
     "iso_timestamp": "select event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') as iso from events",
 }
 
-QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Graph(spark, sf_dir))) for f in (order_violations_lag, duplicate_ids, id_range_refusals, unaligned_coordinates, text_refusals, empty_ways, key_order_violations, dataset_diff_full_outer, outcome_counts, keyset_symmetric_difference, span_gaps, first_difference, prefix_sum_positions, bucket_lookup_range, every_nth_shard, shard_disjointness, shard_coverage, shard_merge, version_agreement, pack_segments, pack_blocks, bbox_count, bbox_nodes, id_lookup, ways_by_tag_bbox, tag_equality_nwr, tag_key_exists, tag_regex, recurse_down, recurse_down_segment, recurse_up, around, is_in_rect, ring_closure, way_centres, relation_nesting, member_ways_foreach, iso_timestamp)}
+QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Graph(spark, sf_dir))) for f in (order_violations_lag, duplicate_ids, id_range_refusals, unaligned_coordinates, text_refusals, empty_ways, key_order_violations, dataset_diff_full_outer, outcome_counts, keyset_symmetric_difference, span_gaps, first_difference, prefix_sum_positions, bucket_lookup_range, every_nth_shard, shard_disjointness, shard_coverage, shard_merge, version_agreement, pack_segments, pack_blocks, bbox_count, bbox_nodes, id_lookup, ways_by_tag_bbox, tag_equality_nwr, tag_key_exists, tag_regex, recurse_down, recurse_down_segment, recurse_up, around, is_in_rect, is_in_every_rect, ring_closure, every_ring_closure, way_centres, relation_nesting, member_ways_foreach, iso_timestamp)}

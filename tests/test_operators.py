@@ -1,5 +1,6 @@
 """Cases that the fixture graph doesn't have."""
 
+import os
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -61,6 +62,24 @@ def test_areas(spark):
     assert {tuple(r) for r in search.is_in(points, edges, 16).collect()} == {(1, 1), (4, 1)}
 
 
+def test_every_node_in_every_rectangle(spark):
+    """All pairs of a node and a rectangle, looked at one by one."""
+    from gridloom.plans import service
+    from gridloom.plans.graph import Graph
+
+    g = Graph(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    places = {r.id: (r.lat, r.lon) for r in g.nodes.select("id", "lat", "lon").collect()}
+    own = {}
+    for r in g.refs.collect():
+        if r.node_id in places:
+            own.setdefault(r.way_id, []).append(places[r.node_id])
+    boxes = {way: (min(lats), max(lats), min(lons), max(lons)) for way, at in own.items() for lats, lons in [zip(*at, strict=True)]}
+    boxes = {way: (s, n, w, e) for way, (s, n, w, e) in boxes.items() if s < n and w < e}
+    want = {(node, way) for way, (s, n, w, e) in boxes.items() for node, (lat, lon) in places.items() if s <= lat < n and w <= lon < e}
+    assert Counter(tuple(r) for r in service.is_in_every_rect(g).collect()) == Counter(want)
+    assert {r.area_id: (r.ok, r.n_edges) for r in service.every_ring_closure(g).collect()} == {way: (way % 3 != 0, 4 if way % 3 else 2) for way in boxes}
+
+
 def test_as_of_across_ranges(spark):
     starts = spark.createDataFrame([(0, 10), (1, 70_000), (2, 400_000)], "bucket long, start long")
     asked = spark.createDataFrame([(5,), (10,), (69_999,), (70_000,), (300_000,), (900_000,)], "id long")
