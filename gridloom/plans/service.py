@@ -48,6 +48,11 @@ def unaligned_coordinates(g: Graph) -> DataFrame:
     return V.unaligned_coordinates(raw, 50).unionByName(V.unaligned_coordinates(raw.filter("id % 7 = 0"), 75, 50)).select("id", "nano")
 
 
+def every_unaligned_coordinate(g: Graph) -> DataFrame:
+    """All nodes, with a granularity that leaves some of them between units."""
+    return V.unaligned_coordinates(g.nodes.select("id", (F.col("lat") * 2).alias("raw")), 75, 50).select("id", "nano")
+
+
 def text_refusals(g: Graph) -> DataFrame:
     wide = g.way_tags.select("id", "k", F.when(F.col("id") % 701 == 0, F.repeat("v", 40_000)).when(F.col("id") % 709 == 0, F.lit(None).cast("string")).otherwise(F.col("v")).alias("v"))
     return V.text_refusals(wide).select("id", "k", "reason")
@@ -188,6 +193,11 @@ def recurse_up(g: Graph) -> DataFrame:
     return Q.recurse_up(g.members, g.refs, g.nodes.filter("id % 50 = 1").select("id"))
 
 
+def recurse_up_every(g: Graph) -> DataFrame:
+    """From all nodes."""
+    return Q.recurse_up(g.members, g.refs, g.nodes.select("id"))
+
+
 def around(g: Graph) -> DataFrame:
     return Q.around(g.staged_nodes, LAT, LON, RADIUS)
 
@@ -240,6 +250,12 @@ def member_ways_foreach(g: Graph) -> DataFrame:
     return own.join(g.way_tags.filter("k = 'status'").select("id", "v"), "id").select("relation_id", "id", "v").distinct()
 
 
+def member_ways_foreach_every(g: Graph) -> DataFrame:
+    """For each relation, its member ways with a status tag."""
+    own = g.members.filter("kind = 2").select("relation_id", F.col("ref").alias("id"))
+    return own.join(g.way_tags.filter("k = 'status'").select("id", "v"), "id").select("relation_id", "id", "v").distinct()
+
+
 def iso_timestamp(g: Graph) -> DataFrame:
     events = g.spark.read.parquet(f"{g.sf_dir}/events.parquet")
     return events.select("event_id", P.iso_timestamp(F.unix_timestamp("ts")).alias("iso"))
@@ -267,6 +283,7 @@ SQL = {
     "id_range_refusals": _SEQ + """, moved as (select kind, case when id % 211 = 0 then id - 5000 when id % 223 = 0 then id + 4398046511104 else id end as id from seq)
         select distinct kind, id, case when id < 1 then 'not positive' else 'too large' end as reason from moved where id < 1 or id > case when kind = 1 then 4398046511103 else 4294967295 end""",
     "unaligned_coordinates": _CTE + "select id, 50 + lat * 150 as nano from nodes where id % 7 = 0 and (50 + lat * 150) % 100 <> 0 union all select id, lat * 100 from nodes where (lat * 100) % 100 <> 0",
+    "every_unaligned_coordinate": _CTE + "select id, 50 + lat * 150 as nano from nodes where (50 + lat * 150) % 100 <> 0",
     "text_refusals": _CTE + _WAY_TAGS + "select id, k, 'value' as reason from way_tags where id % 709 = 0 or (id % 701 = 0 and strlen(v) * 40000 > 65535)",
     "empty_ways": _CTE + "select id from ways where id not in (select way_id from refs)",
     "key_order_violations": _CTE + "select file, seq, key from (select *, lag(key) over (partition by file order by seq) as prior from (select id % 50 as file, id as seq, idx // 67108864 as key from way_index where idx <> 254)) where prior >= key",
@@ -308,6 +325,8 @@ SQL = {
         select 'node', id from (select ref as id from member_values where kind = 1 and relation_id in (select id from rel) union select node_id from refs where way_id in (select id from w))""",
     "recurse_up": _CTE + """, w as (select distinct way_id as id from refs where node_id in (select id from nodes where id % 50 = 1))
         select 'way' as type, id from w union all select distinct 'relation', relation_id from member_values where (kind = 1 and ref in (select id from nodes where id % 50 = 1)) or (kind = 2 and ref in (select id from w))""",
+    "recurse_up_every": _CTE + """, w as (select distinct way_id as id from refs where node_id in (select id from nodes))
+        select 'way' as type, id from w union all select distinct 'relation', relation_id from member_values where (kind = 1 and ref in (select id from nodes)) or (kind = 2 and ref in (select id from w))""",
     "around": _CTE + f"select id, lat * lat + lon * lon as distance2 from nodes where lat * lat + lon * lon <= {RADIUS * RADIUS}",
     "is_in_rect": _RECT + "select id as point_id, area_id from nodes join rect on lat >= s and lat < n and lon >= w and lon < e where id % 10 = 1",
     "ring_closure": _RECT + "select area_id, area_id % 3 <> 0 as ok, case when area_id % 3 = 0 then 2 else 4 end::bigint as n_edges from rect",
@@ -316,7 +335,8 @@ SQL = {
     "way_centres": _CTE + "select way_id, floor((min(lat) + max(lat)) / 2)::bigint as lat, floor((min(lon) + max(lon)) / 2)::bigint as lon from refs join nodes on id = node_id group by way_id",
     "relation_nesting": _CTE + "select distinct a.relation_id as parent, a.ref as child from member_values a join member_values b on b.kind = 3 and b.relation_id = a.ref and b.ref = a.relation_id where a.kind = 3",
     "member_ways_foreach": _CTE + "select distinct relation_id, ref as id, status as v from member_values join ways on id = ref where kind = 2 and relation_id % 25 = 1",
+    "member_ways_foreach_every": _CTE + "select distinct relation_id, ref as id, status as v from member_values join ways on id = ref where kind = 2",
     "iso_timestamp": "select event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') as iso from events",
 }
 
-QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Graph(spark, sf_dir))) for f in (order_violations_lag, duplicate_ids, id_range_refusals, unaligned_coordinates, text_refusals, empty_ways, key_order_violations, dataset_diff_full_outer, outcome_counts, keyset_symmetric_difference, span_gaps, first_difference, prefix_sum_positions, bucket_lookup_range, every_nth_shard, shard_disjointness, shard_coverage, shard_merge, version_agreement, pack_segments, pack_blocks, bbox_count, bbox_nodes, id_lookup, ways_by_tag_bbox, tag_equality_nwr, tag_key_exists, tag_regex, recurse_down, recurse_down_segment, recurse_up, around, is_in_rect, is_in_every_rect, ring_closure, every_ring_closure, way_centres, relation_nesting, member_ways_foreach, iso_timestamp)}
+QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Graph(spark, sf_dir))) for f in (order_violations_lag, duplicate_ids, id_range_refusals, unaligned_coordinates, every_unaligned_coordinate, text_refusals, empty_ways, key_order_violations, dataset_diff_full_outer, outcome_counts, keyset_symmetric_difference, span_gaps, first_difference, prefix_sum_positions, bucket_lookup_range, every_nth_shard, shard_disjointness, shard_coverage, shard_merge, version_agreement, pack_segments, pack_blocks, bbox_count, bbox_nodes, id_lookup, ways_by_tag_bbox, tag_equality_nwr, tag_key_exists, tag_regex, recurse_down, recurse_down_segment, recurse_up, recurse_up_every, around, is_in_rect, is_in_every_rect, ring_closure, every_ring_closure, way_centres, relation_nesting, member_ways_foreach, member_ways_foreach_every, iso_timestamp)}

@@ -80,6 +80,20 @@ def test_every_node_in_every_rectangle(spark):
     assert {r.area_id: (r.ok, r.n_edges) for r in service.every_ring_closure(g).collect()} == {way: (way % 3 != 0, 4 if way % 3 else 2) for way in boxes}
 
 
+def test_every_relation_and_node(spark):
+    from gridloom.plans import service
+    from gridloom.plans.graph import Graph
+
+    g = Graph(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
+    members, ways = g.members.collect(), {r.id for r in g.ways.select("id").collect()}
+    assert {(r.relation_id, r.id) for r in service.member_ways_foreach_every(g).collect()} == {(m.relation_id, m.ref) for m in members if m.kind == 2 and m.ref in ways}
+    lats = {r.id: r.lat for r in g.nodes.select("id", "lat").collect()}
+    assert {r.id for r in service.every_unaligned_coordinate(g).collect()} == {node for node, lat in lats.items() if (lat * 150 + 50) % 100}
+    up = {r.way_id for r in g.refs.collect() if r.node_id in lats}
+    relations = {m.relation_id for m in members if (m.kind == 1 and m.ref in lats) or (m.kind == 2 and m.ref in up)}
+    assert Counter(tuple(r) for r in service.recurse_up_every(g).collect()) == Counter([*(("way", x) for x in up), *(("relation", x) for x in relations)])
+
+
 def test_as_of_across_ranges(spark):
     starts = spark.createDataFrame([(0, 10), (1, 70_000), (2, 400_000)], "bucket long, start long")
     asked = spark.createDataFrame([(5,), (10,), (69_999,), (70_000,), (300_000,), (900_000,)], "id long")
