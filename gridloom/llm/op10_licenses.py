@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import table
-from gridloom.llm.license_texts import EQUIVALENT, NOTICES, TEXTS
+from gridloom.llm.license_texts import DIGESTS, EQUIVALENT, FORMS, NOTICES, TEXTS
 
 #: A line that says whose the work is; it differs from copy to copy of one licence.
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[]|by )|\(c\)[ \t]*(copyright|[0-9<\[])|©|all rights reserved)[^\n]*$"
@@ -33,8 +33,9 @@ def canonical(text: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     """license_id and digest of every known licence and notice: a fixed list of a few hundred rows."""
-    rows = [*TEXTS.items(), *((v, k) for k, v in NOTICES.items())]
-    return spark.createDataFrame(rows, "license_id string, text string").select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    rows = [*TEXTS.items(), *((v, k) for k, v in NOTICES.items()), *FORMS]
+    short = spark.createDataFrame(rows, "license_id string, text string").select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    return short.unionByName(spark.createDataFrame(DIGESTS, "license_id string, digest string"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

@@ -472,3 +472,23 @@ def test_licenses(spark):
     got = {r.doc_id: (r.license_id, r.notice_ids) for r in op10.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, ""), 4: (None, ""), 5: (None, "CC-BY-NC-4.0,MIT"), None: ("Zlib", ""), 6: (None, "")}
     assert op10.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_license_forms(spark):
+    """Each short licence with and without titles, and each long one as it is installed here."""
+    from pathlib import Path
+
+    from gridloom.llm.license_texts import BSD_HEAD, BSD_TAIL, BSD_THIRD, ISC, MIT, TEXTS
+
+    holder = "\n\nCopyright (c) 2020 Some Body\n\n"
+    body = {"MIT": MIT.partition("\n")[2], "ISC": ISC.partition("\n")[2], "0BSD": TEXTS["0BSD"], "BSD-2-Clause": BSD_HEAD + BSD_TAIL, "BSD-3-Clause": BSD_HEAD + BSD_THIRD + BSD_TAIL, "Zlib": TEXTS["Zlib"]}
+    titles = {"MIT": "The MIT License (MIT)", "ISC": "The ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
+    rows = [(k, title + holder + text) for k, text in body.items() for title in ("", titles[k])]
+    rows += [("BSD-3-Clause", rows[9][1].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "))]
+    files = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "BSD-3-Clause": "BSD", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    own = [(k, path.read_text("utf-8")) for k, name in files.items() if (path := Path("/usr/share/common-licenses", name)).exists()]
+    rows += own + [(k, text.partition("How to Apply These Terms")[0]) for k, text in own if k in ("GPL-2.0", "GPL-3.0", "LGPL-2.1")]
+    rows += [(None, text + "\nand a line more") for _, text in own]
+    docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in op10.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [k for k, _ in rows]
