@@ -203,18 +203,26 @@ def manifests(spark: SparkSession, out: str) -> DataFrame:
 
 
 def verify(spark: SparkSession, out: str) -> bool:
-    """Whether recipes give the roots of their parts, and these the root of the store. Chunks are held against their digests on every read."""
+    """Whether recipes give the sums and roots of their parts, and these the root of the store. Chunks are held against their digests on every read."""
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: dict[int, _Merkle] = {}
+        sums: dict[int, list[int]] = {}
+        broken: set[int] = set()
         for batch in batches:
-            for part, doc_id, n, digests in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "digests")), strict=True):
+            for part, doc_id, n, before, digests in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "before", "digests")), strict=True):
                 trees.setdefault(part, _Merkle()).add(_leaf(doc_id, n, digests))
-        yield pa.RecordBatch.from_arrays([pa.array(list(trees), pa.int32()), pa.array([t.root() for t in trees.values()], pa.binary())], ["part", "found"])
+                own = sums.setdefault(part, [0, 0])
+                if before != own[1]:
+                    broken.add(part)
+                own[0], own[1] = own[0] + 1, own[1] + n
+        found = [None if k in broken else t.root() for k, t in trees.items()]
+        n_docs, n_tokens = ([x[i] for x in sums.values()] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(list(trees), pa.int32()), pa.array(n_docs, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(found, pa.binary())], ["part", "docs", "tokens", "found"])
 
     rows = recipes(spark, out)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "part").sortWithinPartitions("part", "ordinal").mapInArrow(roots, "part int, found binary")
-    if not manifests(spark, out).join(found, "part", "full").filter("not (root <=> found)").isEmpty():
+    found = rows.repartition(parts, "part").sortWithinPartitions("part", "ordinal").mapInArrow(roots, "part int, docs long, tokens long, found binary")
+    if not manifests(spark, out).join(found, "part", "full").filter("not (root <=> found and n_docs <=> docs and n_tokens <=> tokens)").isEmpty():
         return False
     tree = _Merkle()
     for row in manifests(spark, out).orderBy("part").toLocalIterator():
@@ -233,7 +241,7 @@ def _checked(batches: Iterator[pa.RecordBatch], width: int, full: bool) -> Itera
             sums.append(zlib.crc32(ids))
             if full:
                 wide.append(ids)
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(sums, pa.int64()), *([pa.array(wide, pa.binary())] if full else [])], ["digest", "crc", *["ids"] * full])
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n_ids"), pa.array(sums, pa.int64()), *([pa.array(wide, pa.binary())] if full else [])], ["digest", "n_ids", "crc", *["ids"] * full])
 
 
 #: Fixed value: the polynomial of crc32, lowest power in the highest bit.
@@ -265,24 +273,30 @@ def followed_by(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if batch.column("crc").null_count:
+            raise ValueError("a chunk is missing")
+        if not batch.column("length").equals(batch.column("n_ids")):
+            raise ValueError("a chunk hasn't the length that a recipe gives")
         crc, after = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("crc", "after"))
         yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("ordinal"), pa.array(followed_by(crc, 4 * after).astype(np.int64))], ["part", "ordinal", "share"])
 
 
 def _references(spark: SparkSession, out: str) -> DataFrame:
-    """(part, ordinal, pos, digest, after): chunks of documents, with the ids that follow each in its document."""
-    after = F.expr("transform(sequence(0, size(lengths) - 1), i -> struct(i as pos, digests[i] as digest, n_tokens - aggregate(slice(lengths, 1, i + 1), 0L, (a, x) -> a + x) as after))")
-    return recipes(spark, out).select("part", "ordinal", F.explode(after).alias("r")).select("part", "ordinal", "r.*")
+    """(part, ordinal, pos, digest, length, after): chunks of documents, with the ids that follow each in its document; raises if a recipe's lengths aren't those of its document."""
+    whole = "size(lengths) = size(digests) and aggregate(lengths, 0L, (a, x) -> a + x) = n_tokens"
+    held = recipes(spark, out).withColumn("n_tokens", F.expr(f"if({whole}, n_tokens, raise_error('the lengths of a recipe differ from its sum'))"))
+    after = F.expr("transform(sequence(0, size(lengths) - 1), i -> struct(i as pos, digests[i] as digest, lengths[i] as length, n_tokens - aggregate(slice(lengths, 1, i + 1), 0L, (a, x) -> a + x) as after))")
+    return held.select("part", "ordinal", F.explode(after).alias("r")).select("part", "ordinal", "r.*")
 
 
 def read_sums(spark: SparkSession, out: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a store."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a store; raises if a chunk is missing or isn't as long as a recipe says."""
     width = spark.read.parquet(f"{out}/root").head()["width"]
-    sums = chunks(spark, out).mapInArrow(partial(_checked, width=width, full=False), "digest binary, crc long")
+    sums = chunks(spark, out).mapInArrow(partial(_checked, width=width, full=False), "digest binary, n_ids int, crc long")
     references = stored(_references(spark, out), "references")
     uses = references.groupBy("digest").agg(F.count(F.lit(1)).alias("uses"))
-    known = stored(uses.join(sums, "digest"), "sums")
-    shares = lookup_join(references, known, "digest", "uses", references.count()).select("part", "ordinal", "crc", "after").mapInArrow(_shifted, "part int, ordinal long, share long")
+    known = stored(uses.join(sums, "digest", "left"), "sums")
+    shares = lookup_join(references, known, "digest", "uses", references.count()).select("part", "ordinal", "length", "n_ids", "crc", "after").mapInArrow(_shifted, "part int, ordinal long, share long")
     whole = shares.groupBy("part", "ordinal").agg(F.bit_xor("share").alias("ids_crc32"))
     starts = manifests(spark, out).select("part", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))  # a row for each part
     return recipes(spark, out).select("part", "ordinal", "doc_id", "n_tokens", "before").join(whole, ["part", "ordinal"]).join(F.broadcast(starts), "part").select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
@@ -291,15 +305,17 @@ def read_sums(spark: SparkSession, out: str) -> DataFrame:
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
     """doc_id and ids (array) of each document, put together from its chunks."""
     width = spark.read.parquet(f"{out}/root").head()["width"]
-    wide = chunks(spark, out).mapInArrow(partial(_checked, width=width, full=True), "digest binary, crc long, ids binary")
-    joined = _references(spark, out).join(wide, "digest")
+    wide = chunks(spark, out).mapInArrow(partial(_checked, width=width, full=True), "digest binary, n_ids int, crc long, ids binary")
+    joined = _references(spark, out).join(wide, "digest", "left")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if any(x["ids"] is None or x["length"] != x["n_ids"] for own in batch.column("own").to_pylist() for x in own):
+                raise ValueError("a chunk is missing, or hasn't the length that a recipe gives")
             ids = [np.frombuffer(b"".join(x["ids"] for x in own), dtype="<u4").tolist() for own in batch.column("own").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("ordinal"), pa.array(ids, pa.list_(pa.int64()))], ["part", "ordinal", "ids"])
 
-    own = joined.groupBy("part", "ordinal").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("own")).mapInArrow(whole, "part int, ordinal long, ids array<long>")
+    own = joined.groupBy("part", "ordinal").agg(F.array_sort(F.collect_list(F.struct("pos", "length", "n_ids", "ids"))).alias("own")).mapInArrow(whole, "part int, ordinal long, ids array<long>")
     return recipes(spark, out).select("part", "ordinal", "doc_id").join(own, ["part", "ordinal"]).select("doc_id", "ids")
 
 
@@ -308,10 +324,12 @@ def store_and_read(docs: DataFrame, path: str | None = None, end_id: int = END_I
 
     Null and empty texts are stored as the end id alone. Rows with a null doc_id come first, repeated ids follow each other by
     length and content, and each keeps its own range. Texts are tokenised whole. Other columns, whatever their names,
-    are not read. An empty table gives a store without documents and an empty result.
+    are not read. An empty table gives a store without documents and an empty result. Raises if the recipes don't give the roots.
     """
     out = shared_path(docs.sparkSession, "store")
     write_store(docs, out, path, end_id)
+    if not verify(docs.sparkSession, out):
+        raise ValueError("the recipes of the store differ from its roots")
     return read_sums(docs.sparkSession, out)
 
 

@@ -492,3 +492,25 @@ def test_license_forms(spark):
     docs = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
     got = {r.doc_id: r.license_id for r in op10.scan_licenses(docs).collect()}
     assert [got[i] for i in range(len(rows))] == [k for k, _ in rows]
+
+
+def test_damaged_store(spark, odd, tmp_path, monkeypatch):
+    """A lost chunk, a recipe with other lengths or another place, each in an otherwise whole store."""
+    def changed(name, folder, how):
+        out, other = f"file://{tmp_path}/{name}", spark.read.parquet(f"file://{tmp_path}/whole/{folder}")
+        for x in ("chunks", "recipes", "root"):
+            (how(other) if x == folder else spark.read.parquet(f"file://{tmp_path}/whole/{x}")).write.partitionBy(*["kind"] * (x != "root")).parquet(f"{out}/{x}")
+        return out
+
+    op8.write_store(odd, f"file://{tmp_path}/whole")
+    lost = op8.chunks(spark, f"file://{tmp_path}/whole").first()["digest"]
+    for read in (op8.read_sums, op8.read_ids):
+        with pytest.raises(Exception, match="a chunk is missing"):
+            read(spark, changed(f"lost {read.__name__}", "chunks", lambda df: df.filter(~F.col("digest").eqNullSafe(F.lit(lost))))).collect()
+    longer = changed("longer", "recipes", lambda df: df.withColumn("lengths", F.expr("transform(lengths, x -> x + 1)")))
+    with pytest.raises(Exception, match="lengths of a recipe"):
+        op8.read_sums(spark, longer).collect()
+    assert not op8.verify(spark, changed("moved", "recipes", lambda df: df.withColumn("before", F.col("before") + 1)))
+    monkeypatch.setattr(op8, "verify", lambda *a: False)
+    with pytest.raises(ValueError, match="roots"):
+        op8.store_and_read(odd)
