@@ -70,8 +70,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2
             yield batch.slice(start)
 
 
-def sample_by(rows: DataFrame, label: str, each: int, labels: int) -> DataFrame | None:
-    """About ``each`` rows of every label, by a threshold on a hash of doc_id; None if there are no rows.
+def sample_by(rows: DataFrame, label: str, each: int, labels: int, in_all: int | None = None) -> DataFrame | None:
+    """About ``each`` rows of every label, or its even share of ``in_all`` if that is less, by a threshold on a hash of doc_id; None if there are no rows.
 
     Raises if there are more than ``labels`` labels, so that the sample is bounded by their product.
     """
@@ -80,6 +80,8 @@ def sample_by(rows: DataFrame, label: str, each: int, labels: int) -> DataFrame
         raise ValueError(f"more than {labels} labels")
     if not counts:
         return None
+    if in_all is not None:
+        each = min(each, max(in_all // len(counts), 1))
     scale = 1 << 20
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(scale, -(-scale * each // n)))))
     return rows.filter(F.expr(f"pmod(xxhash64(doc_id, 'sample'), {scale})") < F.element_at(share, F.col(label)))

@@ -80,10 +80,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     """From about ``sample`` documents of each language, chosen by a hash of doc_id, of those with a language and a text; None if there are none."""
     own = docs.select("doc_id", "text", F.col("lang").cast("string").alias("label")).filter("label is not null and text is not null")
-    chosen = sample_by(own, "label", sample, LANGUAGES)
+    chosen = sample_by(own, "label", sample, LANGUAGES, SAMPLE_IN_ALL)
     if chosen is None:
         return None
-    rows = chosen.mapInArrow(_features, "label string, features binary").limit(SAMPLE_IN_ALL).collect()
+    # the bound is shared out above; it cuts only what the hash of doc_id lets through beyond that, of no language more than of others
+    rows = chosen.mapInArrow(_features, "label string, features binary").orderBy(F.xxhash64("label", "features")).limit(SAMPLE_IN_ALL).collect()
     rows = sorted((r["label"], bytes(r["features"])) for r in rows)
     return LanguageModel([np.frombuffer(f, dtype="<u4") for _, f in rows], [label for label, _ in rows]) if rows else None
 

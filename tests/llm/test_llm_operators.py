@@ -514,3 +514,11 @@ def test_damaged_store(spark, odd, tmp_path, monkeypatch):
     monkeypatch.setattr(op8, "verify", lambda *a: False)
     with pytest.raises(ValueError, match="roots"):
         op8.store_and_read(odd)
+
+
+def test_sample_has_every_language(spark, monkeypatch):
+    """More languages than the bound holds whole samples of, in a table laid out by language."""
+    monkeypatch.setattr(op4, "SAMPLE_IN_ALL", 120)
+    rows = [(100 * i + j, f"{chr(97 + i) * 3} {chr(98 + i) * 2} {j}", f"l{i:02}") for i in range(12) for j in range(60)]
+    model = op4.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == [f"l{i:02}" for i in range(12)]
