@@ -16,6 +16,9 @@ PIECES_KEPT = 1_000_000
 #: The pattern of byte-level pre-tokenizers, and where all the libraries agree on letters and digits.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = regex.compile(r"[\n -~À-ÖØ-öø-ÿ]*").fullmatch
+#: Byte-level tokenizers write each byte as a character: printable ones of Latin-1 as themselves, the others from U+0100 on, in order.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+AS_CHARACTERS = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 def vocabulary(name: str) -> str:
@@ -71,16 +74,28 @@ class TextEncoder:
 
     def _setup(self, pattern: str, to_text, to_key, lower) -> None:
         match = regex.compile(pattern).findall
-        whole = self.whole
+        whole, tokenize = self.whole, self.tokenizer.model.tokenize
+        lead = to_text("a")[:-1].translate(AS_CHARACTERS)
+
+        def one(text: str) -> bytes:
+            """A plain text that is a single match of the pattern goes to the library's model itself: nothing else changes it."""
+            return array("I", [t.id for t in tokenize(text.encode().decode("latin-1").translate(AS_CHARACTERS))]).tobytes()
 
         def compute(key: str) -> bytes:
+            if key.isalpha():
+                if key.isascii():
+                    return array("I", [t.id for t in tokenize(lead + lower(key))]).tobytes()
+                text = to_text(key)
+                return one(lower(text)) if PLAIN(text) else whole(text)
             text = to_text(key)
-            if key.isalpha() or not PLAIN(text):
+            if not PLAIN(text):
                 return whole(text)
             if key[-1:] in (".", ",") and key[:-1].isalpha():  # by far the most of the others
                 return kept(key[:-1]) + kept(to_key(key[-1]))
             parts = match(lower(text))
-            return b"".join(map(kept, map(to_key, parts))) if len(parts) > 1 else whole(text)
+            if len(parts) > 1:
+                return b"".join(map(kept, map(to_key, parts)))
+            return one(parts[0]) if parts and parts[0] == lower(text) else whole(text)
 
         self.pieces = _Kept(compute, self.kept)
         kept = self.pieces.__getitem__
