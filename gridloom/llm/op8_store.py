@@ -19,6 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,15 +112,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops chunks that this task has seen; equal chunks come to one task."""
-    seen: set[bytes] = set()
+    """Drops repeated chunks: equal ones come to one task, one after the other."""
+    last = None
     for batch in batches:
-        keep = []
-        for i, digest in enumerate(batch.column("digest").to_pylist()):
-            if digest is None or digest not in seen:
-                keep.append(i)
-                if digest is not None:
-                    seen.add(digest)
+        digests = batch.column("digest").to_pylist()
+        keep = [i for i, (a, b) in enumerate(zip([last, *digests], digests, strict=False)) if b is None or a != b]
+        last = digests[-1] if digests else last
         yield batch.take(pa.array(keep, pa.int64()))
 
 
@@ -179,7 +177,7 @@ def write_store(docs: DataFrame, out: str, path: str | None = None, end_id: int
     cut = own.mapInArrow(partial(_chunks, path=path, end_id=end_id), CHUNK_ROWS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owner = F.when(F.col("digest").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "n_tokens", "digests"))
-    once = cut.withColumn("owner", owner).repartition(parts, "owner").drop("owner").mapInArrow(_once, CHUNK_ROWS)
+    once = cut.withColumn("owner", owner).repartition(parts, "owner").drop("owner").sortWithinPartitions("digest").mapInArrow(_once, CHUNK_ROWS)
     once.withColumn("kind", F.when(F.col("digest").isNotNull(), "chunk").otherwise("document")).write.partitionBy("kind").option("compression", "zstd").parquet(f"{out}/chunks")
     made = spark.read.schema(CHUNK_ROWS + ", kind string").parquet(f"{out}/chunks").filter("kind = 'document'")
     ordered = made.select("doc_id", "n_tokens", "digests", "lengths").repartitionByRange(parts, "doc_id", "n_tokens", "digests").sortWithinPartitions("doc_id", "n_tokens", "digests")
@@ -281,12 +279,27 @@ def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("ordinal"), pa.array(followed_by(crc, 4 * after).astype(np.int64))], ["part", "ordinal", "share"])
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes to rows of their chunks, with running sums of the lengths."""
+    for batch in batches:
+        digests, lengths = batch.column("digests"), batch.column("lengths")
+        size = pc.list_value_length(lengths).to_numpy(zero_copy_only=False)
+        if not np.array_equal(size, pc.list_value_length(digests).to_numpy(zero_copy_only=False)):
+            raise ValueError("a recipe has more or fewer lengths than digests")
+        flat, owner = lengths.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(size)), size)
+        sums, first = np.concatenate([[0], np.cumsum(flat)]), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        whole = sums[first[1:]] - sums[first[:-1]]
+        if not np.array_equal(whole, batch.column("n_tokens").to_numpy()):
+            raise ValueError("the lengths of a recipe differ from its sum")
+        after = sums[first[1:]][owner] - sums[1:]
+        pos = np.arange(len(flat)) - first[:-1][owner]
+        yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(owner)), batch.column("ordinal").take(pa.array(owner)), pa.array(pos.astype(np.int32)), digests.flatten(), lengths.flatten(), pa.array(after)], ["part", "ordinal", "pos", "digest", "length", "after"])
+
+
 def _references(spark: SparkSession, out: str) -> DataFrame:
     """(part, ordinal, pos, digest, length, after): chunks of documents, with the ids that follow each in its document; raises if a recipe's lengths aren't those of its document."""
-    whole = "size(lengths) = size(digests) and aggregate(lengths, 0L, (a, x) -> a + x) = n_tokens"
-    held = recipes(spark, out).withColumn("n_tokens", F.expr(f"if({whole}, n_tokens, raise_error('the lengths of a recipe differ from its sum'))"))
-    after = F.expr("transform(sequence(0, size(lengths) - 1), i -> struct(i as pos, digests[i] as digest, lengths[i] as length, n_tokens - aggregate(slice(lengths, 1, i + 1), 0L, (a, x) -> a + x) as after))")
-    return held.select("part", "ordinal", F.explode(after).alias("r")).select("part", "ordinal", "r.*")
+    held = recipes(spark, out).select("part", "ordinal", "n_tokens", "digests", "lengths")
+    return held.mapInArrow(_listed, "part int, ordinal long, pos int, digest binary, length int, after long")
 
 
 def read_sums(spark: SparkSession, out: str) -> DataFrame:
