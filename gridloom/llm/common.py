@@ -56,6 +56,14 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, rows: str, total: i
     return cold.unionByName(left.join(hot, key))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of ``column`` each, at least one row."""
     for batch in batches:

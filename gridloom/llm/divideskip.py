@@ -1,6 +1,6 @@
 """T-occurrence search over inverted lists by DivideSkip.
 
-A set's lists are divided into the longest, at most L of them, and the others. The short lists are merged by a heap; what
+The lists of a query's hashes are divided into the longest, at most L of them, and the others. The short lists are merged by a heap; what
 occurs in at least T - L of them is looked up in the long lists by binary probes; what reaches T in all is a match.
 """
 
@@ -14,6 +14,8 @@ import numpy as np
 
 #: Weight of a probe against a step of the merge, in the number of lists that are set apart as long.
 PROBE_WEIGHT = 0.0085
+#: Probes of long lists that are made at a time; between, ids that can't reach the threshold any more are left out.
+PROBES = 4096
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -35,71 +37,35 @@ def t_occurrence(lists: list[np.ndarray], t: int) -> tuple[np.ndarray, np.ndarra
             found.append(own)
             counts.append(n)
     ids, n = np.array(found, dtype=np.int64), np.array(counts, dtype=np.int64)
-    left = apart
-    for x in reversed(lists[cut:]):  # the longest first, as most that will fail do so early
-        if not len(ids):
-            break
-        at = np.minimum(np.searchsorted(x, ids), len(x) - 1)
-        n = n + (x[at] == ids)
-        left -= 1
-        stay = n + left >= t
+    if not apart or not len(ids):
+        return ids[n >= t], n[n >= t]
+    long_ = lists[cut:]
+    width = int(max(x[-1] for x in long_)) + 1
+    width = max(width, int(ids[-1]) + 1)
+    keys = np.concatenate(long_) + np.repeat(np.arange(apart) * width, [len(x) for x in long_])
+    done = 0
+    while done < apart and len(ids):
+        step = min(apart - done, max(1, PROBES // len(ids)))
+        probe = (np.arange(done, done + step) * width)[:, None] + ids
+        at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+        n = n + (keys[at] == probe).sum(axis=0)
+        done += step
+        stay = n + apart - done >= t
         ids, n = ids[stay], n[stay]
     return ids, n
 
 
-class Block:
-    """Links among sets that share a block, as roots of a forest: pairs in one tree already aren't looked up again."""
-
-    def __init__(self, sizes: np.ndarray, members: list[np.ndarray], percent: int):
-        """``sizes``: of whole sets; ``members``: those of their hashes that other sets may have."""
-        self.sizes, self.percent = sizes, percent
-        count = np.array([len(m) for m in members])
-        self.begin = np.concatenate([[0], np.cumsum(count)])
-        owner = np.repeat(np.arange(len(members)), count)
-        hashes = np.concatenate(members) if len(members) else np.zeros(0, dtype=np.uint64)
-        order = np.lexsort((owner, hashes))
-        self.postings = owner[order]
-        ordered = hashes[order]
-        fresh = np.ones(len(ordered), dtype=bool)
-        fresh[1:] = ordered[1:] != ordered[:-1]
-        self.first = np.concatenate([np.flatnonzero(fresh), [len(ordered)]])
-        self.lists = np.empty(len(ordered), dtype=np.int64)
-        self.lists[order] = np.cumsum(fresh) - 1  # of each member, in the order given
-        self.tree = np.arange(len(members))
-        self.trees = len(members)
-
-    def _join(self, x: int, others: np.ndarray) -> None:
-        roots = np.unique(np.append(self.tree[others], self.tree[x]))
-        if len(roots) > 1:
-            self.tree[np.isin(self.tree, roots[1:])] = roots[0]
-            self.trees -= len(roots) - 1
-
-    def link(self, left: np.ndarray | None = None) -> np.ndarray:
-        """The tree of each set. ``left``: if given, marks sets; only links between marked and unmarked ones are sought."""
-        for x in range(len(self.sizes)):
-            if self.trees == 1:
-                break
-            self._query(x, left)
-        return self.tree
-
-    def _query(self, x: int, left: np.ndarray | None) -> None:
-        n, percent = int(self.sizes[x]), self.percent
-        own = self.lists[self.begin[x] : self.begin[x + 1]]
-        t = least_overlap(n, percent)
-        if len(own) < t:
-            return
-        start, length = self.first[own], self.first[own + 1] - self.first[own]
-        which = np.repeat(np.arange(len(own)), length)
-        ids = self.postings[np.arange(len(which)) + np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length)]
-        keep = (ids > x) & (self.tree[ids] != self.tree[x]) & (100 * self.sizes[ids] >= percent * n) & (100 * n >= percent * self.sizes[ids])
-        if left is not None:
-            keep &= left[ids] != left[x]
-        ids, which = ids[keep], which[keep]
-        if not len(ids):
-            return
-        ends = np.searchsorted(which, np.arange(len(own) + 1))
-        lists = [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) if b > a]
-        found, both = t_occurrence(lists, t)
-        linked = found[100 * both >= percent * (n + self.sizes[found] - both)]
-        if len(linked):
-            self._join(x, linked)
+def search(query: np.ndarray, size: int, members: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets are similar enough to the query. ``size``, ``sizes``: of whole sets; ``query``, ``members``: those of their hashes that other sets may have, ascending."""
+    t = least_overlap(size, percent)
+    if len(query) < t:
+        return np.zeros(0, dtype=np.int64)
+    hashes, owner = np.concatenate(members), np.repeat(np.arange(len(members)), [len(m) for m in members])
+    at = np.minimum(np.searchsorted(query, hashes), len(query) - 1)
+    hit = query[at] == hashes
+    at, owner = at[hit], owner[hit]
+    order = np.argsort(at, kind="stable")  # owners ascend within a list
+    at, owner = at[order], owner[order]
+    ends = np.flatnonzero(np.diff(at, append=-1)) + 1
+    ids, both = t_occurrence(np.split(owner, ends[:-1]) if len(ends) else [], t)
+    return ids[100 * both >= percent * (size + sizes[ids] - both)]

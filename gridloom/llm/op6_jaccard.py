@@ -5,11 +5,11 @@
 3. A chunk hands the answers to its documents. A document of which fewer than 75 % of the set is shared can't link. Of
    the others, those with equal sets are one class; the rarest shared hashes of a class are its prefix, such that similar
    classes share one.
-4. Classes that share a prefix hash, directly or through others, make a cluster: its classes meet in one block, or if they
-   are too many, in a block for every two parts of the cluster.
-5. A block searches each set among the others by DivideSkip and keeps a forest of the links.
+4. The classes of each prefix hash are its list. Every class of a list is held against the list's first one; what links
+   joins groups. Lists that then still hold several groups give the pairs between these that sizes and ranks allow.
+5. What a class is held against is divided into blocks; a block's sets that overlap enough are found by DivideSkip.
 
-Nothing is dropped: clusters bound what has to be compared, blocks bound what a task holds.
+Nothing is dropped: pairs that aren't compared are in one group already, or can't be similar. Blocks bound what a task holds.
 """
 
 from __future__ import annotations
@@ -25,14 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import lookup_join, small_batches, stored, table
+from gridloom.llm.common import fresh_name, lookup_join, small_batches, stored, table
 from gridloom.llm.components import components
-from gridloom.llm.divideskip import Block, least_overlap
+from gridloom.llm.divideskip import least_overlap, search
 from gridloom.llm.shingles import HASH_BITS, WORDS, shingle_sets
 
 PERCENT = 75
 #: Hashes in a chunk and in a block, about; a hash that more documents of a chunk have is sent without their numbers.
-CHUNK, BLOCK, OFTEN = 700_000, 1_000_000, 64
+CHUNK, BLOCK, OFTEN = 700_000, 1 << 14, 64
 #: Bytes of text for each bucket, and buckets at most.
 BUCKET_BYTES, BUCKETS = 4 << 20, 1 << 12
 PACKED = "chunk long, bucket int, n int, data binary, numbers binary, counts binary"
@@ -226,58 +226,85 @@ def shared_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     own = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     total = own.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bits = max(4, min(BUCKETS, max(1, total // BUCKET_BYTES)).bit_length())
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total // BUCKET_BYTES) // 4)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, (total // BUCKET_BYTES) // 4)
     packed = own.mapInArrow(partial(_hash, words=words, bits=bits), PACKED)
     # rows of documents have no bucket to go to; they spread by chunk
-    by_bucket = packed.withColumn("to", F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(-1 - F.col("chunk"))).repartition(parts, "to")
+    by_bucket = packed.withColumn("to", F.when(F.col("bucket") >= 0, F.col("bucket").cast("long")).otherwise(-1 - F.col("chunk"))).repartition(max(least, min(parts, 1 << bits)), "to")
     answered = by_bucket.sortWithinPartitions("bucket", "chunk").drop("to").mapInArrow(_answer, PACKED)
     return answered.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(partial(_sets, percent=percent), SETS)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come by block. A block of two parts of a cluster seeks links between them, that of one part within it."""
+def _searched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by block, in each first the query (its own id is null), then the sets that it is held against."""
 
     def done(rows):
-        ids = np.array([r[1] for r in rows])
-        order = np.argsort(ids, kind="stable")
-        members = [np.frombuffer(rows[i][3], dtype="<u8") for i in order]
-        sides = np.array([rows[i][4] for i in order])
-        tree = Block(np.array([rows[i][2] for i in order]), members, percent).link(None if sides.min() == sides.max() else sides == sides[0])
-        ids = ids[order]
-        moved = np.flatnonzero(tree != np.arange(len(tree)))
-        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[tree[moved]])], ["a", "b"])
-
-    at, held = None, []
+        if rows[0][3] is not None:
+            raise ValueError("a block without its query")
+        members = [np.frombuffer(r[5], dtype="<u8") for r in rows]
+        sizes = np.array([r[4] for r in rows])
+        found = search(members[0], int(sizes[0]), members[1:], sizes[1:], percent)
+        return [(rows[0][1], rows[1 + i][3]) for i in found.tolist()]
+
+    at, held, out = None, [], []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "n_shingles", "members", "part")), strict=True):
-            if held and row[0] != at:
-                yield done(held)
+        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "query", "part", "doc_id", "n_shingles", "members")), strict=True):
+            if held and row[:3] != at:
+                out += done(held)
                 held = []
-            at = row[0]
+            at = row[:3]
             held.append(row)
-    if held:
-        yield done(held)
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+            out = []
+    out += done(held) if held else []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, percent: int, block: int) -> DataFrame:
+    """Of the pairs (query, doc_id, n: size of the query's set) those that link, as (a, b). Sets are sought in blocks of a query and about ``block`` hashes of others."""
+    sets = classes.select("doc_id", "n_shingles", "members")
+    pairs = stored(pairs.distinct(), "pairs")
+    loads = pairs.groupBy("query").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
+    dealt = stored(pairs.select("query", "doc_id").join(loads, "query").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)")).drop("parts"), "dealt")
+    others = dealt.join(sets, "doc_id").select("query", "part", "doc_id", "n_shingles", "members")
+    own = dealt.select("query", "part").distinct().join(sets.withColumnRenamed("doc_id", "query"), "query").select("query", "part", F.lit(None).cast("long").alias("doc_id"), "n_shingles", "members")
+    rows = others.unionByName(own).withColumn("block", F.xxhash64("query", "part"))
+    parts = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "block").sortWithinPartitions("block", "query", "part", F.asc_nulls_first("doc_id")).mapInArrow(partial(_searched, percent=percent), "a long, b long")
+
+
+def _may_link(x: str, y: str, percent: int) -> str:
+    """Whether sets that share the hash of two entries can be similar if it is the first that they share: sizes are near, and enough is left of both from there on."""
+    return (
+        f"100 * {x}.n >= {percent} * {y}.n and 100 * {y}.n >= {percent} * {x}.n and "
+        f"{100 + percent} * least({x}.n - {x}.rank, {y}.n - {y}.rank) >= {percent} * ({x}.n + {y}.n)"
+    )
 
 
 def jaccard_links(classes: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(a, b): a forest in each group of linked classes (columns doc_id, n_shingles, members, prefix; stored)."""
-    spark = classes.sparkSession
-    entries = classes.select("doc_id", F.explode("prefix").alias("hash"))
-    least = entries.groupBy("hash").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    clusters = stored(components(entries.join(least, "hash").select(F.col("doc_id").alias("a"), "b")), "clusters")
-    own = classes.select("doc_id", "n_shingles", "members").join(clusters.withColumnsRenamed({"node": "doc_id", "root": "cluster"}), "doc_id")
-    own = stored(own.withColumn("size", (F.octet_length("members") / 8).cast("long")), "clustered")
-    sizes = own.groupBy("cluster").agg(F.sum("size").alias("total"))
-    large = stored(sizes.filter(F.col("total") > block).select("cluster", F.ceil(2 * F.col("total") / block).cast("int").alias("parts")), "large")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = ["block", "doc_id", "n_shingles", "members", "part"]
-    small = own.join(large, "cluster", "left_anti").select(F.struct("cluster", F.lit(0).alias("i"), F.lit(0).alias("j")).alias("block"), "doc_id", "n_shingles", "members", F.lit(0).alias("part"))
-    split = own.join(large, "cluster").withColumn("part", F.expr("cast(pmod(xxhash64(doc_id), parts) as int)"))
-    # a part meets each part, and itself alone
-    met = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    crossed = met.select(F.struct("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).alias("block"), "doc_id", "n_shingles", "members", "part")
-    dealt = small.select(columns).unionByName(crossed.select(columns)).repartition(4 * parts, "block").sortWithinPartitions("block")
-    return dealt.withColumn("block", F.xxhash64("block.cluster", "block.i", "block.j")).mapInArrow(partial(_blocks, percent=percent), "a long, b long")
+    """(a, b): links that join the same classes as all links do (columns doc_id, n_shingles, members, prefix; stored).
+
+    Lists of prefix hashes are read twice. First each entry of a list is held against the list's first one, which joins
+    groups of many near copies in a number of comparisons that grows with the entries. Then pairs of entries are sought in
+    the lists that still hold several groups, only between these.
+    """
+    ranked = classes.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "hash"), F.expr("n_shingles - octet_length(members) / 8").cast("long").alias("unshared"))
+    entries = stored(ranked.select("hash", "doc_id", "n", (F.col("unshared") + F.col("at")).alias("rank")), "entries")
+    heads = entries.groupBy("hash").agg(F.min_by(F.struct("doc_id", "n", "rank"), "doc_id").alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    heads = stored(heads, "heads")
+    met = stored(lookup_join(entries, heads, "hash", "rows", entries.count()), "met").withColumn("own", F.struct("doc_id", "n", "rank"))
+    starred = met.filter("doc_id <> head.doc_id").filter(_may_link("own", "head", percent)).select(F.col("head.doc_id").alias("query"), "doc_id", F.col("head.n").alias("n"))
+    first = stored(_verified(starred, classes, percent, block), "links")
+    groups = stored(components(first), "groups")
+    placed = met.select("hash", "doc_id", "n", "rank").join(groups.withColumnsRenamed({"node": "doc_id", "root": "group"}), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
+    placed = stored(placed, "placed")
+    mixed = placed.groupBy("hash").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("hash")
+    left = stored(placed.join(mixed, "hash", "left_semi"), "mixed")
+    across = left.alias("x").join(left.alias("y"), (F.col("x.hash") == F.col("y.hash")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.group") != F.col("y.group")) & F.expr(_may_link("x", "y", percent)))
+    rest = _verified(across.select(F.col("x.doc_id").alias("query"), F.col("y.doc_id").alias("doc_id"), F.col("x.n").alias("n")), classes, percent, block)
+    return first.unionByName(rest)
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -313,10 +340,32 @@ def _repeats(able: DataFrame) -> bool:
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their group: those whose doc_id is its component_id."""
-    dropped = near_groups(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    """The rows of ``docs``, with all their columns, that stand for their group: those whose doc_id is its component_id.
+
+    Rows with a null doc_id, and rows without text or words, stay. Rows that repeat the doc_id of one that stays all stay.
+    Columns may have any names besides. An empty table gives an empty one. Whole texts are read.
+    """
+    name = fresh_name(docs, "dropped")
+    dropped = near_groups(docs, words, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as t from documents),
+s as (
+  select doc_id, case when len(t) = 0 then [] when len(t) < 5 then [array_to_string(t, ' ')]
+    else list_distinct([array_to_string(t[i:i + 4], ' ') for i in range(1, len(t) - 3)]) end as g from w),
+n as (select doc_id, len(g) as n from s),
+u as (select doc_id, unnest(g) as h from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as shared from u a join u b on a.h = b.h and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= 75 * (a.n + b.n - shared)),
+e as (select x as a, y as b from l union select y, x from l),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+c as (select a, min(b) as b from r group by a)
+select doc_id, n as n_shingles, least(doc_id, coalesce(b, doc_id)) as component_id from n left join c on a = doc_id
+"""

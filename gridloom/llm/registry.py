@@ -29,6 +29,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": op1_exact_dedup.SQL,
+        "op6_jaccard": op6_jaccard.SQL,
         "op7_url_filter": op7_url_filter.SQL,
         "op10_licenses": op10_licenses.sql(),
     }

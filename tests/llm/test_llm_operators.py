@@ -23,7 +23,7 @@ from gridloom.llm import op9_packing as op9
 from gridloom.llm import op10_licenses as op10
 from gridloom.llm import registry
 from gridloom.llm.components import components
-from gridloom.llm.divideskip import Block, t_occurrence
+from gridloom.llm.divideskip import search, t_occurrence
 from gridloom.llm.tokens import encoder, vocabulary
 from gridloom.llm.trie import PatriciaTrie
 
@@ -300,10 +300,16 @@ def test_t_occurrence():
         assert dict(zip(ids.tolist(), n.tolist())) == {k: v for k, v in count.items() if v >= t}
 
 
-def test_blocks_of_two_parts():
-    sets = [np.array(s, dtype=np.uint64) for s in ([1, 2, 3, 4], [1, 2, 3, 4, 5], [9, 10, 11, 12], [9, 10, 11, 12])]
-    tree = Block(np.array([4, 5, 4, 4]), sets, 75).link(np.array([True, False, True, True]))
-    assert tree[0] == tree[1] and tree[2] != tree[3]
+def test_search():
+    """One query against many sets, of which only a part of the hashes may be shared."""
+    rng = random.Random(8)
+    for _ in range(200):
+        own = sorted(rng.sample(range(30), rng.randint(1, 20)))
+        sets = [sorted(set(own) ^ set(rng.sample(range(40), rng.randint(0, 8)))) for _ in range(rng.randint(1, 25))]
+        unshared = [rng.randint(0, 3) for _ in sets]
+        got = search(np.array(own, dtype=np.uint64), len(own), [np.array(s, dtype=np.uint64) for s in sets], np.array([len(s) + u for s, u in zip(sets, unshared)]), 75)
+        want = [i for i, (s, u) in enumerate(zip(sets, unshared)) if s and 100 * len(set(own) & set(s)) >= 75 * (len(set(own) | set(s)) + u)]
+        assert got.tolist() == want
 
 
 def test_components(spark):
