@@ -356,7 +356,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with recursive w as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as t from documents),
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as t from documents),
 s as (
   select doc_id, case when len(t) = 0 then [] when len(t) < 5 then [array_to_string(t, ' ')]
     else list_distinct([array_to_string(t[i:i + 4], ' ') for i in range(1, len(t) - 3)]) end as g from w),
