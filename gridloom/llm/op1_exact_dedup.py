@@ -3,7 +3,7 @@
 Each input partition folds its own copies in a trie first, so that a group of copies of any size reaches its owner as
 one row for each partition. Owners, dealt by length and content hash, insert the whole byte strings into a trie whose
 terminals hold the identifier that stays and the counts. An owner whose trie outgrows its memory gives up whole
-subtrees: their strings are written to the shared folder and dealt again, to more owners, in a further round.
+subtrees: their strings are written to the shared folder, piece by piece, and dealt again, to more owners, in a further round.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import lookup_join, small_batches, stored, table
-from gridloom.llm.trie import PatriciaTrie
+from gridloom.llm.common import fresh_name, lookup_join, small_batches, stored, table
+from gridloom.llm.trie import NODE_BYTES, PatriciaTrie
 
 #: Bytes that a task's trie may take, and bytes of text dealt to an owner.
 TRIE_BYTES, OWNER_BYTES = 48 << 20, 24 << 20
@@ -89,19 +89,26 @@ def _fold(batches: Iterator[pa.RecordBatch], largest: bool, limit: int) -> Itera
 def _own(batches: Iterator[pa.RecordBatch], largest: bool, limit: int) -> Iterator[pa.RecordBatch]:
     """Classes (key null), and strings of subtrees that were given up (with their key)."""
     trie = PatriciaTrie(merger(largest))
-    for batch in small_batches(batches, "key"):
-        keys, rows = [], []
-        columns = [batch.column(c).to_pylist() for c in ("digest", "n_bytes", "keep_id", "group_size", "keep_rows")]
-        for key, *value in zip(batch.column("key").to_pylist(), *columns, strict=True):
-            if not trie.insert(key, tuple(value)):
-                keys.append(key)
-                rows.append(tuple(value))
-            elif trie.weight > limit:
-                for k, v in trie.give_up():
-                    keys.append(k)
-                    rows.append(v)
-        if rows:
+
+    def turned_away():
+        for batch in small_batches(batches, "key"):
+            columns = [batch.column(c).to_pylist() for c in ("digest", "n_bytes", "keep_id", "group_size", "keep_rows")]
+            for key, *value in zip(batch.column("key").to_pylist(), *columns, strict=True):
+                if not trie.insert(key, tuple(value)):
+                    yield key, tuple(value)
+                elif trie.weight > limit:
+                    yield from trie.give_up()
+
+    keys, rows, held = [], [], 0
+    for key, value in turned_away():
+        keys.append(key)
+        rows.append(value)
+        held += len(key)
+        if held > 4 << 20 or len(keys) > 10_000:
             yield _rows(rows, keys)
+            keys, rows, held = [], [], 0
+    if rows:
+        yield _rows(rows, keys)
     rows, seen = [], set()
     for value in trie.values():
         if value[0] in seen:
@@ -112,26 +119,28 @@ def _own(batches: Iterator[pa.RecordBatch], largest: bool, limit: int) -> Iterat
         yield _rows(rows[i : i + 10_000], [None] * len(rows[i : i + 10_000]))
 
 
-def classes(docs: DataFrame, largest: bool = True, trie_bytes: int = TRIE_BYTES, owner_bytes: int = OWNER_BYTES, total_bytes: int | None = None) -> DataFrame:
-    """One row for each distinct normalised text (columns of CLASS)."""
+def classes(docs: DataFrame, largest: bool = True, trie_bytes: int = TRIE_BYTES, owner_bytes: int = OWNER_BYTES) -> DataFrame:
+    """One row for each distinct normalised text (columns of CLASS).
+
+    A trie takes ``trie_bytes``, or two of the longest text if these are more, so that each round places some strings of
+    every owner. Owners are counted by the bytes of the strings and of their nodes.
+    """
     spark = docs.sparkSession
     own = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
-    if total_bytes is None:
-        total_bytes = own.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    total, longest = own.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).head()
     parts = own.mapInArrow(partial(_fold, largest=largest, limit=trie_bytes), CLASS + ", key binary")
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    owners, limit, done = max(least, total_bytes // owner_bytes), trie_bytes, None
+    owners, limit, done = max(least, (total or 0) // owner_bytes), max(trie_bytes, 2 * (longest or 0) + 4 * NODE_BYTES), None
     while True:
         dealt = parts.repartition(owners, "n_bytes", "digest")
         found = stored(dealt.mapInArrow(partial(_own, largest=largest, limit=limit), CLASS + ", key binary"), "classes")
         ended = found.filter(F.col("key").isNull()).drop("key")
         done = ended if done is None else done.unionByName(ended)
         parts = found.filter(F.col("key").isNotNull())
-        left = parts.agg(F.sum("n_bytes")).head()[0]
+        left = parts.agg(F.sum(F.col("n_bytes") + 2 * NODE_BYTES)).head()[0]  # what was given up is dealt by itself
         if left is None:
             return done
-        # what was given up is dealt by itself; the limit grows so that a text longer than it finds a place
-        owners, limit = max(least, left // owner_bytes), 2 * limit
+        owners = max(least, left // owner_bytes)
 
 
 def exact_duplicates(docs: DataFrame, largest: bool = True, trie_bytes: int = TRIE_BYTES, owner_bytes: int = OWNER_BYTES) -> DataFrame:
@@ -155,18 +164,22 @@ def exact_duplicates(docs: DataFrame, largest: bool = True, trie_bytes: int = TR
 
 
 def deduplicate(docs: DataFrame, largest: bool = True) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows with the same identifier and equal texts, one.
+    """The rows of ``docs`` that stay, with all their columns: one row of each group of texts that are equal after lower-casing A-Z.
 
-    Where an identifier belongs to several different texts, a row stays if it is the one that its own group keeps.
+    Null counts as the empty text. That with the largest doc_id stays (or the smallest); of rows with that doc_id in one
+    group, one. A null doc_id stays only where its group has no other. Where an identifier belongs to several different
+    texts, a row stays if it is the one that its own group keeps. Columns may have any names besides. An empty table
+    gives an empty one. Texts of any length are compared whole.
     """
-    found = exact_duplicates(docs, largest).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    digest = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
-    return docs.join(found, same, "left_semi").dropDuplicates(["doc_id", "text"]) if _repeats(docs) else docs.join(found, same, "left_semi")
+    own_id, own_digest, digest = (fresh_name(docs, n) for n in ("kept_id", "kept_digest", "digest"))
+    found = exact_duplicates(docs, largest).filter("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_digest))
+    normal = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    kept = docs.withColumn(digest, F.sha2(normal, 256)).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & (F.col(digest) == F.col(own_digest)), "left_semi")
+    return (kept.dropDuplicates(["doc_id", digest]) if _repeats(docs) else kept).drop(digest)
 
 
 def _repeats(docs: DataFrame) -> bool:
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,16 +104,17 @@ class PatriciaTrie:
             if node.kids:
                 stack.extend(node.kids.values())
 
-    def give_up(self) -> list[tuple[bytes, object]]:
-        """Takes out the heaviest subtree that is under half of the trie (or a leaf); later keys of it are turned away."""
+    def give_up(self) -> Iterator[tuple[bytes, object]]:
+        """Takes out the heaviest subtree that is under half of the trie (or a leaf), and gives its items one by one; later keys of it are turned away."""
         half, node, prefix, path = self.root.weight // 2, self.root, b"", [self.root]
         while node.kids and (node is self.root or node.weight > half):
             node = max(node.kids.values(), key=lambda x: x.weight)
             prefix += node.label
             path.append(node)
-        out = list(self._items(node, prefix))
+        out = _Node(node.label, node.value)
+        out.kids = node.kids
         freed = node.weight - len(node.label) - NODE_BYTES
         node.gone, node.kids, node.value = True, None, None
         for x in path:
             x.weight -= freed
-        return out
+        return self._items(out, prefix)

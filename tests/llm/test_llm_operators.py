@@ -98,6 +98,20 @@ def test_exact_duplicates(odd, limits):
 
 def test_exact_duplicates_of_nothing(empty):
     assert op1.exact_duplicates(empty).count() == 0
+    assert op1.deduplicate(empty).collect() == [] and op1.deduplicate(empty).columns == empty.columns
+
+
+def test_deduplicate(spark):
+    """Repeated ids with texts that differ in case only, null against empty, and columns with the names that are used inside."""
+    rows = [(10, "Abc"), (10, "abc"), (11, None), (11, ""), (12, "ABC"), (9, "x"), (9, "y"), (None, "z"), (3, "z"), (None, "only"), (None, "only"), (7, "x" * 100_000), (8, "X" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in ("_id", "_digest", "kept_id", "digest", "kept", "KEPT_DIGEST")})
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[lowered(t)].append(i)
+    want = Counter((max((i for i in ids if i is not None), default=None), t) for t, ids in groups.items())
+    got = op1.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, lowered(r.text)) for r in got.collect()) == want
 
 
 def test_trie():
