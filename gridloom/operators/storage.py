@@ -9,15 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in local tests, a fresh folder."""
+    """``spark.checkpoint.dir``. Where it is unset: a fresh folder of this machine on a local master, as in tests; elsewhere an error, since executors couldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+    if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get().rstrip("/")
+        if own.isEmpty():
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+            own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = own.get()
+    return found.rstrip("/")
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Removes all intermediate tables from the shared folder. Results are lazy: call it once those in use are written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/gridloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _staged.clear()
+
+
+#: Tables that are staged once for a session: (application, what) -> path.
+_staged: dict[tuple, str] = {}
+
+
+def staged(spark: SparkSession, what: tuple, make) -> DataFrame:
+    """The table that ``make()`` gives, written to the shared folder the first time that it is asked for in this application."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), *what)
+    if key not in _staged:
+        path = f"{shared_dir(spark)}/gridloom/staged-{uuid.uuid4().hex}"
+        make().write.parquet(path)
+        _staged[key] = path
+    return spark.read.parquet(_staged[key])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
