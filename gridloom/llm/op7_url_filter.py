@@ -21,41 +21,47 @@ class UrlTrie:
     """``find(host, path)``: the rule of the longest host that fits, and of its rules the one with the longest path.
 
     A node is [children by label, tree of paths]; a node of a tree of paths is [children by whole segment, {start of the
-    next segment: (rule, verdict)}], since a rule's path may end within a segment. Of equal rules the first one counts.
+    next segment: (rule, verdict)}, lengths of these starts, longest first], since a rule's path may end within a segment.
+    Of equal rules the first one counts. What a lookup costs is bounded by the rules, however long a url's segments are.
     """
 
     def __init__(self, rules):
         self.root: list = [{}, None]
+        rules = list(rules)
+        #: No more segments of a path, and labels of a host, are looked at than rules have.
+        self.depth = max((path.count("/") for _, _, path in rules), default=0) + 1
+        self.labels = max((host.count(".") for _, host, _ in rules), default=0) + 1
         for verdict, host, path in rules:
             node = self.root
             for label in reversed(host.translate(UPPER).split(".")):
                 node = node[0].setdefault(label, [{}, None])
             if node[1] is None:
-                node[1] = [{}, {}]
+                node[1] = [{}, {}, []]
             *whole, last = path.split("/")
             place = node[1]
             for segment in whole:
-                place = place[0].setdefault(segment, [{}, {}])
+                place = place[0].setdefault(segment, [{}, {}, []])
             place[1].setdefault(last, (host.translate(UPPER) + path, verdict))
+            if len(last) not in place[2]:
+                place[2].append(len(last))
+                place[2].sort(reverse=True)
 
     @staticmethod
     def _by_path(tree: list, segments: list[str]):
         found, node = None, tree
         for segment in segments:
-            starts = node[1]
-            if starts:
-                for n in range(len(segment), -1, -1):
-                    if segment[:n] in starts:
-                        found = starts[segment[:n]]
-                        break
+            for n in node[2]:
+                if n <= len(segment) and segment[:n] in node[1]:
+                    found = node[1][segment[:n]]
+                    break
             node = node[0].get(segment)
             if node is None:
                 break
         return found
 
     def find(self, host: str, path: str):
-        found, node, segments = None, self.root, path.split("/")
-        for label in reversed(host.split(".")):
+        found, node, segments = None, self.root, path.split("/", self.depth)
+        for label in reversed(host.rsplit(".", self.labels)):
             node = node[0].get(label)
             if node is None:
                 break
