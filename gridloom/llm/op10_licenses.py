@@ -38,24 +38,30 @@ def known(spark: SparkSession) -> DataFrame:
     return short.unionByName(spark.createDataFrame(DIGESTS, "license_id string, digest string"))
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def digest_store(texts: DataFrame) -> DataFrame:
+    """license_id and digest of a table of licence texts (license_id, text); the canonical form is that of ``scan_licenses``."""
+    return texts.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id")).select("license_id", "digest")
+
+
+def scan_licenses(docs: DataFrame, store: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, canonical_sha256, license_id, notice_ids.
 
     license_id names the licence that the whole text is, after case, punctuation, copyright lines and equivalent spellings
     are normalised; else null. notice_ids names, sorted, once each and joined by commas, the licences whose notices stand
     on lines of their own; empty if none do. A null text counts as empty, and is no licence. A null doc_id, repeated
     rows and repeated ids stay as they are. Texts are read whole, whatever their length. Other columns are not read. An empty table gives an empty one.
-    The list of known digests is fixed and short, so it is broadcast; documents aren't shuffled.
+    ``store``: known licences (license_id, digest), as of ``digest_store``; by default the fixed list of ``known``, which is
+    short and so is broadcast: documents aren't shuffled. Another store is joined as Spark sees fit. Notices are looked up in the fixed list.
     """
-    spark = docs.sparkSession
-    digests = known(spark).dropDuplicates(["digest"])
-    notices = {r["digest"]: r["license_id"] for r in digests.collect()}  # the fixed list
+    fixed = known(docs.sparkSession).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    digests = F.broadcast(fixed) if store is None else store.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    notices = {r["digest"]: r["license_id"] for r in fixed.collect()}  # the fixed list
     by_digest = F.create_map(*(F.lit(x) for pair in notices.items() for x in pair))
     lines = F.filter(F.split(F.col("_spelled"), "\n"), lambda x: F.contains(x, F.lit(NOTICE_WORD)))
     named = F.filter(F.transform(lines, lambda x: F.element_at(by_digest, F.sha2(words(x), 256))), lambda x: x.isNotNull())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spelled(F.col("text")).alias("_spelled"))
     found = own.select("doc_id", F.sha2(words(F.regexp_replace("_spelled", COPYRIGHT_LINE, " ")), 256).alias("digest"), F.array_join(F.array_sort(F.array_distinct(named)), ",").alias("notice_ids"))
-    return found.join(F.broadcast(digests), "digest", "left").select("doc_id", F.col("digest").alias("canonical_sha256"), "license_id", "notice_ids")
+    return found.join(digests, "digest", "left").select("doc_id", F.col("digest").alias("canonical_sha256"), "license_id", "notice_ids")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
