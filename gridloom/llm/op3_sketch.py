@@ -16,6 +16,8 @@ WORDS, SCALE = 5, 4
 #: Ranges of doc_id for each shuffle partition.
 RANGES_A_PARTITION = 8
 LOWEST = -(1 << 63)
+#: Type of a row's place in the order: doc_id, then 60 bits of a hash of the text.
+PLACE = "decimal(38,0)"
 
 
 def _bound(value: Column, body) -> Column:
@@ -63,9 +65,13 @@ def printed(s: Column) -> Column:
     return F.lower(F.concat_ws(":", sixteen(s["digest"]), s["n"].cast("string"), F.array_join(F.transform(s["kept"], sixteen), "")))
 
 
+def _listed(bounds: list[int]) -> Column:
+    return F.expr(f"cast(split('{','.join(map(str, bounds))}', ',') as array<{PLACE}>)")
+
+
 def _range_of(key: Column, bounds: list[int]) -> Column:
     """How many of the ascending bounds lie below the key, by halving steps."""
-    held = F.expr(f"cast(split('{','.join(map(str, bounds))}', ',') as array<long>)")
+    held = _listed(bounds)
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
     n = len(bounds)
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(held, at + step - 1) < key), at + step).otherwise(at))
@@ -77,15 +83,15 @@ def _heads(keys: DataFrame, ranges: int) -> list[int]:
     near = keys.agg(F.percentile_approx("key", shares, max(10_000, 20 * ranges)).alias("b")).head()["b"]
     if not near:
         return []
-    at = _range_of(F.col("key"), sorted(set(near)))
-    return sorted(r["head"] for r in keys.groupBy(at.alias("at")).agg(F.max("key").alias("head")).collect())  # a row for each range
+    at = _range_of(F.col("key"), sorted({int(x) for x in near}))
+    return sorted(int(r["head"]) for r in keys.groupBy(at.alias("at")).agg(F.max("key").alias("head")).collect())  # a row for each range
 
 
 def with_next(docs: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
-    """``docs`` with ``next``: this column of the next row by descending ``key``, then ``tie``; after the last that of the first.
+    """``docs`` with ``next``: this column of the next row by descending ``key`` (of type PLACE), then ``tie``; after the last that of the first.
 
-    Rows are dealt by ranges of the key. The first row of each range also goes, as a guest, to the range above, where it
-    follows the last row.
+    Rows are dealt by ranges of the key, which rows with one doc_id but different texts don't share. The first row of
+    each range also goes, as a guest, to the range above, where it follows the last row.
     """
     spark = docs.sparkSession
     ranges = ranges or RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -93,13 +99,13 @@ def with_next(docs: DataFrame, column: str, ranges: int | None = None) -> DataFr
     if not heads:
         return docs.withColumn("next", F.col(column))
     n = len(heads)
-    held = F.expr(f"cast(split('{','.join(map(str, heads))}', ',') as array<long>)")
+    held = _listed(heads)
     placed = docs.withColumn("range", _range_of(F.col("key"), heads))
     here = F.struct(F.col("range").alias("at"), F.lit(False).alias("guest"))
     above = F.struct(F.expr(f"(range + 1) % {n}").alias("at"), F.lit(True).alias("guest"))
     places = F.when(F.col("key") == F.get(held, F.col("range")), F.array(here, above)).otherwise(F.array(here))
     dealt = placed.select("*", F.explode(places).alias("place")).select(*docs.columns, "place.*")
-    order = Window.partitionBy("at").orderBy("guest", F.desc("key"), "tie")
+    order = Window.partitionBy("at").orderBy("guest", F.desc("key"), F.desc("tie"))
     return dealt.withColumn("next", F.lead(column).over(order)).filter("not guest").drop("at", "guest")
 
 
@@ -112,9 +118,11 @@ def fingerprint(docs: DataFrame, words: int = WORDS, scale: int = SCALE, ranges:
     the text, and of rows that repeat it doesn't show which comes first. Other columns, whatever their names, are not read. An empty table
     gives an empty one. Whole texts are read, whatever their length. Texts are shuffled once.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(LOWEST)))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    place = F.coalesce("doc_id", F.lit(LOWEST)).cast(PLACE) * F.lit(1 << 60).cast("decimal(19,0)") + F.shiftright("tie", 4)
+    own = own.withColumn("key", place.cast(PLACE))
     content = F.struct("text", sketch(F.col("text"), words, scale).alias("sketch"))
-    paired = with_next(own.select("doc_id", "key", F.xxhash64("text").alias("tie"), content.alias("own")), "own", ranges)
+    paired = with_next(own.select("doc_id", "key", "tie", content.alias("own")), "own", ranges)
     n = F.length("own.text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("own.text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half))
