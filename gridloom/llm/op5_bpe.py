@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import bpe_for
 from gridloom.llm.common import small_batches, table
+from gridloom.llm.tokens import BYTE_LEVEL
 from gridloom.llm.wordcache import PieceCache, pieces
 
 #: Encoded pieces between spaces, and encoded matches of the pattern, that a worker keeps at most.
@@ -51,7 +52,8 @@ def _encoder(path: str, pattern: str) -> tuple[PieceCache, object]:
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit integers."""
     cache, _ = _encoder(path, pattern)
-    cut = [pieces(t) for t in texts]
+    # other patterns may match across a single space
+    cut = [pieces(t) if pattern in (default_pattern(), BYTE_LEVEL) else None for t in texts]
     known = cache.fill({k for own in cut if own for k in own})
     return [b"".join(map(known.__getitem__, own)) if own is not None else cache.encode([t])[0] for t, own in zip(texts, cut, strict=True)]
 
