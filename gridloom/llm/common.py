@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.storage import shared_dir
+
 #: A key that holds more than this share of the rows is joined by broadcast, so at most 1000 keys can be.
 HOT_SHARE = 1000
 
@@ -19,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = own.get()
-    return found.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/gridloom/{name}-{uuid.uuid4().hex}"
 
@@ -93,3 +82,18 @@ def sample_by(rows: DataFrame, label: str, each: int, labels: int, in_all: int |
     scale = 1 << 20
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(scale, -(-scale * each // n)))))
     return rows.filter(F.expr(f"pmod(xxhash64(doc_id, 'sample'), {scale})") < F.element_at(share, F.col(label)))
+
+
+def gather(rows: DataFrame, column: str, most: int, most_bytes: int) -> list:
+    """Distinct rows for the driver: the first ``most`` by a hash of the whole row, of at most ``most_bytes`` bytes of ``column`` in all (but one row at least).
+
+    Which these are depends on the rows alone. Rows are written to the shared folder; sizes are looked at before rows are sent.
+    """
+    held = stored(rows.distinct().withColumn("_order", F.xxhash64(*rows.columns)), "sample")
+    total, last = 0, None
+    for r in held.select("_order", F.octet_length(column).alias("n")).orderBy("_order").limit(most).collect():
+        total += r["n"]
+        if last is not None and total > most_bytes:
+            break
+        last = r["_order"]
+    return [] if last is None else held.filter(F.col("_order") <= last).orderBy("_order").limit(most).drop("_order").collect()

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sample_by, small_batches, table
+from gridloom.llm.common import gather, sample_by, small_batches, table
 from gridloom.llm.linear import fit_hinge, fit_sigmoid
 from gridloom.llm.ngrams import distinct_grams
 
-#: n-gram orders and hash bits; labelled documents of each class to fit on, about and in all at most; the least score of a good text.
-ORDERS, BITS, SAMPLE, SAMPLE_IN_ALL, GOOD = (3,), 18, 4000, 12_000, 0.7
+#: n-gram orders and hash bits; labelled documents of each class to fit on, about; documents and bytes of their n-grams in all, at most; the least score of a good text.
+ORDERS, BITS, SAMPLE, SAMPLE_IN_ALL, SAMPLE_BYTES, GOOD = (3,), 18, 4000, 12_000, 128 << 20, 0.7
 #: Runs of so many equal words and more have one feature.
 LONGEST_RUN = 6
 N_FEATURES = (1 << BITS) + LONGEST_RUN + 1
@@ -83,16 +83,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityModel | None:
-    """From about ``sample`` labelled documents of each class, chosen by a hash of doc_id; None if there are none. Where labels disagree, the lowest holds."""
+    """From about ``sample`` labelled documents of each class, chosen by a hash of doc_id; None if there are none. Where labels disagree, the lowest holds.
+
+    Rows that are repeated count once. The driver gets SAMPLE_IN_ALL rows and SAMPLE_BYTES bytes at most.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)")
     marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = sample_by(marks, "label", sample, 2)
     if chosen is None:
         return None
     own = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text").join(F.broadcast(chosen), "doc_id")  # the sample is bounded
-    rows = own.mapInArrow(_features, "doc_id long, label int, features binary").limit(SAMPLE_IN_ALL).collect()
-    rows = sorted((r["doc_id"] * 0x9E3779B97F4A7C15 % (1 << 64), r["label"], bytes(r["features"])) for r in rows)
-    return QualityModel([np.frombuffer(f, dtype="<u4") for _, _, f in rows], np.array([x == 1 for _, x, _ in rows])) if rows else None
+    rows = gather(own.mapInArrow(_features, "doc_id long, label int, features binary"), "features", SAMPLE_IN_ALL, SAMPLE_BYTES)
+    return QualityModel([np.frombuffer(r["features"], dtype="<u4") for r in rows], np.array([r["label"] == 1 for r in rows])) if rows else None
 
 
 def _score(batches: Iterator[pa.RecordBatch], held, good: float) -> Iterator[pa.RecordBatch]:
@@ -129,7 +131,11 @@ def _good(batches: Iterator[pa.RecordBatch], held, good: float) -> Iterator[pa.R
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, good: float = GOOD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is good; all of them if no row has a label."""
+    """The rows of ``docs``, with all their columns, whose text is good; all of them if no row has a label.
+
+    Null and empty texts have no features and are judged by the bias. A null doc_id, repeated rows and repeated ids are judged
+    each by its text. Columns may have any names. An empty table gives an empty one. Whole texts are read, whatever their length.
+    """
     held = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(f"not ({HELD_OUT})"), labels.filter(f"not ({HELD_OUT})")))
     return docs.mapInArrow(partial(_good, held=held, good=good), docs.schema)
 

@@ -7,29 +7,31 @@ the bit is for that language; the codeword with the least loss wins, and a close
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import sample_by, small_batches, table
+from gridloom.llm.common import gather, sample_by, small_batches, table
 from gridloom.llm.linear import fit_hinge
 from gridloom.llm.ngrams import distinct_grams
 
-#: n-gram orders and hash bits; documents of each language to fit on, about and in all at most; languages at most.
-ORDERS, BITS, SAMPLE, SAMPLE_IN_ALL, LANGUAGES = (1, 2, 3), 16, 1200, 20_000, 200
+#: n-gram orders and hash bits; documents of each language to fit on, about; documents and bytes of their n-grams in all, at most; languages at most.
+ORDERS, BITS, SAMPLE, SAMPLE_IN_ALL, SAMPLE_BYTES, LANGUAGES = (1, 2, 3), 16, 1200, 20_000, 128 << 20, 200
 #: A text whose second language loses no more than this above its first is ambiguous.
 MARGIN = 0.1
 UNKNOWN = "und"
-has_letter = re.compile(r"[^\W\d_]").search
+#: A text of so many distinct n-grams is in no learned language if its first language loses more than so many times what any held-back text's does.
+LEAST_GRAMS, FAR = 50, 1.3
+has_letter = regex.compile(r"\p{L}").search
 
 
 def codewords(n: int) -> np.ndarray:
-    """n distinct rows of +1 and -1: every split in two for up to 5 languages, else 12 seeded even splits for each doubling."""
+    """n rows of +1 and -1: every split in two for up to 5 languages, else 12 seeded even splits for each doubling, of which any two rows differ in a quarter or more."""
     if n <= 5:
         splits = range(1, 1 << max(n - 1, 0))
         return np.array([[1 if s >> i & 1 else -1 for s in splits] for i in range(n)], dtype=np.int8).reshape(n, -1)
@@ -37,7 +39,8 @@ def codewords(n: int) -> np.ndarray:
     half = np.where(np.arange(n) % 2 == 0, 1, -1)
     while True:
         code = np.stack([random.permutation(half) for _ in range(12 * int(np.ceil(np.log2(n))))], axis=1).astype(np.int8)
-        if len(np.unique(code, axis=0)) == n:
+        alike = code.astype(int) @ code.T - code.shape[1] * np.eye(n, dtype=int)
+        if alike.max() <= code.shape[1] // 2:
             return code
 
 
@@ -46,30 +49,47 @@ def features(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 class LanguageModel:
+    """Bits are fitted on four fifths of each language's rows; how far they are to be trusted, and what losses are usual, is seen on the others."""
+
     def __init__(self, rows: list[np.ndarray], languages: list[str]):
         self.names = sorted(set(languages))
         own = np.searchsorted(self.names, languages)
         self.code = codewords(len(self.names))
-        ones = np.ones(1 << BITS)
-        bits = [fit_hinge(rows, self.code[own, k], ones, 10.0, 15, unit=True) for k in range(self.code.shape[1])]
+        place = np.zeros(len(own), dtype=int)
+        for i in range(len(self.names)):
+            place[own == i] = np.arange((own == i).sum())
+        back = place % 5 == 4
+        fitted, ones = [r for r, x in zip(rows, back, strict=True) if not x], np.ones(1 << BITS)
+        bits = [fit_hinge(fitted, self.code[own[~back], k], ones, 10.0, 15, unit=True) for k in range(self.code.shape[1])]
         self.weights = np.array([w for w, _ in bits], dtype=np.float32).reshape(len(bits), 1 << BITS).T.copy()
         self.bias = np.array([b for _, b in bits])
-        right = np.array([self.outputs(r) for r in rows]).reshape(len(rows), -1) * self.code[own] > 0
+        held, own = [r for r, x in zip(rows, back, strict=True) if x], own[back]
+        right = np.array([self.outputs(r) for r in held]).reshape(len(held), -1) * self.code[own] > 0
         trust = np.array([(right[own == i].sum(axis=0) + 1) / ((own == i).sum() + 2) for i in range(len(self.names))]).reshape(self.code.shape)
         self.trust = trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-12)
+        usual = [self.losses(r).min() for r in held if len(r) >= LEAST_GRAMS]
+        self.far = FAR * max(usual) if usual else np.inf
 
     def outputs(self, row: np.ndarray) -> np.ndarray:
         return self.weights[row].sum(axis=0) / max(np.sqrt(len(row)), 1.0) + self.bias
 
+    def losses(self, row: np.ndarray) -> np.ndarray:
+        """What each language loses, over its bits."""
+        return (self.trust * np.log1p(np.exp(-2.0 * self.code * self.outputs(row)))).sum(axis=1)
+
     def decode(self, row: np.ndarray) -> tuple[str, float, float]:
         """Language, score, and how much more the next one loses."""
         if len(self.names) == 1:
             return self.names[0], 1.0, 1.0
-        losses = (self.trust * np.log1p(np.exp(-2.0 * self.code * self.outputs(row)))).sum(axis=1)
+        losses = self.losses(row)
         first, second = np.argsort(losses, kind="stable")[:2]
         shares = np.exp(-4.0 * (losses - losses[first]))
         return self.names[first], float(1 / shares.sum()), float(losses[second] - losses[first])
 
+    def knows(self, row: np.ndarray) -> bool:
+        """Whether the nearest codeword is about as near as those of texts in learned languages; short texts count as near."""
+        return len(row) < LEAST_GRAMS or float(self.losses(row).min()) <= self.far
+
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text"):
@@ -78,15 +98,17 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
-    """From about ``sample`` documents of each language, chosen by a hash of doc_id, of those with a language and a text; None if there are none."""
+    """From about ``sample`` documents of each language, chosen by a hash of doc_id, of those with a language and a text; None if there are none.
+
+    Documents whose n-grams are the same count once. The driver gets SAMPLE_IN_ALL rows and SAMPLE_BYTES bytes at most.
+    """
     own = docs.select("doc_id", "text", F.col("lang").cast("string").alias("label")).filter("label is not null and text is not null")
     chosen = sample_by(own, "label", sample, LANGUAGES, SAMPLE_IN_ALL)
     if chosen is None:
         return None
-    # the bound is shared out above; it cuts only what the hash of doc_id lets through beyond that, of no language more than of others
-    rows = chosen.mapInArrow(_features, "label string, features binary").orderBy(F.xxhash64("label", "features")).limit(SAMPLE_IN_ALL).collect()
-    rows = sorted((r["label"], bytes(r["features"])) for r in rows)
-    return LanguageModel([np.frombuffer(f, dtype="<u4") for _, f in rows], [label for label, _ in rows]) if rows else None
+    # the bound is shared out above; this cuts only what the hash of doc_id lets through beyond that, of no language more than of others
+    rows = gather(chosen.mapInArrow(_features, "label string, features binary"), "features", SAMPLE_IN_ALL, SAMPLE_BYTES)
+    return LanguageModel([np.frombuffer(r["features"], dtype="<u4") for r in rows], [r["label"] for r in rows]) if rows else None
 
 
 def _predict(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
@@ -123,13 +145,20 @@ def _identified(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBa
     model = held.value
     for batch in small_batches(batches, "text"):
         texts = batch.column("text").to_pylist()
-        yield batch.filter(pa.array([bool(model is not None and t and has_letter(t)) and model.decode(row)[0] != UNKNOWN for t, row in zip(texts, features(texts), strict=True)]))
+        yield batch.filter(pa.array([bool(t and has_letter(t)) and model.knows(row) for t, row in zip(texts, features(texts), strict=True)]))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text has a language: not ``und``. Ambiguous texts stay; a text in two languages is clean."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs.filter(f"not ({HELD_OUT})")))
-    return docs.mapInArrow(partial(_identified, held=held), docs.schema)
+    """The rows of ``docs``, with all their columns, whose text is in a learned language: it has a letter, and the nearest codeword is near enough (``LanguageModel.knows``).
+
+    Ambiguous texts stay; a text in two languages is clean. Null texts go; a null doc_id, repeated rows and repeated ids are
+    judged each by its text. Where nothing can be learned, every row stays. Columns may have any names. An empty table gives an
+    empty one. Whole texts are read, whatever their length.
+    """
+    model = fit(docs.filter(f"not ({HELD_OUT})"))
+    if model is None:
+        return docs
+    return docs.mapInArrow(partial(_identified, held=docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
