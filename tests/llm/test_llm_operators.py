@@ -161,11 +161,13 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in op4.language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 20])
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 20, 200])
 def test_codewords(n):
     code = op4.codewords(n)
     assert len(np.unique(code, axis=0)) == n or n == 1
     assert n == 1 or all(len(set(c)) == 2 for c in code.T)
+    if n > 5:
+        assert min((a != b).sum() for i, a in enumerate(code) for b in code[:i]) >= code.shape[1] / 4
 
 
 # 3
@@ -235,6 +237,17 @@ def test_bpe_of_odd_strings(seed):
         assert ids == library.encode_ordinary(text) and op5.decode_ids(ids, op5.default_path()) == text.encode()
 
 
+def test_bpe_of_other_patterns():
+    """Matches across spaces."""
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(op5.default_path(), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    for pattern in (r"[^\n]+|\n", r"\w+ \w+|\w+|\W"):
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        for text in ("one two three four", "of the first", "a  b\nc d e"):
+            assert np.frombuffer(op5.encode_texts([text], op5.default_path(), pattern)[0], dtype="<u4").tolist() == library.encode_ordinary(text)
+
+
 # 6
 
 
@@ -362,6 +375,14 @@ def test_urls(spark):
     assert op7.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_urls_of_any_length(spark):
+    """Megabytes of one segment, of many segments and of many labels; repeated rows, columns with names of results."""
+    long_ = ["http://example.org/es/" + "a" * 3_000_000, "http://example.org/" + "x/" * 1_000_000, "http://" + "a." * 1_000_000 + "example.org/en/1", "http://example.org/en/1" + "1" * 3_000_000]
+    pages = spark.createDataFrame([(1, long_[0]), (2, long_[1]), (3, long_[2]), (4, long_[3]), (4, long_[3])], "page_id long, url string").withColumns({n: F.lit("clash") for n in ("host", "path", "rule", "verdict")})
+    got = [(r.page_id, r.rule, r.verdict) for r in op7.filter_urls(pages).select("page_id", "rule", "verdict").collect()]
+    assert sorted(got) == [(1, "example.org/es/", "block"), (2, "org/", "allow"), (3, "example.org/en/1", "block"), (4, "example.org/en/1", "block"), (4, "example.org/en/1", "block")]
+
+
 def test_longest_host_first():
     trie = op7.UrlTrie([("allow", "b.com", "/"), ("block", "com", "/a/b/c"), ("block", "b.com", "/x"), ("allow", "b.com", "/x/y/")])
     assert trie.find("a.b.com", "/a/b/c")[0] == "b.com/" and trie.find("b.com", "/xyz")[0] == "b.com/x" and trie.find("b.com", "/x/y/z")[0] == "b.com/x/y/"
@@ -514,6 +535,16 @@ def test_license_forms(spark):
     assert [got[i] for i in range(len(rows))] == [k for k, _ in rows]
 
 
+def test_license_store(spark):
+    """A store of one's own, and documents that are its texts whole, in other case and punctuation, or in part; repeated and long ones."""
+    texts = spark.createDataFrame([("OWN-1", "The Own Licence\nCopyright 2020 Me\nDo as you like; " + "at all times " * 50_000), ("OWN-2", "Nothing is allowed."), ("ALSO-2", "nothing is allowed")], "license_id string, text string")
+    long_ = "THE OWN LICENSE!\n(c) Copyright 1999 You\ndo as you like " + "at all times, " * 50_000
+    rows = [(1, long_), (2, "Nothing -- is ALLOWED"), (2, "Nothing -- is ALLOWED"), (3, "Nothing is allowed here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit("clash") for n in ("digest", "license_id", "_spelled")})
+    got = Counter((r.doc_id, r.license_id) for r in op10.scan_licenses(docs, op10.digest_store(texts)).collect())
+    assert got == Counter({(1, "OWN-1"): 1, (2, "ALSO-2"): 2, (3, None): 1, (None, None): 1})
+
+
 def test_damaged_store(spark, odd, tmp_path, monkeypatch):
     """A lost chunk, a recipe with other lengths or another place, each in an otherwise whole store."""
     def changed(name, folder, how):
