@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.operators.pack import Group, pack_groups
 from gridloom.sources.pbf import InputRefused
+from gridloom.sources.ranges import opened
 
 # Fixed values of the format.
 VERSION, LEAST_VERSION, MOST_VERSION, LEAST_GLOBAL_VERSION = 7600, 7512, 7600, 7561
@@ -17,24 +19,48 @@ MAP_VERSION, FACTOR_LOG = 1_007_053_000, 3
 MAP_IDS = 65_536
 ENTRY = struct.Struct("<III")
 #: How long a key is, by what the file's name begins with.
-KINDS = {"tags_local": "local", "tags_global": "global"}
+KINDS = {"_tags_local": "local", "_tags_global": "global", "_frequent_tags": "string"}
+NO_COMPRESSION, LZ4 = 0, 2
+#: Record layouts: a fixed length, or (place and type of the number of parts, bytes before them, bytes of a part).
+RECORDS = {"areas.bin": ("<I", 4, 8, 4), "area_blocks.bin": ("<H", 4, 6, 5), "area_tags_local.bin": 4, "area_tags_global.bin": 4}
 
 
 def kind_of(name: str) -> str:
-    return next((v for k, v in KINDS.items() if k in name), "u32")
+    return next((v for k, v in KINDS.items() if name.removesuffix(".bin").endswith(k)), "u32")
+
+
+def record_starts(layout: int | tuple, objects: bytes) -> list[int]:
+    """Where each object of a group begins; refuses if they don't use it up exactly."""
+    out, at = [], 0
+    while at < len(objects):
+        out.append(at)
+        size = layout
+        if not isinstance(layout, int):
+            form, place, head, each = layout
+            if at + head > len(objects):
+                raise InputRefused(f"the object at byte {at} is cut off")
+            size = head + each * struct.unpack_from(form, objects, at + place)[0]
+        if at + size > len(objects):
+            raise InputRefused(f"the object at byte {at} goes beyond its group")
+        at += size
+    return out
 
 
 def key_length(kind: str, data: bytes) -> int:
     if kind == "u32":
         return 4
-    if len(data) < 4:
+    if len(data) < (2 if kind == "string" else 4):
         raise InputRefused("a key is cut off")
+    if kind == "string":
+        return 2 + int.from_bytes(data[:2], "little")
     return (7 if kind == "local" else 8) + int.from_bytes(data[:2], "little") + int.from_bytes(data[2:4], "little")
 
 
 def describe_key(kind: str, key: bytes) -> str:
     if kind == "u32":
         return f"0x{int.from_bytes(key, 'little'):08x}"
+    if kind == "string":
+        return '"' + key[2:].decode("utf-8", "replace") + '"'
     k, v = (int.from_bytes(key[i : i + 2], "little") for i in (0, 2))
     at = 7 if kind == "local" else 8
     index, digits = int.from_bytes(key[4:at], "little"), 2 * (at - 4)
@@ -53,19 +79,75 @@ def global_key(k: str, v: str, index: int = 0) -> bytes:
     return struct.pack("<HHI", len(a), len(b), index) + a + b
 
 
-def write_blocks(groups: list[Group], block: int) -> tuple[bytes, bytes]:
-    """(data, index) of uncompressed blocks; both empty without groups."""
+def framed(payload: bytes, method: int, unit: int) -> bytes:
+    """A payload as it is stored: as it is, or its length and lz4 data (or the length negative and it as it is, if that is shorter), filled up to whole units."""
+    if method == LZ4:
+        packed = pack_lz4(payload)
+        payload = struct.pack("<i", len(packed)) + packed if len(packed) < len(payload) else struct.pack("<i", -len(payload)) + payload
+    return payload.ljust(max(-(-len(payload) // unit), 1) * unit, b"\0")
+
+
+def index_header(block: int, method: int = NO_COMPRESSION) -> bytes:
+    return struct.pack("<IBBH", VERSION, (block >> FACTOR_LOG).bit_length() - 1, FACTOR_LOG, method)
+
+
+def write_blocks(groups: list[Group], block: int, method: int = NO_COMPRESSION) -> tuple[bytes, bytes]:
+    """(data, index) of blocks; both empty without groups."""
     unit = block >> FACTOR_LOG
     data, index = [], []
     at = 0
     for key, payload in pack_groups(groups, block):
-        units = -(-len(payload) // unit)
+        data.append(framed(payload, method, unit))
+        units = len(data[-1]) // unit
         index.append(ENTRY.pack(at, units, 0) + key)
-        data.append(payload.ljust(units * unit, b"\0"))
         at += units
     if not data:
         return b"", b""
-    return b"".join(data), struct.pack("<IBBH", VERSION, unit.bit_length() - 1, FACTOR_LOG, 0) + b"".join(index)
+    return b"".join(data), index_header(block, method) + b"".join(index)
+
+
+def pack_lz4(data: bytes) -> bytes:
+    """A raw block of the lz4 format. Matches are sought by the last place of the next four bytes."""
+    out, seen, at, anchor, n = bytearray(), {}, 0, 0, len(data)
+
+    def length(x: int) -> bytes:
+        return b"" if x < 15 else b"\xff" * ((x - 15) // 255) + bytes([(x - 15) % 255])
+
+    def sequence(literals: bytes, back: int, size: int) -> None:
+        extra = size - 4 if size else 0
+        out.append(min(len(literals), 15) << 4 | min(extra, 15))
+        out.extend(length(len(literals)) + literals)
+        if size:
+            out.extend(back.to_bytes(2, "little") + length(extra))
+
+    # the format asks for five literals at the end, and for matches to begin twelve bytes before it at the latest
+    while at < n - 12:
+        word = data[at : at + 4]
+        place = seen.get(word)
+        seen[word] = at
+        if place is None or at - place > 0xFFFF:
+            at += 1
+            continue
+        size = 4
+        while at + size < n - 5 and data[place + size] == data[at + size]:
+            size += 1
+        sequence(data[anchor:at], at - place, size)
+        at += size
+        anchor = at
+    sequence(data[anchor:], 0, 0)
+    return bytes(out)
+
+
+def payload_length(raw: bytes, method: int) -> int:
+    """Bytes of a stored block that are read; what follows fills up its last unit."""
+    if method == NO_COMPRESSION or not raw:
+        return len(raw)
+    if len(raw) < 4:
+        raise InputRefused("a block's length is cut off")
+    size = 4 + abs(int.from_bytes(raw[:4], "little", signed=True))
+    if size > len(raw):
+        raise InputRefused("a block claims more than it spans")
+    return size
 
 
 def unpack_lz4(data: bytes, most: int) -> bytes:
@@ -135,44 +217,61 @@ def parse_index(index: bytes, kind: str) -> tuple[int, int, int, list[tuple[int,
     return 1 << unit_log, 1 << unit_log + factor, method, entries
 
 
+def _unpacked(raw: bytes, method: int, block_size: int) -> bytes:
+    if method == NO_COMPRESSION:
+        return raw
+    size = payload_length(raw, method)
+    return raw[4:size] if int.from_bytes(raw[:4], "little", signed=True) < 0 else unpack_lz4(raw[4:size], block_size)
+
+
+def groups_of(blocks: list[tuple[int, bytes]], at: Callable[[int], bytes], method: int, block_size: int, kind: str) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(first block, last block, key, objects) of consecutive blocks (number, key); ``at`` gives the bytes of the i-th. An oversized object's blocks are put together."""
+    i = 0
+    while i < len(blocks):
+        raw = _unpacked(at(i), method, block_size)
+        if len(raw) < 8:
+            raise InputRefused("a block is shorter than its sizes")
+        total, following = struct.unpack_from("<II", raw)
+        first = i
+        if total > block_size:
+            raise InputRefused("a block claims more than a block")
+        if total > 4 and following > block_size:  # one object over several blocks
+            more = (following - 1) // block_size
+            if i + more >= len(blocks):
+                raise InputRefused("a group goes beyond the last block")
+            if any(blocks[j][1] != blocks[i][1] for j in range(i + 1, i + 1 + more)):
+                raise InputRefused("blocks of one group have different keys")
+            raw = b"".join([raw, *(_unpacked(at(j), method, block_size) for j in range(i + 1, i + 1 + more))])
+            total, i = following, i + more
+        if total > len(raw):
+            raise InputRefused("a block claims more than it holds")
+        start = 4
+        while start < total:
+            end = int.from_bytes(raw[start : start + 4], "little")
+            n = key_length(kind, raw[start + 4 : end])
+            if end > total or start + 4 + n > end:
+                raise InputRefused("a group goes beyond its block")
+            yield blocks[first][0], blocks[i][0], raw[start + 4 : start + 4 + n], raw[start + 4 + n : end]
+            start = end
+        i += 1
+
+
 def read_groups(data: bytes, index: bytes, kind: str) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(first block, last block, key, objects) in file order; an oversized object's blocks are put together."""
+    """(first block, last block, key, objects) in file order."""
     if not index:
         if data:
             raise InputRefused("data without an index")
         return
     unit, block_size, method, entries = parse_index(index, kind)
 
-    def payload(i: int) -> bytes:
+    def at(i: int) -> bytes:
         position, size, _ = entries[i]
         raw = data[position * unit : (position + size) * unit]
         if len(raw) < size * unit:
             raise InputRefused("a block goes beyond the file")
-        if method == 2:
-            n = int.from_bytes(raw[:4], "little", signed=True)
-            raw = raw[4 : 4 - n] if n < 0 else unpack_lz4(raw[4 : 4 + n], block_size)
         return raw
 
-    i = 0
-    while i < len(entries):
-        raw = payload(i)
-        total, following = struct.unpack_from("<II", raw)
-        first = i
-        if following > block_size:  # one object over several blocks
-            more = (following - 1) // block_size
-            raw = b"".join([raw, *(payload(j) for j in range(i + 1, i + 1 + more))])
-            total, i = following, i + more
-        elif total > len(raw):
-            raise InputRefused("a block claims more than it holds")
-        at = 4
-        while at < total:
-            end = int.from_bytes(raw[at : at + 4], "little")
-            n = key_length(kind, raw[at + 4 :])
-            if end > total or at + 4 + n > end:
-                raise InputRefused("a group goes beyond its block")
-            yield first, i, raw[at + 4 : at + 4 + n], raw[at + 4 + n : end]
-            at = end
-        i += 1
+    yield from groups_of([(i, key) for i, (_, _, key) in enumerate(entries)], at, method, block_size, kind)
 
 
 def write_map(indexes: list[tuple[int, int]]) -> tuple[bytes, bytes]:
@@ -198,18 +297,115 @@ def map_blocks_in_use(index: bytes) -> list[int]:
     return [i for i in range((len(index) - 8) // 8) if index[8 + 8 * i : 12 + 8 * i] != b"\xff" * 4]
 
 
+ENTRIES = "file string, path string, block long, run long, start long, end long, key binary, unit int, block_size int, method int, length long"
+
+
+def entries(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each block that the indexes of a folder list (columns of ENTRIES). Only index files are read.
+
+    ``run``: the first of the consecutive blocks with one key, which a large group may span; ``length``: of the data file.
+    """
+    found = spark.read.format("binaryFile").load(folder)
+    name = F.regexp_extract("path", "([^/]+?)([.]idx)?$", 1)
+    data = found.filter("path like '%.bin'").select(name.alias("file"), "path", "length")
+    index = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin.idx").load(folder).select(name.alias("file"), F.col("content").alias("idx"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in ENTRIES.split(", ")]
+        types = (pa.string(), pa.string(), *[pa.int64()] * 4, pa.binary(), *[pa.int32()] * 3, pa.int64())
+        for batch in batches:
+            for file, path, length, idx in zip(*(batch.column(c).to_pylist() for c in ("file", "path", "length", "idx")), strict=True):
+                if not idx:
+                    if length:
+                        raise InputRefused(f"{file}: data without an index")
+                    continue
+                unit, block_size, method, listed = parse_index(idx, kind_of(file))
+                out, run = [], 0
+                for i, (position, size, key) in enumerate(listed):
+                    run = run if i and key == listed[i - 1][2] else i
+                    if (position + size) * unit > length:
+                        raise InputRefused(f"{file}: a block goes beyond the file")
+                    out.append((file, path, i, run, position * unit, (position + size) * unit, key, unit, block_size, method, length))
+                for i in range(0, len(out), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 10_000], strict=True), types, strict=True)], names)
+
+    return data.join(index, "file", "left").mapInArrow(rows, ENTRIES)
+
+
+def _by_run(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
+    """Rows in runs of blocks with one key; rows come by file and block."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if held and (row[0], row[3]) != (held[0][0], held[0][3]):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+GROUPS = "file string, block long, last_block long, key binary, described string, objects binary"
+
+
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, block, last_block, key, described, objects) of every block file of a folder; files are read in parallel, each by one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin*").load(folder).selectExpr("regexp_extract(path, '([^/]+?)([.]idx)?$', 1) as file", "path like '%.idx' as is_index", "content")
-    pairs = files.filter("not is_index").selectExpr("file", "content as data").join(files.filter("is_index").selectExpr("file", "content as idx"), "file")
+    """Groups of every block file of a folder (columns of GROUPS). Blocks are dealt by runs of one key and read by their ranges, so a file is read by many tasks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in ENTRIES.split(", ")]
+        types, path, source = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary()), None, None
+        out, held = [], 0
+        for run in _by_run(batches, names):
+            if run[0][1] != path:
+                path, source = run[0][1], opened(run[0][1])
+            file, kind = run[0][0], kind_of(run[0][0])
+            at = lambda i, run=run, source=source: source.read_at(run[i][5] - run[i][4], run[i][4])
+            for a, b, key, objects in groups_of([(r[2], r[6]) for r in run], at, run[0][9], run[0][8], kind):
+                out.append((file, a, b, key, describe_key(kind, key), objects))
+                held += len(objects)
+                if held > 4 << 20 or len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in GROUPS.split(", ")])
+                    out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in GROUPS.split(", ")])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return entries(spark, folder).repartitionByRange(parts, "file", "run").sortWithinPartitions("file", "block").mapInArrow(rows, GROUPS)
+
+
+def layout(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, block, key, start, payload_end, end) of every block; of a block only its length is read."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, source = None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["path"] != path:
+                    path, source = r["path"], opened(r["path"])
+                size = r["end"] - r["start"]
+                used = size
+                if r["method"] != NO_COMPRESSION and size:
+                    used = 4 + abs(int.from_bytes(source.read_at(4, r["start"]), "little", signed=True))
+                    if used > size:
+                        raise InputRefused("a block claims more than it spans")
+                out.append((r["file"], r["block"], describe_key(kind_of(r["file"]), r["key"]), r["start"], r["start"] + used, r["end"]))
+            types = (pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3)
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "block", "key", "start", "payload_end", "end"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return entries(spark, folder).repartitionByRange(parts, "file", "block").sortWithinPartitions("file", "block").mapInArrow(rows, "file string, block long, key string, start long, payload_end long, end long")
+
+
+def map_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, block) of the blocks in use of every map file of a folder."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.map.idx").load(folder).select(F.regexp_extract("path", "([^/]+?)[.]idx$", 1).alias("file"), "content")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, data, index in zip(*(batch.column(c).to_pylist() for c in ("file", "data", "idx")), strict=True):
-                kind = kind_of(file)
-                found = [(file, a, b, k, describe_key(kind, k), o) for a, b, k, o in read_groups(data, index, kind)]
-                columns = list(zip(*found, strict=True)) or [()] * 6
-                types = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "block", "last_block", "key", "described", "objects"])
-
-    return pairs.select("file", "data", "idx").mapInArrow(rows, "file string, block long, last_block long, key binary, described string, objects binary")
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                used = map_blocks_in_use(content)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(used), pa.string()), pa.array(used, pa.int64())], ["file", "block"])
+
+    return found.mapInArrow(rows, "file string, block long")

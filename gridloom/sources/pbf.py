@@ -1,7 +1,7 @@
 """Graphs in the length-prefixed protobuf format for maps: reading, checking and writing.
 
-Files are read by Spark as binary, cut into blobs, dealt, and decoded blob by blob; where an element stood is kept in
-(block, pos). What the format allows but the graph can't hold is refused with InputRefused.
+A task for each file finds where its blobs stand, by their headers alone; blobs are then dealt, read by their ranges and
+decoded; where an element stood is kept in (file, block, pos). What the format allows but the graph can't hold is refused with InputRefused.
 """
 
 from __future__ import annotations
@@ -12,17 +12,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.sources.ranges import opened
 
 # Fixed values of the format.
 MOST_HEADER, MOST_BLOB, LONGEST_TEXT = 64 << 10, 32 << 20, 65_535
 HEADER_BLOB, DATA_BLOB = "OSMHeader", "OSMData"
 FEATURES = ("OsmSchema-V0.6", "DenseNodes", "Sort.Type_then_ID", "LocationsOnWays", "Has_Metadata")
 MOST_NODE, MOST_OTHER = (1 << 63) - 1, (1 << 32) - 1
-ELEMENTS = "block long, pos long, kind int, id long, lat long, lon long, refs array<long>, members array<struct<kind:int,ref:long,role:string>>, tags array<struct<k:string,v:string>>"
+ELEMENTS = "file string, block long, pos long, kind int, id long, lat long, lon long, refs array<long>, members array<struct<kind:int,ref:long,role:string>>, tags array<struct<k:string,v:string>>"
 _TAG = pa.struct([("k", pa.string()), ("v", pa.string())])
 _MEMBER = pa.struct([("kind", pa.int32()), ("ref", pa.int64()), ("role", pa.string())])
-_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(_MEMBER), pa.list_(_TAG))
-_NAMES = ("block", "pos", "kind", "id", "lat", "lon", "refs", "members", "tags")
+_TYPES = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(_MEMBER), pa.list_(_TAG))
+_NAMES = ("file", "block", "pos", "kind", "id", "lat", "lon", "refs", "members", "tags")
 
 
 class InputRefused(ValueError):
@@ -106,22 +109,22 @@ def blobs(data: bytes) -> Iterator[tuple[str, bytes]]:
     at = 0
     while at < len(data):
         if at + 4 > len(data):
-            raise InputRefused("truncated: blob header length")
+            raise InputRefused("the length of a header is cut off")
         size = int.from_bytes(data[at : at + 4], "big")
         if size > MOST_HEADER:
-            raise InputRefused(f"blob header claims {size} bytes")
+            raise InputRefused(f"a header of {size} bytes")
         at += 4
         if at + size > len(data):
-            raise InputRefused("truncated: blob header")
+            raise InputRefused("a header is cut off")
         header = _message(data[at : at + size])
         at += size
         if 1 not in header or 3 not in header:
             raise InputRefused("blob header without type or size")
         size = header[3][-1]
         if size > MOST_BLOB:
-            raise InputRefused(f"blob claims {size} bytes")
+            raise InputRefused(f"a blob of {size} bytes")
         if at + size > len(data):
-            raise InputRefused("truncated: blob")
+            raise InputRefused("a blob is cut off")
         yield _text(header[1][-1]), data[at : at + size]
         at += size
 
@@ -230,7 +233,7 @@ class _Block:
         self._visible(parts, 5)
         ids, lats, lons = (np.cumsum(unzigzag(_numbers(parts.get(n)))).tolist() for n in (1, 8, 9))
         if not len(ids) == len(lats) == len(lons):
-            raise InputRefused("dense nodes with differing numbers of ids and coordinates")
+            raise InputRefused("ids and coordinates of dense nodes differ in number")
         pairs = _numbers(parts.get(10)).tolist()
         at = 0
         for number, lat, lon in zip(ids, lats, lons, strict=True):
@@ -272,34 +275,78 @@ def decode_block(data: bytes) -> list[tuple]:
     return _Block(data).rows
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where the blobs of each file stand. Of a file its blobs' headers and its first blob are read."""
+    types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            first = True
-            for n, (kind, blob) in enumerate(blobs(content)):
-                if first:
+        for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            source, rows, at = opened(path), [], 0
+            while at < length:
+                head = source.read_at(4, at)
+                if len(head) < 4:
+                    raise InputRefused(f"{path}: the length of a header is cut off")
+                size = int.from_bytes(head, "big")
+                if size > MOST_HEADER:
+                    raise InputRefused(f"{path}: a header of {size} bytes")
+                header = _message(source.read_at(size, at + 4)) if at + 4 + size <= length else {}
+                if 1 not in header or 3 not in header:
+                    raise InputRefused(f"{path}: a header is cut off, or has no type or size")
+                at, size, kind, seconds = at + 4 + size, header[3][-1], _text(header[1][-1]), None
+                if size > MOST_BLOB or at + size > length:
+                    raise InputRefused(f"{path}: a blob of {size} bytes is too large or cut off")
+                if not rows:
                     if kind != HEADER_BLOB:
                         raise InputRefused(f"{path}: the first blob is {kind}, not a header")
-                    check_header(inflate(blob))
-                    first = False
-                elif kind == DATA_BLOB:
-                    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([blob], pa.binary())], ["block", "blob"])
-            if first:
+                    seconds = check_header(inflate(source.read_at(size, at)))
+                rows.append((path, len(rows), kind, at, size, seconds))
+                at += size
+            if not rows:
                 raise InputRefused(f"{path}: no header")
+            for i in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000], strict=True), types, strict=True)], ["path", "block", "kind", "at", "size", "seconds"])
+
+
+def blob_index(spark: SparkSession, path: str) -> DataFrame:
+    """(path, block, kind, at, size, seconds) of the blobs of a file or of the files of a folder; ``seconds``: the time of replication that a file's header gives."""
+    found = spark.read.format("binaryFile").load(path).select("path", "length")
+    return found.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(_headers, "path string, block long, kind string, at long, size long, seconds long")
+
+
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """(path, seconds) of each file."""
+    return blob_index(spark, path).filter("block = 0").select("path", "seconds")
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    path, source = None, None
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["path"] != path:
+                path, source = r["path"], opened(r["path"])
+            blob = source.read_at(r["size"], r["at"])
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([r["block"]], pa.int64()), pa.array([blob], pa.binary())], ["file", "block", "blob"])
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            rows = [(block, pos, *row) for pos, row in enumerate(decode_block(inflate(blob)))]
+        for file, block, blob in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "blob")), strict=True):
+            rows = [(file, block, pos, *row) for pos, row in enumerate(decode_block(inflate(blob)))]
             columns = list(zip(*rows, strict=True)) or [()] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], list(_NAMES))
 
 
 def read(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
-    """Elements (columns of ELEMENTS) of a file of at most 2 GB, or of a folder of such files with blocks numbered in each."""
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_split, "block long, blob binary")
-    return found.repartition(parts or spark.sparkContext.defaultParallelism, "block").mapInArrow(_decode, ELEMENTS)
+    """Elements (columns of ELEMENTS) of a file of any size, or of the files of a folder with blocks numbered in each. Other kinds of blobs are passed over."""
+    found = blob_index(spark, path).filter(F.col("kind") == DATA_BLOB)
+    dealt = found.repartition(parts or spark.sparkContext.defaultParallelism, "path", "block").sortWithinPartitions("path", "block")
+    return dealt.mapInArrow(lambda batches: _decode(_ranges(batches)), ELEMENTS)
+
+
+def stage(elements: DataFrame, folder: str) -> dict[int, DataFrame]:
+    """Elements written once, in folders by kind, and each kind read from there: later reads of one kind don't touch the others."""
+    elements.write.partitionBy("kind").parquet(folder)
+    every = elements.sparkSession.read.schema(elements.schema).parquet(folder)
+    return {kind: every.filter(F.col("kind") == kind) for kind in (1, 2, 3)}
 
 
 # Writing.
