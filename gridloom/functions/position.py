@@ -198,7 +198,10 @@ def slot(node_id: Column) -> Column:
 
 
 def iso_timestamp(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """In UTC, whatever the session's time zone."""
+    day, rest = F.floor(seconds / 86_400).cast("int"), F.pmod(seconds.cast("long"), F.lit(86_400))
+    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd")
+    return F.format_string("%sT%02d:%02d:%02dZ", date, F.floor(rest / 3600).cast("int"), F.floor(rest / 60).cast("int") % 60, (rest % 60).cast("int"))
 
 
 def degrees_text(value: Column) -> Column:

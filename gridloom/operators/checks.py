@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import position as P
+from gridloom.operators.shards import in_ranges
 
 MOST_NODE, MOST_OTHER, LONGEST_TEXT = 1 << 42, (1 << 32) - 1, 65_535
 
@@ -62,5 +65,29 @@ def empty_or_unplaced(ways: DataFrame, refs: DataFrame) -> DataFrame:
 
 def key_order_violations(groups: DataFrame, file: str, seq: str, *key: str) -> DataFrame:
     """Groups whose key doesn't follow that before it in its file."""
-    w = Window.partitionBy(file).orderBy(seq)
-    return groups.withColumn("prior", F.lag(F.struct(*key)).over(w)).filter(F.col("prior") >= F.struct(*key))
+    own = in_ranges(groups.withColumn("_key", F.struct(*key)), file, seq)
+    earlier = Window.partitionBy(file).orderBy("_part")
+    seams = own.groupBy(file, "_part").agg(F.max_by("_key", seq).alias("_last")).select(file, "_part", F.lag("_last").over(earlier).alias("_seam"))  # a row a range
+    inside = F.lag("_key").over(Window.partitionBy(file, "_part").orderBy(seq))
+    found = own.withColumn("_inside", inside).join(seams, [file, "_part"]).withColumn("prior", F.coalesce("_inside", "_seam"))
+    return found.filter(F.col("prior") >= F.col("_key")).drop("_part", "_key", "_inside", "_seam")
+
+
+LONGEST_ROLE = LONGEST_TEXT
+
+
+def dataset_violations(nodes: DataFrame, ways: DataFrame, relations: DataFrame, refs: DataFrame, members: DataFrame, tags: DataFrame) -> DataFrame:
+    """(rule, kind, id) of elements that break an invariant of datasets: nodes, ways, relations (id), refs (way_id, node_id), members (relation_id, kind, ref, role), tags (kind, id, k, v)."""
+    every = nodes.select(F.lit(1).alias("kind"), "id").unionByName(ways.select(F.lit(2).alias("kind"), "id")).unionByName(relations.select(F.lit(3).alias("kind"), "id"))
+    rule = lambda df, name, kind="kind": df.select(F.lit(name).alias("rule"), kind, "id")
+    parts = [
+        rule(every.filter("id < 1"), "id not positive"),
+        rule(duplicate_ids(every), "id twice"),
+        rule(every.filter((F.col("kind") > 1) & (F.col("id") > MOST_OTHER)), "id too large"),
+        rule(text_refusals(tags), "text too long"),
+        rule(refs.filter("node_id < 1").select(F.lit(2).alias("kind"), F.col("way_id").alias("id")), "reference not positive"),
+        rule(members.filter("ref < 1").select(F.lit(3).alias("kind"), F.col("relation_id").alias("id")), "reference not positive"),
+        rule(members.filter((F.col("kind") > 1) & (F.col("ref") > MOST_OTHER)).select(F.lit(3).alias("kind"), F.col("relation_id").alias("id")), "reference too large"),
+        rule(members.filter(F.octet_length("role") > LONGEST_ROLE).select(F.lit(3).alias("kind"), F.col("relation_id").alias("id")), "role too long"),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.shards import in_ranges
+
 
 def dataset_diff(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Full outer comparison by key: outcome is ``only first``, ``only second``, ``different`` or ``identical``. Compares whole rows."""
@@ -28,8 +30,13 @@ def keyset_symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def gaps(spans: DataFrame, lengths: DataFrame, file: str = "file") -> DataFrame:
     """Ranges of [0, length) of each file that no span (file, start, end) covers."""
     bounded = spans.select(file, "start", "end").unionByName(lengths.select(file, F.col("length").alias("start"), F.col("length").alias("end")))
-    before = Window.partitionBy(file).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    return bounded.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0))).filter(F.col("start") > F.col("from")).select(file, F.col("from").alias("gap_start"), F.col("start").alias("gap_end"))
+    own = in_ranges(bounded, file, "start", "end")
+    # the furthest end of earlier ranges, a row a range, then of earlier spans
+    earlier = Window.partitionBy(file).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    reached = own.groupBy(file, "_part").agg(F.max("end").alias("_end")).select(file, "_part", F.max("_end").over(earlier).alias("_reached"))
+    before = Window.partitionBy(file, "_part").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.coalesce(F.greatest("_reached", F.max("end").over(before)), F.lit(0))
+    return own.join(reached, [file, "_part"]).withColumn("from", covered).filter(F.col("start") > F.col("from")).select(file, F.col("from").alias("gap_start"), F.col("start").alias("gap_end"))
 
 
 def first_difference(a: DataFrame, b: DataFrame, file: str = "file") -> DataFrame:

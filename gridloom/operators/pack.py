@@ -15,14 +15,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.shards import in_ranges
+from gridloom.operators.storage import stored
+
 
 def segments(groups: DataFrame, file: str, key: str, size: str, block: int) -> DataFrame:
     """groups with the segment of each: runs that no flush divides. Groups without objects must be left out before."""
-    w = Window.partitionBy(file).orderBy(key)
     room = block - 4
-    prior = F.lag(size).over(w)
-    marked = groups.withColumn("_reset", ((F.col(size) >= room) | (prior >= room) | (F.col(size) + prior > room)).cast("long"))
-    return marked.withColumn("segment", F.sum(F.coalesce("_reset", F.lit(0))).over(w)).drop("_reset")
+    own = in_ranges(groups, file, key)
+    ranges, inside = Window.partitionBy(file).orderBy("_part"), Window.partitionBy(file, "_part").orderBy(key)
+    seams = own.groupBy(file, "_part").agg(F.max_by(size, key).alias("_last")).select(file, "_part", F.lag("_last").over(ranges).alias("_seam"))  # a row a range
+    prior = F.coalesce(F.lag(size).over(inside), F.col("_seam"))
+    marked = own.join(seams, [file, "_part"]).withColumn("_prior", prior)
+    marked = stored(marked.withColumn("_reset", F.coalesce(((F.col(size) >= room) | (F.col("_prior") >= room) | (F.col(size) + F.col("_prior") > room)).cast("long"), F.lit(0))), "resets")
+    starts = marked.groupBy(file, "_part").agg(F.sum("_reset").alias("_n")).select(file, "_part", F.coalesce(F.sum("_n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return marked.join(starts, [file, "_part"]).withColumn("segment", F.col("_before") + F.sum("_reset").over(inside)).drop("_part", "_seam", "_prior", "_reset", "_before")
 
 
 def _front(sums: list[int], start: int, room: int) -> int:
@@ -137,17 +144,35 @@ def pack_groups(groups: list[Group], block: int) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def pack_sizes(groups: DataFrame, file: str, key: str, size: str, block: int) -> DataFrame:
-    """(file, first_key, n_groups, bytes) of the blocks of groups, those of a large group counted as one row with its size."""
+def large_blocks(head: int, objects: list[int], block: int) -> list[tuple[int, int]]:
+    """(objects, bytes) of the blocks of a group that is larger than a block, from the length of its key and its objects' lengths."""
+    out, n, used = [], 0, 8 + head
+    for x in (x for x in objects if x + head + 8 < block):
+        if used + x > block:
+            out.append((n, used))
+            n, used = 0, 8 + head
+        n, used = n + 1, used + x
+    out += [(n, used)] if n else []
+    for x in (x for x in objects if x + head + 8 >= block):
+        whole = x + head + 12
+        out += [(int(i == 0), min(block, whole - i * block)) for i in range((whole - 1) // block + 1)]
+    return out
+
+
+def pack_sizes(groups: DataFrame, file: str, key: str, size: str, block: int, head: int = 4, each: int = 1) -> DataFrame:
+    """(file, first_key, n_groups, bytes) of the blocks of groups of objects of ``each`` bytes under keys of ``head`` bytes; ``size``: of the whole group.
+
+    A group of a block or more has blocks of its own, which all begin with its key.
+    """
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         keys, sizes = pdf[key].tolist(), pdf[size].tolist()
         if sizes[0] >= block - 4:
-            ends = list(range(1, len(sizes) + 1))
+            rows = [(k, 1, n) for k, s in zip(keys, sizes, strict=True) for _, n in large_blocks(head, [each] * ((s - 4 - head) // each), block)]
         else:
             ends = block_ends(sizes, block)
-        starts = [0, *ends[:-1]]
-        return pd.DataFrame({"file": pdf[file].iloc[0], "first_key": [keys[a] for a in starts], "n_groups": [b - a for a, b in zip(starts, ends, strict=True)], "bytes": [4 + sum(sizes[a:b]) for a, b in zip(starts, ends, strict=True)]})
+            rows = [(keys[a], b - a, 4 + sum(sizes[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return pd.DataFrame([(pdf[file].iloc[0], *r) for r in rows], columns=["file", "first_key", "n_groups", "bytes"])
 
     return segments(groups, file, key, size, block).groupBy(file, "segment").applyInPandas(pack, "file long, first_key long, n_groups long, bytes long")

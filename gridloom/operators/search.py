@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import position as P
+from gridloom.operators.storage import stored
 
 #: Rounds of a recursion after which what was found is written as one table, so that plans stay short.
 SEEN_PARTS = 16
@@ -88,7 +89,12 @@ def bbox_relations(nodes: DataFrame, refs: DataFrame, members: DataFrame, box: t
 
 
 def bbox_counts(nodes: DataFrame, refs: DataFrame, members: DataFrame, box: tuple[int, int, int, int]) -> DataFrame:
-    parts = {"node": bbox_nodes(nodes, box), "way": bbox_ways(nodes, refs, box), "relation": bbox_relations(nodes, refs, members, box)}
+    """(type, n) in a box; the nodes in it, and the ways that have one, are found once."""
+    own = stored(bbox_nodes(nodes, box).select("id"), "boxed")
+    ways = stored(refs.select("way_id", "node_id").join(own.withColumnRenamed("id", "node_id"), "node_id", "left_semi").select(F.col("way_id").alias("id")).distinct(), "boxed")
+    below = own.select(F.lit(1).alias("kind"), F.col("id").alias("ref")).unionByName(ways.select(F.lit(2).alias("kind"), F.col("id").alias("ref")))
+    relations = members.select("relation_id", "kind", "ref").join(below, ["kind", "ref"], "left_semi").select("relation_id").distinct()
+    parts = {"node": own, "way": ways, "relation": relations}
     return reduce(DataFrame.unionByName, (df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("type"), "n") for k, df in parts.items()))
 
 
@@ -109,34 +115,41 @@ def union(*sets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, sets).dropDuplicates(["type", "id"])
 
 
-def recurse_down(members: DataFrame, refs: DataFrame, relation_ids: DataFrame) -> DataFrame:
-    """(type, id) of everything below the relations (id), themselves included: relations in rounds until none is new, then ways and nodes.
-
-    However deep relations are nested; cycles end since a relation is followed once. Each round is written to the shared folder.
-    """
-    from gridloom.operators.storage import stored
-
-    children = stored(members.filter("kind = 3").select("relation_id", F.col("ref").alias("child")).distinct(), "children")
-    seen = fresh = stored(relation_ids.select("id").distinct(), "seen")
+def _reached(steps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id) of these and of all that steps (from, to) lead to, in rounds until none is new. Each round is written to the shared folder."""
+    steps = stored(steps.distinct(), "steps")
+    seen = fresh = stored(ids.select("id").distinct(), "seen")
     for n in count(1):
-        below = children.join(fresh.withColumnRenamed("id", "relation_id"), "relation_id", "left_semi").select(F.col("child").alias("id")).distinct()
-        fresh = stored(below.join(seen, "id", "left_anti"), "fresh")
+        next_ = steps.join(fresh.withColumnRenamed("id", "from"), "from", "left_semi").select(F.col("to").alias("id")).distinct()
+        fresh = stored(next_.join(seen, "id", "left_anti"), "fresh")
         if fresh.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(fresh)
         if n % SEEN_PARTS == 0:
             seen = stored(seen.repartition("id"), "seen")
+
+
+def recurse_down(members: DataFrame, refs: DataFrame, relation_ids: DataFrame) -> DataFrame:
+    """(type, id) of everything below the relations (id), themselves included: relations in rounds until none is new, then ways and nodes.
+
+    However deep relations are nested; cycles end since a relation is followed once. Each round is written to the shared folder.
+    """
+    children = members.filter("kind = 3").select(F.col("relation_id").alias("from"), F.col("ref").alias("to"))
+    seen = _reached(children, relation_ids)
     own = members.join(seen.withColumnRenamed("id", "relation_id"), "relation_id", "left_semi")
     ways = own.filter("kind = 2").select(F.col("ref").alias("id")).distinct()
     nodes = own.filter("kind = 1").select(F.col("ref").alias("id")).unionByName(refs.join(ways.withColumnRenamed("id", "way_id"), "way_id", "left_semi").select(F.col("node_id").alias("id"))).distinct()
     return reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("type"), "id") for k, df in (("relation", seen), ("way", ways), ("node", nodes))))
 
 
-def recurse_up(members: DataFrame, refs: DataFrame, node_ids: DataFrame) -> DataFrame:
-    """(type, id) of ways with one of the nodes (id), and of relations with one of the nodes or ways."""
+def recurse_up(members: DataFrame, refs: DataFrame, node_ids: DataFrame, nested: bool = False) -> DataFrame:
+    """(type, id) of ways with one of the nodes (id), and of relations with one of the nodes or ways; if ``nested``, of relations with one of these as well, however deep."""
     ways = refs.join(node_ids.select(F.col("id").alias("node_id")), "node_id", "left_semi").select(F.col("way_id").alias("id")).distinct()
     below = node_ids.select(F.lit(1).alias("kind"), F.col("id").alias("ref")).unionByName(ways.select(F.lit(2).alias("kind"), F.col("id").alias("ref")))
     relations = members.join(below, ["kind", "ref"], "left_semi").select(F.col("relation_id").alias("id")).distinct()
+    if nested:
+        parents = members.filter("kind = 3").select(F.col("ref").alias("from"), F.col("relation_id").alias("to"))
+        relations = _reached(parents, relations)
     return ways.select(F.lit("way").alias("type"), "id").unionByName(relations.select(F.lit("relation").alias("type"), "id"))
 
 
@@ -201,8 +214,6 @@ def area_edges(members: DataFrame, refs: DataFrame, nodes: DataFrame, relation_t
     areas = relation_tags.filter("k = 'type' and v in ('multipolygon', 'boundary')").select("relation_id").distinct()
     ways = members.filter("kind = 2").join(areas, "relation_id", "left_semi").select(F.col("relation_id").alias("area_id"), F.col("ref").alias("way_id")).distinct()
     located = refs.join(nodes.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id", "left")
-    from pyspark.sql import Window
-
     pairs = located.withColumn("to", F.lead(F.struct("lat", "lon")).over(Window.partitionBy("way_id").orderBy("pos"))).filter("to is not null")
     steps = pairs.select("way_id", F.array_sort(F.array(F.struct("lat", "lon"), F.struct("to.lat", "to.lon"))).alias("e")).filter(F.col("e")[0] != F.col("e")[1])
     edges = ways.join(steps, "way_id").groupBy("area_id", "e").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
@@ -210,3 +221,12 @@ def area_edges(members: DataFrame, refs: DataFrame, nodes: DataFrame, relation_t
     holes = pairs.filter("lat is null or to.lat is null").join(ways, "way_id").select("area_id").distinct()
     ok = closed_rings(flat).filter("ok").select("area_id").join(holes, "area_id", "left_anti")
     return flat.join(ok, "area_id", "left_semi")
+
+
+def within(nodes: DataFrame, refs: DataFrame, members: DataFrame, edges: DataFrame) -> DataFrame:
+    """(area_id, type, id) of nodes in areas (edges as of ``area_edges``), and of ways and relations that have one of these."""
+    inside = stored(is_in(nodes.select(F.col("id").alias("point_id"), "lat", "lon"), edges).select("area_id", F.col("point_id").alias("id")), "inside")
+    ways = refs.join(inside.withColumnRenamed("id", "node_id"), "node_id").select("area_id", F.col("way_id").alias("id")).distinct()
+    below = inside.select("area_id", F.lit(1).alias("kind"), F.col("id").alias("ref")).unionByName(ways.select("area_id", F.lit(2).alias("kind"), F.col("id").alias("ref")))
+    relations = members.join(below, ["kind", "ref"]).select("area_id", F.col("relation_id").alias("id")).distinct()
+    return reduce(DataFrame.unionByName, (df.select("area_id", F.lit(k).alias("type"), "id") for k, df in (("node", inside), ("way", ways), ("relation", relations))))

@@ -5,6 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.storage import stored
+
+
+def in_ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """rows written in ranges of ``order``, with the range of each (``_part``); what a window needs of the ranges before is then one row each."""
+    return stored(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with ``seq`` from 0 in this order: counted within ranges, then the ranges' starts are added."""
+    own = in_ranges(rows, *order)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return own.withColumn("_at", inside).join(F.broadcast(starts), "_part").withColumn("seq", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start")
+
 
 def numbered(rows: DataFrame, order: str, width: int = 1 << 16) -> DataFrame:
     """rows with ``seq`` from 0 in the order of a long column: counted within ranges of it, then the ranges' starts are added."""
@@ -51,9 +67,13 @@ def version_agreement(sharded: DataFrame, version: str) -> DataFrame:
 
 
 def prefix_sums(rows: DataFrame, partition: str, order: str, size: str) -> DataFrame:
-    """rows with ``start``: the sum of the sizes before each in its partition."""
-    before = Window.partitionBy(partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
+    """rows with ``start``: the sum of the sizes before each in its partition, within ranges and then over their sums."""
+    own = in_ranges(rows, partition, order)
+    earlier = Window.partitionBy(partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = own.groupBy(partition, "_part").agg(F.sum(size).alias("_sum")).select(partition, "_part", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    before = Window.partitionBy(partition, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = own.withColumn("_inside", F.coalesce(F.sum(size).over(before), F.lit(0))).join(starts, [partition, "_part"])
+    return found.withColumn("start", (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_before")
 
 
 def bucket_starts(ids: DataFrame, every: int) -> DataFrame:

@@ -51,6 +51,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sorted_by_tile(nodes: DataFrame) -> DataFrame:
+    """nodes in ranges of their tile, sorted by it, so that a box reads few row groups of what is written of it."""
+    return nodes.repartitionByRange("tile").sortWithinPartitions("tile")
+
+
 def by_tile(nodes: DataFrame) -> DataFrame:
-    """nodes stored in ranges of their tile, sorted by it, so that a box reads few row groups."""
-    return stored(nodes.repartitionByRange("tile").sortWithinPartitions("tile"), "nodes")
+    return stored(sorted_by_tile(nodes), "nodes")

@@ -5,10 +5,11 @@ Tags come as (id, idx, pos, k, v): an element, its extent index, and where the t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import position as P
+from gridloom.operators.shards import ranked
 
 
 def exploded(elements: DataFrame, indexes: DataFrame) -> DataFrame:
@@ -32,14 +33,14 @@ def posting_lists(postings: DataFrame, *keys: str) -> DataFrame:
 
 
 def pair_rank(tags: DataFrame) -> DataFrame:
-    """(k, v, rank): distinct pairs in byte order from 1. Pairs are few, so one task ranks them."""
-    return tags.select("k", "v").distinct().withColumn("rank", F.dense_rank().over(Window.orderBy("k", "v")).cast("long"))
+    """(k, v, rank): distinct pairs in byte order from 1, ranked within ranges."""
+    return ranked(tags.select("k", "v").distinct(), "k", "v").select("k", "v", (F.col("seq") + 1).cast("long").alias("rank"))
 
 
 def dictionary(words: DataFrame, word: str, *order: str) -> DataFrame:
-    """(word, word_id): distinct words numbered from 0 by first appearance in ``order``. Words are few, so one task numbers them."""
+    """(word, word_id): distinct words numbered from 0 by first appearance in ``order``, within ranges of it."""
     first = words.groupBy(word).agg(F.min(F.struct(*order)).alias("at"))
-    return first.select(word, (F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias(f"{word}_id"))
+    return ranked(first, "at").select(word, F.col("seq").cast("long").alias(f"{word}_id"))
 
 
 def object_bytes(postings: DataFrame, id_bytes: int) -> DataFrame:
@@ -49,7 +50,9 @@ def object_bytes(postings: DataFrame, id_bytes: int) -> DataFrame:
 
 
 def split_keys(postings: DataFrame, id_bytes: int, block: int) -> DataFrame:
-    """Global keys whose objects take more than one block, with how many blocks they take at least."""
+    """Global keys whose objects take more than one block, with how many blocks the packer makes of them: each begins with the key and holds whole objects."""
     sizes = postings.groupBy("k", "v").agg((F.count(F.lit(1)) * (id_bytes + 3)).alias("bytes"))
     room = F.lit(block) - 8 - (8 + F.octet_length("k") + F.octet_length("v"))
-    return sizes.select("k", "v", "bytes", F.ceil(F.col("bytes") / room).cast("long").alias("blocks")).filter("blocks > 1")
+    each = F.floor(room / (id_bytes + 3))
+    large = F.col("bytes") + 12 + F.octet_length("k") + F.octet_length("v") >= block - 4
+    return sizes.withColumn("blocks", F.when(large, F.ceil(F.col("bytes") / (id_bytes + 3) / each)).otherwise(1).cast("long")).select("k", "v", "bytes", "blocks").filter("blocks > 1")

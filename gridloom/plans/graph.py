@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import position as P
 from gridloom.operators import extents as X
 from gridloom.operators import tags as T
-from gridloom.operators.storage import by_tile
+from gridloom.operators.shards import ranked
+from gridloom.operators.storage import sorted_by_tile, staged
 from gridloom.sources import fixture as G
 
 
@@ -20,12 +21,13 @@ class Graph:
 
     def __getattr__(self, name: str):
         made = {
-            "nodes": lambda: X.placed(G.nodes(self.spark, self.sf_dir)),
-            "staged_nodes": lambda: by_tile(self.nodes.select("id", "lat", "lon", "tile", "lower")),
-            "refs": lambda: G.refs(self.spark, self.sf_dir),
-            "ways": lambda: G.ways(self.spark, self.sf_dir),
-            "relations": lambda: G.relations(self.spark, self.sf_dir),
-            "members": lambda: G.members(self.spark, self.sf_dir),
+            "raw_nodes": lambda: self._staged("nodes", G.nodes),
+            "nodes": lambda: X.placed(self.raw_nodes),
+            "staged_nodes": lambda: staged(self.spark, ("by tile", self.sf_dir), lambda: sorted_by_tile(self.nodes)),
+            "refs": lambda: self._staged("refs", G.refs),
+            "ways": lambda: self._staged("ways", G.ways),
+            "relations": lambda: self._staged("relations", G.relations),
+            "members": lambda: self._staged("members", G.members),
             "located": lambda: X.located_refs(self.refs, self.nodes),
             "way_index": lambda: X.way_index(self.ways, self.located),
             "values": lambda: X.member_values(self.members, self.nodes, self.way_index),
@@ -39,6 +41,10 @@ class Graph:
         self.__dict__[name] = value = made[name]()
         return value
 
+    def _staged(self, name: str, make) -> DataFrame:
+        """The fixture's table, made once a session: it stands for a file that was read."""
+        return staged(self.spark, (name, self.sf_dir), lambda: make(self.spark, self.sf_dir))
+
     def _node_tags(self) -> DataFrame:
         own = self.nodes.select("id", F.col("tile").alias("idx"), F.posexplode("tags").alias("pos", "t"))
         return own.select("id", "idx", F.col("pos").cast("long").alias("pos"), "t.k", "t.v")
@@ -63,7 +69,7 @@ def coarse_region_counts(g: Graph) -> DataFrame:
 
 
 def invalid_marker_nodes(g: Graph) -> DataFrame:
-    moved = G.nodes(g.spark, g.sf_dir).withColumn("lat", F.col("lat") + F.when(F.col("id") % 101 == 0, 2_000_000_000).otherwise(0))
+    moved = g.raw_nodes.withColumn("lat", F.col("lat") + F.when(F.col("id") % 101 == 0, 2_000_000_000).otherwise(0))
     return X.placed(moved.filter(~P.is_valid(F.col("lat"), F.col("lon")))).select("id", "tile")
 
 
@@ -174,10 +180,8 @@ def class_of_key(g: Graph) -> DataFrame:
 
 def index_sort_order(g: Graph) -> DataFrame:
     """Groups of the way index in file order: by the lower 31 bits, then the whole."""
-    from pyspark.sql import Window
-
-    keys = g.way_index.groupBy("idx").agg(F.count(F.lit(1)).alias("n"))
-    return keys.select("idx", "n", F.row_number().over(Window.orderBy(*P.index_order(F.col("idx")))).cast("long").alias("at"))
+    keys = g.way_index.groupBy("idx").agg(F.count(F.lit(1)).alias("n")).withColumn("low", P.index_order(F.col("idx"))[0])
+    return ranked(keys, "low", "idx").select("idx", "n", (F.col("seq") + 1).cast("long").alias("at"))
 
 
 def coordinate_text(g: Graph) -> DataFrame:
@@ -264,7 +268,7 @@ SQL = {
         union all select 'way', count(*), min(id), max(id), (select count(*) from refs) from ways
         union all select 'relation', count(*), min(o_orderkey + 1), max(o_orderkey + 1), (select count(*) from members) from orders""",
     "object_bytes_by_file": _CTE + _ALL + "".join(f"{u} select '{t}' as type, n * {b} as local_bytes, n * {b + 3} as global_bytes from (select count(*) as n from (select distinct id, k, v, idx & 2147483392 from {t}_tags))" for u, t, b in (("", "node", 8), (" union all", "way", 4), (" union all", "relation", 4))),
-    "split_keys": _CTE + _NODE_TAGS + "select k, v, bytes, ceil(bytes / (16368 - strlen(k) - strlen(v)))::bigint as blocks from (select k, v, count(*) * 11 as bytes from (select distinct k, v, id from node_tags) group by k, v) where ceil(bytes / (16368 - strlen(k) - strlen(v))) > 1",
+    "split_keys": _CTE + _NODE_TAGS + "select k, v, bytes, ceil(bytes / 11 / ((16368 - strlen(k) - strlen(v)) // 11))::bigint as blocks from (select k, v, count(*) * 11 as bytes from (select distinct k, v, id from node_tags) group by k, v) where bytes + 12 + strlen(k) + strlen(v) >= 16380",
     "class_of_key": _CTE + _RELATION + f"select id, {_CLASS} as class, '0x' || lower(lpad(to_hex(idx), 8, '0')) as key from relation_index",
     "index_sort_order": _CTE + "select idx, n, row_number() over (order by idx & 2147483647, idx)::bigint as at from (select idx, count(*) as n from way_index group by idx)",
     "coordinate_text": _CTE + "select id, case when lat < 0 then '-' else '' end || (abs(lat) // 10000000) || '.' || lpad((abs(lat) % 10000000)::varchar, 7, '0') as lat_text, case when lon < 0 then '-' else '' end || (abs(lon) // 10000000) || '.' || lpad((abs(lon) % 10000000)::varchar, 7, '0') as lon_text from nodes",

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.sources.ranges import opened
+from gridloom.sources.ranges import opened, writer
 
 # Fixed values of the format.
 MOST_HEADER, MOST_BLOB, LONGEST_TEXT = 64 << 10, 32 << 20, 65_535
@@ -382,27 +383,56 @@ def _blob(kind: str, data: bytes, raw: bool = False) -> bytes:
     return len(header).to_bytes(4, "big") + header + body
 
 
+def header_blob(timestamp: int | None = None, raw: bool = False) -> bytes:
+    return _blob(HEADER_BLOB, _field(4, b"OsmSchema-V0.6") + _field(4, b"DenseNodes") + (_field(32, timestamp) if timestamp is not None else b""), raw)
+
+
+def data_blob(part: list[tuple], raw: bool = False) -> bytes:
+    """A blob of elements, nodes dense."""
+    texts: dict[str, int] = {}
+    number = lambda s: texts.setdefault(s, len(texts) + 1)  # noqa: E731  string 0 ends a dense node's tags
+    groups = b""
+    nodes = [e for e in part if e[0] == 1]
+    if nodes:
+        pairs = [x for e in nodes for x in (*(y for k, v in e[6] for y in (number(k), number(v))), 0)]
+        dense = _packed(1, _deltas([e[1] for e in nodes])) + _packed(8, _deltas([e[2] for e in nodes])) + _packed(9, _deltas([e[3] for e in nodes]))
+        groups += _field(2, _field(2, dense + (_packed(10, pairs) if len(pairs) > len(nodes) else b"")))
+    for e in part:
+        tags = _packed(2, [number(k) for k, _ in e[6]]) + _packed(3, [number(v) for _, v in e[6]])
+        if e[0] == 2:
+            groups += _field(2, _field(3, _field(1, e[1]) + tags + _packed(8, _deltas(e[4]))))
+        elif e[0] == 3:
+            members = _packed(8, [number(r) for _, _, r in e[5]]) + _packed(9, _deltas([i for _, i, _ in e[5]])) + _packed(10, [k - 1 for k, _, _ in e[5]])
+            groups += _field(2, _field(4, _field(1, e[1]) + tags + members))
+    table = b"".join(_field(1, t.encode()) for t in ("", *texts))
+    return _blob(DATA_BLOB, _field(1, table) + groups, raw)
+
+
 def encode(elements: list[tuple], timestamp: int | None = None, per_block: int = 8000, raw: bool = False) -> bytes:
-    """A file of elements (kind, id, lat, lon, refs, members, tags with members and tags as tuples), nodes dense."""
-    header = _field(4, b"OsmSchema-V0.6") + _field(4, b"DenseNodes") + (_field(32, timestamp) if timestamp is not None else b"")
-    out = [_blob(HEADER_BLOB, header, raw)]
-    for start in range(0, len(elements), per_block):
-        texts: dict[str, int] = {}
-        number = lambda s: texts.setdefault(s, len(texts) + 1)  # noqa: B023, E731  string 0 ends a dense node's tags
-        groups = b""
-        part = elements[start : start + per_block]
-        nodes = [e for e in part if e[0] == 1]
-        if nodes:
-            pairs = [x for e in nodes for x in (*(y for k, v in e[6] for y in (number(k), number(v))), 0)]
-            dense = _packed(1, _deltas([e[1] for e in nodes])) + _packed(8, _deltas([e[2] for e in nodes])) + _packed(9, _deltas([e[3] for e in nodes]))
-            groups += _field(2, _field(2, dense + (_packed(10, pairs) if len(pairs) > len(nodes) else b"")))
-        for e in part:
-            tags = _packed(2, [number(k) for k, _ in e[6]]) + _packed(3, [number(v) for _, v in e[6]])
-            if e[0] == 2:
-                groups += _field(2, _field(3, _field(1, e[1]) + tags + _packed(8, _deltas(e[4]))))
-            elif e[0] == 3:
-                members = _packed(8, [number(r) for _, _, r in e[5]]) + _packed(9, _deltas([i for _, i, _ in e[5]])) + _packed(10, [k - 1 for k, _, _ in e[5]])
-                groups += _field(2, _field(4, _field(1, e[1]) + tags + members))
-        table = b"".join(_field(1, t.encode()) for t in ("", *texts))
-        out.append(_blob(DATA_BLOB, _field(1, table) + groups, raw))
-    return b"".join(out)
+    """A file of elements (kind, id, lat, lon, refs, members, tags with members and tags as tuples)."""
+    return header_blob(timestamp, raw) + b"".join(data_blob(elements[i : i + per_block], raw) for i in range(0, len(elements), per_block))
+
+
+def write(elements: DataFrame, folder: str, parts: int, timestamp: int | None = None, per_block: int = 8000) -> None:
+    """Elements (columns of ELEMENTS but file, block and pos) to files of ranges of (kind, id), each sorted, written blob by blob."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, held = None, []
+        for batch in batches:
+            if sink is None:
+                sink = writer(f"{folder}/part-{TaskContext.get().partitionId():05}.pbf")
+                sink.write(header_blob(timestamp))
+            for r in batch.to_pylist():
+                members = None if r["members"] is None else [(m["kind"], m["ref"], m["role"]) for m in r["members"]]
+                held.append((r["kind"], r["id"], r["lat"], r["lon"], r["refs"], members, [(t["k"], t["v"]) for t in r["tags"]]))
+                if len(held) == per_block:
+                    sink.write(data_blob(held))
+                    held = []
+        if sink is not None:
+            if held:
+                sink.write(data_blob(held))
+            sink.close()
+        yield pa.RecordBatch.from_pydict({"done": pa.array([], pa.int32())})
+
+    columns = ("kind", "id", "lat", "lon", "refs", "members", "tags")
+    elements.select(*columns).repartitionByRange(parts, "kind", "id").sortWithinPartitions("kind", "id").mapInArrow(rows, "done int").write.format("noop").mode("overwrite").save()
