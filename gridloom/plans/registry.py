@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import formats, graph, service
+from gridloom.plans import database, formats, graph, service
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return graph.QUERIES | service.QUERIES | formats.QUERIES
+    return graph.QUERIES | service.QUERIES | formats.QUERIES | database.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return graph.SQL | service.SQL | formats.SQL
+    return graph.SQL | service.SQL | formats.SQL | database.SQL

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.pack import Group, pack_groups
 from gridloom.sources.pbf import InputRefused
-from gridloom.sources.ranges import opened
+from gridloom.sources.ranges import listing, opened
 
 # Fixed values of the format.
 VERSION, LEAST_VERSION, MOST_VERSION, LEAST_GLOBAL_VERSION = 7600, 7512, 7600, 7561
@@ -305,9 +305,8 @@ def entries(spark: SparkSession, folder: str) -> DataFrame:
 
     ``run``: the first of the consecutive blocks with one key, which a large group may span; ``length``: of the data file.
     """
-    found = spark.read.format("binaryFile").load(folder)
     name = F.regexp_extract("path", "([^/]+?)([.]idx)?$", 1)
-    data = found.filter("path like '%.bin'").select(name.alias("file"), "path", "length")
+    data = listing(spark, folder).filter("name like '%.bin'").select(F.col("name").alias("file"), "path", "length")
     index = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin.idx").load(folder).select(name.alias("file"), F.col("content").alias("idx"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,15 +26,22 @@ class Profile:
     missing: int = 3
     most_refs: int = 30
     most_members: int = 20
+    #: Percent of tag values of other scripts and control characters, and of nodes whose ids stand far from the others'.
+    wild: int = 0
+    far: int = 0
 
 
 PROFILES = {
-    "mixed": Profile(),
-    "dense": Profile(nodes=25_000, ways=3_000, relations=300, clusters=2, radius=1, clustered=99, extreme=0, tagged=20, most_tags=4, missing=1),
+    "mixed": Profile(most_refs=300, wild=5, far=1),
+    "dense": Profile(nodes=250_000, ways=30_000, relations=3_000, clusters=2, radius=1, clustered=99, extreme=0, tagged=20, most_tags=4, missing=1),
     "global": Profile(nodes=30_000, ways=6_000, relations=1_500, clusters=1, clustered=0, extreme=5, tagged=20, most_tags=3, missing=2),
-    "tags": Profile(nodes=20_000, ways=5_000, relations=1_000, clusters=4, radius=10, clustered=90, tagged=90, most_tags=40, missing=1),
+    "tags": Profile(nodes=20_000, ways=5_000, relations=1_000, clusters=4, radius=10, clustered=90, tagged=90, most_tags=40, missing=1, wild=20),
     "topology": Profile(nodes=10_000, ways=6_000, relations=8_000, clusters=5, radius=20, clustered=90, missing=15, most_members=60),
+    "big": Profile(nodes=1_000_000, ways=160_000, relations=20_000, clusters=60, radius=40, clustered=90, tagged=10, most_refs=500, far=1),
 }
+#: How far apart ids are made, by a power of two; and texts that tags may have.
+FAR = 1 << 36
+WILD = ("é", "名前", "😀 x", "a\"b<c>&'", "tab\there", "line\nbreak", "", "\u0301", "нет", "x" * 300)
 EXTREMES = ((900_000_000, 1_800_000_000), (-900_000_000, -1_800_000_000), (0, 1_800_000_000), (0, 0), (900_000_001, 0), (-900_000_000, 1_799_999_999))
 
 
@@ -49,7 +56,7 @@ class Draw:
 
     def tags(self, p: Profile, kind: str, key: Column) -> Column:
         n = F.when(self(f"{kind} tagged", 100, key) < p.tagged, self(f"{kind} tags", p.most_tags, key) + 1).otherwise(0)
-        tag = lambda i: F.struct(F.concat(F.lit("k"), self("key", 12, key, i).cast("string")).alias("k"), F.concat(F.lit("v"), self("value", 50, key, i).cast("string")).alias("v"))
+        tag = lambda i: F.struct(F.concat(F.lit("k"), self("key", 12, key, i).cast("string")).alias("k"), F.when(self("wild", 100, key, i) < p.wild, F.element_at(F.array(*map(F.lit, WILD)), (self("which wild", len(WILD), key, i) + 1).cast("int"))).otherwise(F.concat(F.lit("v"), self("value", 50, key, i).cast("string"))).alias("v"))
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), n.cast("int")), tag)).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
 
 
@@ -63,7 +70,8 @@ def nodes(spark: SparkSession, p: Profile, seed: int) -> DataFrame:
     share = draw("share", 100, key)
     place = lambda axis, most, at: F.when(share < p.extreme, extreme(at)).when(share < p.extreme + p.clustered, around(axis, most)).otherwise(anywhere(axis, most)).cast("long")
     own = spark.range(1, p.nodes + 1).filter(draw("missing", 100, key) >= p.missing)
-    return own.select("id", place("lat", P.MAX_LAT, 0).alias("lat"), place("lon", P.MAX_LON, 1).alias("lon"), draw.tags(p, "node", key).alias("tags"))
+    far = F.when(draw("far", 100, key) < p.far, key + (draw("how far", 50, key) + 1) * FAR).otherwise(key)  # what refers to these misses them
+    return own.select(far.alias("id"), place("lat", P.MAX_LAT, 0).alias("lat"), place("lon", P.MAX_LON, 1).alias("lon"), draw.tags(p, "node", key).alias("tags"))
 
 
 def ways(spark: SparkSession, p: Profile, seed: int) -> DataFrame:

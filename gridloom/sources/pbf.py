@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.sources.ranges import opened, writer
+from gridloom.sources.ranges import listing, opened, writer
 
 # Fixed values of the format.
 MOST_HEADER, MOST_BLOB, LONGEST_TEXT = 64 << 10, 32 << 20, 65_535
@@ -309,7 +309,7 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def blob_index(spark: SparkSession, path: str) -> DataFrame:
     """(path, block, kind, at, size, seconds) of the blobs of a file or of the files of a folder; ``seconds``: the time of replication that a file's header gives."""
-    found = spark.read.format("binaryFile").load(path).select("path", "length")
+    found = listing(spark, path).select("path", "length")
     return found.repartition(spark.sparkContext.defaultParallelism, "path").mapInArrow(_headers, "path string, block long, kind string, at long, size long, seconds long")
 
 

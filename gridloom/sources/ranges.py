@@ -7,7 +7,6 @@ from functools import lru_cache
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=64)
@@ -37,10 +36,12 @@ def writer(path: str):
     return fs.open_output_stream(own)
 
 
-def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, path, length) of the files of a folder. Their content isn't read."""
-    found = spark.read.format("binaryFile").load(folder).select("path", "length")
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "path", "length")
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(name, path, length) of a file, or of the files of a folder, empty ones too. Their content isn't read; the driver lists them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    rows = sorted((x.getPath().getName(), x.getPath().toString(), x.getLen()) for x in found if x.isFile())
+    return spark.createDataFrame(rows, "name string, path string, length long")
 
 
 class Folder:
