@@ -5,7 +5,7 @@
 3. A chunk hands the answers to its documents. A document of which fewer than 75 % of the set is shared can't link. Of
    the others, those with equal sets are one class; the rarest shared hashes of a class are its prefix, such that similar
    classes share one.
-4. The classes of each prefix hash are its list. Every class of a list is held against the list's first one; what links
+4. The classes of each prefix hash are its list. In rounds, every class of a list is held against a few of the list; what links
    joins groups. Lists that then still hold several groups give the pairs between these that sizes and ranks allow.
 5. What a class is held against is divided into blocks; a block's sets that overlap enough are found by DivideSkip.
 
@@ -17,7 +17,8 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from gridloom.llm.shingles import HASH_BITS, WORDS, shingle_sets
 PERCENT = 75
 #: Hashes in a chunk and in a block, about; a hash that more documents of a chunk have is sent without their numbers.
 CHUNK, BLOCK, OFTEN = 700_000, 1 << 14, 64
+#: Entries of a list that the others are held against in a round; so many pairs for each entry are compared without a further round.
+PIVOTS, FEW = 4, 1
 #: Bytes of text for each bucket, and buckets at most.
 BUCKET_BYTES, BUCKETS = 4 << 20, 1 << 12
 PACKED = "chunk long, bucket int, n int, data binary, numbers binary, counts binary"
@@ -283,28 +286,49 @@ def _may_link(x: str, y: str, percent: int) -> str:
     )
 
 
+def _pairs_left(placed: DataFrame) -> int:
+    """Pairs of entries of one list and different groups, at most: those of several lists count in each."""
+    sizes = placed.groupBy("hash", "group").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    lists = sizes.groupBy("hash").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    return int(lists.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).head()[0] or 0)
+
+
 def jaccard_links(classes: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b): links that join the same classes as all links do (columns doc_id, n_shingles, members, prefix; stored).
 
-    Lists of prefix hashes are read twice. First each entry of a list is held against the list's first one, which joins
-    groups of many near copies in a number of comparisons that grows with the entries. Then pairs of entries are sought in
-    the lists that still hold several groups, only between these.
+    Entries of the lists of prefix hashes form groups. In a round, each entry of a list that holds several groups is held
+    against a few entries of the list's largest group, others in each round; what links joins groups. So large groups of near copies are
+    joined in a number of comparisons that grows with the entries. Rounds go on as long as they leave a tenth fewer pairs of
+    entries of different groups, and more than a few for each entry; all those pairs that are left are then compared.
     """
     ranked = classes.select("doc_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("at", "hash"), F.expr("n_shingles - octet_length(members) / 8").cast("long").alias("unshared"))
-    entries = stored(ranked.select("hash", "doc_id", "n", (F.col("unshared") + F.col("at")).alias("rank")), "entries")
-    heads = entries.groupBy("hash").agg(F.min_by(F.struct("doc_id", "n", "rank"), "doc_id").alias("head"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    heads = stored(heads, "heads")
-    met = stored(lookup_join(entries, heads, "hash", "rows", entries.count()), "met").withColumn("own", F.struct("doc_id", "n", "rank"))
-    starred = met.filter("doc_id <> head.doc_id").filter(_may_link("own", "head", percent)).select(F.col("head.doc_id").alias("query"), "doc_id", F.col("head.n").alias("n"))
-    first = stored(_verified(starred, classes, percent, block), "links")
-    groups = stored(components(first), "groups")
-    placed = met.select("hash", "doc_id", "n", "rank").join(groups.withColumnsRenamed({"node": "doc_id", "root": "group"}), "doc_id", "left").withColumn("group", F.coalesce("group", "doc_id"))
-    placed = stored(placed, "placed")
+    placed = stored(ranked.select("hash", "doc_id", "n", (F.col("unshared") + F.col("at")).alias("rank"), F.col("doc_id").alias("group")), "entries")
+    links, before, entry = [], None, ("doc_id", "n", "rank", "group")
+    for turn in count():
+        # of a list's largest group, some entries by a hash; at first every class is a group, and the list's first entry serves
+        own = F.struct(*entry)
+        some = [F.min_by(own, F.col("doc_id"))] if turn == 0 else [F.min_by(own, F.xxhash64("doc_id", F.lit(turn), F.lit(i))) for i in range(PIVOTS)]
+        largest = placed.groupBy("hash", "group").agg(F.count(F.lit(1)).alias("size"), F.array(*some).alias("pivots"))
+        lists = largest.groupBy("hash").agg(F.max_by("pivots", F.struct("size", -F.col("group"))).alias("pivots"), F.sum("size").alias("rows"), F.count(F.lit(1)).alias("groups")).filter("groups > 1")
+        lists = stored(lists.drop("groups"), "lists")
+        met = stored(lookup_join(placed, lists, "hash", "rows", placed.count()), "met")
+        pairs = met.withColumn("own", own).withColumn("pivot", F.explode("pivots")).filter("group <> pivot.group").filter(_may_link("own", "pivot", percent))
+        links.append(stored(_verified(pairs.select(F.col("pivot.doc_id").alias("query"), "doc_id", F.col("pivot.n").alias("n")), classes, percent, block), "links"))
+        placed = met.select("hash", *entry)
+        if not links[-1].isEmpty():
+            own = placed.select("doc_id", "group").distinct()
+            joined = links[-1].join(own.withColumnsRenamed({"doc_id": "a", "group": "x"}), "a").join(own.withColumnsRenamed({"doc_id": "b", "group": "y"}), "b")
+            roots = components(joined.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnsRenamed({"node": "group"})
+            placed = stored(placed.join(roots, "group", "left").select("hash", "doc_id", "n", "rank", F.coalesce("root", "group").alias("group")), "placed")
+        left = _pairs_left(placed)
+        if left <= FEW * max(placed.count(), 1) or before is not None and 10 * left > 9 * before:
+            break
+        before = left
     mixed = placed.groupBy("hash").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("hash")
-    left = stored(placed.join(mixed, "hash", "left_semi"), "mixed")
-    across = left.alias("x").join(left.alias("y"), (F.col("x.hash") == F.col("y.hash")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.group") != F.col("y.group")) & F.expr(_may_link("x", "y", percent)))
-    rest = _verified(across.select(F.col("x.doc_id").alias("query"), F.col("y.doc_id").alias("doc_id"), F.col("x.n").alias("n")), classes, percent, block)
-    return first.unionByName(rest)
+    rest = stored(placed.join(mixed, "hash", "left_semi"), "mixed")
+    across = rest.alias("x").join(rest.alias("y"), (F.col("x.hash") == F.col("y.hash")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.group") != F.col("y.group")) & F.expr(_may_link("x", "y", percent)))
+    links.append(_verified(across.select(F.col("x.doc_id").alias("query"), F.col("y.doc_id").alias("doc_id"), F.col("x.n").alias("n")), classes, percent, block))
+    return reduce(DataFrame.unionByName, links)
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
