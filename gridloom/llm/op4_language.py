@@ -25,8 +25,8 @@ ORDERS, BITS, SAMPLE, SAMPLE_IN_ALL, SAMPLE_BYTES, LANGUAGES = (1, 2, 3), 16, 12
 #: A text whose second language loses no more than this above its first is ambiguous.
 MARGIN = 0.1
 UNKNOWN = "und"
-#: A text of so many distinct n-grams is in no learned language if its first language loses more than so many times what any held-back text's does.
-LEAST_GRAMS, FAR = 50, 1.3
+#: A text of so many distinct n-grams is in no learned language if its first language loses more than bits that tell nothing would make it lose.
+LEAST_GRAMS, FAR = 50, float(np.log(2.0))
 has_letter = regex.compile(r"\p{L}").search
 
 
@@ -49,7 +49,7 @@ def features(texts: list[str | None]) -> Iterator[np.ndarray]:
 
 
 class LanguageModel:
-    """Bits are fitted on four fifths of each language's rows; how far they are to be trusted, and what losses are usual, is seen on the others."""
+    """Bits are fitted on four fifths of each language's rows; how far they are to be trusted is seen on the others."""
 
     def __init__(self, rows: list[np.ndarray], languages: list[str]):
         self.names = sorted(set(languages))
@@ -67,8 +67,6 @@ class LanguageModel:
         right = np.array([self.outputs(r) for r in held]).reshape(len(held), -1) * self.code[own] > 0
         trust = np.array([(right[own == i].sum(axis=0) + 1) / ((own == i).sum() + 2) for i in range(len(self.names))]).reshape(self.code.shape)
         self.trust = trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-12)
-        usual = [self.losses(r).min() for r in held if len(r) >= LEAST_GRAMS]
-        self.far = FAR * max(usual) if usual else np.inf
 
     def outputs(self, row: np.ndarray) -> np.ndarray:
         return self.weights[row].sum(axis=0) / max(np.sqrt(len(row)), 1.0) + self.bias
@@ -87,8 +85,8 @@ class LanguageModel:
         return self.names[first], float(1 / shares.sum()), float(losses[second] - losses[first])
 
     def knows(self, row: np.ndarray) -> bool:
-        """Whether the nearest codeword is about as near as those of texts in learned languages; short texts count as near."""
-        return len(row) < LEAST_GRAMS or float(self.losses(row).min()) <= self.far
+        """Whether the bits speak for some codeword rather than against every one; short texts count as known."""
+        return len(row) < LEAST_GRAMS or float(self.losses(row).min()) <= FAR
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +147,7 @@ def _identified(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBa
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is in a learned language: it has a letter, and the nearest codeword is near enough (``LanguageModel.knows``).
+    """The rows of ``docs``, with all their columns, whose text is in a learned language: it has a letter, and its bits don't speak against every codeword (``LanguageModel.knows``).
 
     Ambiguous texts stay; a text in two languages is clean. Null texts go; a null doc_id, repeated rows and repeated ids are
     judged each by its text. Where nothing can be learned, every row stays. Columns may have any names. An empty table gives an
