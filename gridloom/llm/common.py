@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -67,6 +69,33 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2
             yield batch.slice(start)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """The C library's call that gives freed memory back to the system; nothing where it has none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda keep: 0
+
+
+def releasing(step: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``step`` of mapInArrow, at whose end the worker gives freed memory back.
+
+    Workers outlive their tasks and serve those of later stages, and allocators keep what was freed; so a worker would hold the most that
+    any of its tasks took.
+    """
+
+    @wraps(step)
+    def run(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches, **options)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return run
+
+
 def sample_by(rows: DataFrame, label: str, each: int, labels: int, in_all: int | None = None) -> DataFrame | None:
     """About ``each`` rows of every label, or its even share of ``in_all`` if that is less, by a threshold on a hash of doc_id; None if there are no rows.
 

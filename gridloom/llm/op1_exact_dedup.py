@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh_name, lookup_join, small_batches, stored, table
+from gridloom.llm.common import fresh_name, lookup_join, releasing, small_batches, stored, table
 from gridloom.llm.trie import NODE_BYTES, PatriciaTrie
 
 #: Bytes that a task's trie may take, and bytes of text dealt to an owner.
@@ -54,12 +54,14 @@ def _normal(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
 
 
+@releasing
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text", 8 << 20):
         digests = [hashlib.sha256(_normal(t)).digest() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary())], ["doc_id", "digest"])
 
 
+@releasing
 def _fold(batches: Iterator[pa.RecordBatch], largest: bool, limit: int) -> Iterator[pa.RecordBatch]:
     """Copies within a partition; starts a new trie whenever one is full."""
     merge = merger(largest)
@@ -86,6 +88,7 @@ def _fold(batches: Iterator[pa.RecordBatch], largest: bool, limit: int) -> Itera
     yield from out()
 
 
+@releasing
 def _own(batches: Iterator[pa.RecordBatch], largest: bool, limit: int) -> Iterator[pa.RecordBatch]:
     """Classes (key null), and strings of subtrees that were given up (with their key)."""
     trie = PatriciaTrie(merger(largest))

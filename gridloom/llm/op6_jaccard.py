@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import fresh_name, lookup_join, small_batches, stored, table
+from gridloom.llm.common import fresh_name, lookup_join, releasing, small_batches, stored, table
 from gridloom.llm.components import components
 from gridloom.llm.divideskip import least_overlap, search
 from gridloom.llm.shingles import HASH_BITS, WORDS, shingle_sets
@@ -106,6 +106,7 @@ def _chunk_rows(chunk: int, doc_ids: list, sets: list[np.ndarray], bits: int) ->
     yield (chunk, DOCUMENTS - 1, len(held[0]), *_packed(chunk, 0, *held, np.zeros(0))[3:])
 
 
+@releasing
 def _hash(batches: Iterator[pa.RecordBatch], words: int, bits: int) -> Iterator[pa.RecordBatch]:
     base, ordinal = TaskContext.get().partitionId() << 24, 0
     doc_ids, sets, held = [], [], 0
@@ -147,6 +148,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int,
         yield at, held
 
 
+@releasing
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each bucket and chunk, the hashes that occur in more than one document, with the number of those. Rows of documents pass."""
     for bucket, rows in _grouped(batches, 1):
@@ -182,6 +184,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SETS = "doc_id long, n_shingles long, digest binary, members binary, prefix array<long>"
 
 
+@releasing
 def _sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_shingles", "digest", "members", "prefix"]
     types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
@@ -238,6 +241,7 @@ def shared_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     return answered.repartition(parts, "chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(partial(_sets, percent=percent), SETS)
 
 
+@releasing
 def _searched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows come by block, in each first the query (its own id is null), then the sets that it is held against."""
 
