@@ -44,11 +44,6 @@ def id_range_refusals(g: Graph) -> DataFrame:
 
 
 def unaligned_coordinates(g: Graph) -> DataFrame:
-    raw = g.nodes.select("id", (F.col("lat") * 2).alias("raw"))
-    return V.unaligned_coordinates(raw, 50).unionByName(V.unaligned_coordinates(raw.filter("id % 7 = 0"), 75, 50)).select("id", "nano")
-
-
-def every_unaligned_coordinate(g: Graph) -> DataFrame:
     """All nodes, with a granularity that leaves some of them between units."""
     return V.unaligned_coordinates(g.nodes.select("id", (F.col("lat") * 2).alias("raw")), 75, 50).select("id", "nano")
 
@@ -182,19 +177,11 @@ def tag_regex(g: Graph) -> DataFrame:
 
 
 def recurse_down(g: Graph) -> DataFrame:
-    return Q.recurse_down(g.members, g.refs, g.relations.filter("id % 100 = 1").select("id"))
-
-
-def recurse_down_segment(g: Graph) -> DataFrame:
     """Everything below the relations with a tag; most of their sub-relations don't have it."""
     return Q.recurse_down(g.members, g.refs, g.relations.filter("exists(tags, t -> t.k = 'segment' and t.v = 'BUILDING')").select("id"))
 
 
 def recurse_up(g: Graph) -> DataFrame:
-    return Q.recurse_up(g.members, g.refs, g.nodes.filter("id % 50 = 1").select("id"))
-
-
-def recurse_up_every(g: Graph) -> DataFrame:
     """From all nodes."""
     return Q.recurse_up(g.members, g.refs, g.nodes.select("id"))
 
@@ -203,7 +190,7 @@ def around(g: Graph) -> DataFrame:
     return Q.around(g.staged_nodes, LAT, LON, RADIUS)
 
 
-def _all_rectangles(g: Graph) -> DataFrame:
+def _rectangles(g: Graph) -> DataFrame:
     """A rectangle's four edges for each way whose nodes span one."""
     boxes = g.refs.join(g.nodes.select(F.col("id").alias("node_id"), "lat", "lon"), "node_id").groupBy(F.col("way_id").alias("area_id")).agg(F.min("lat").alias("s"), F.max("lat").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"))
     ring = [("s", "w", "s", "e"), ("s", "e", "n", "e"), ("n", "e", "n", "w"), ("n", "w", "s", "w")]
@@ -211,27 +198,14 @@ def _all_rectangles(g: Graph) -> DataFrame:
     return boxes.filter("s < n and w < e").select("area_id", edges.alias("x")).select("area_id", "x.*")
 
 
-def _rectangles(g: Graph) -> DataFrame:
-    return _all_rectangles(g).filter("area_id % 20 = 3")
-
-
 def is_in_rect(g: Graph) -> DataFrame:
-    points = g.nodes.filter("id % 10 = 1").select(F.col("id").alias("point_id"), "lat", "lon")
-    return Q.is_in(points, _rectangles(g), 1 << 26)
-
-
-def is_in_every_rect(g: Graph) -> DataFrame:
     """All nodes in all rectangles."""
-    return Q.is_in(g.nodes.select(F.col("id").alias("point_id"), "lat", "lon"), _all_rectangles(g), 1 << 26)
+    return Q.is_in(g.nodes.select(F.col("id").alias("point_id"), "lat", "lon"), _rectangles(g), 1 << 26)
 
 
 def ring_closure(g: Graph) -> DataFrame:
-    return Q.closed_rings(_rectangles(g).filter("not (area_id % 3 = 0 and lat1 = lat2)"))
-
-
-def every_ring_closure(g: Graph) -> DataFrame:
     """All rectangles, those with an id divisible by three without two of their edges."""
-    return Q.closed_rings(_all_rectangles(g).filter("not (area_id % 3 = 0 and lat1 = lat2)"))
+    return Q.closed_rings(_rectangles(g).filter("not (area_id % 3 = 0 and lat1 = lat2)"))
 
 
 def way_centres(g: Graph) -> DataFrame:
@@ -246,12 +220,6 @@ def relation_nesting(g: Graph) -> DataFrame:
 
 
 def member_ways_foreach(g: Graph) -> DataFrame:
-    """For each relation of a selection, its member ways with a status tag."""
-    own = g.members.filter("kind = 2 and relation_id % 25 = 1").select("relation_id", F.col("ref").alias("id"))
-    return own.join(g.way_tags.filter("k = 'status'").select("id", "v"), "id").select("relation_id", "id", "v").distinct()
-
-
-def member_ways_foreach_every(g: Graph) -> DataFrame:
     """For each relation, its member ways with a status tag."""
     own = g.members.filter("kind = 2").select("relation_id", F.col("ref").alias("id"))
     return own.join(g.way_tags.filter("k = 'status'").select("id", "v"), "id").select("relation_id", "id", "v").distinct()
@@ -273,8 +241,7 @@ _DIFF = "select coalesce(a.id, b.id) as id, case when b.id is null then 'only fi
 _SPANS = _CTE + ", spans as (select way_id % 100 as file, way_id * 8 + pos as s, way_id * 8 + pos + 5 as e from refs where pos % 3 <> 1), bounded as (select file, s, e from spans union all select file, max(e) + file, max(e) + file from spans group by file)"
 _SHARD = _CTE + ", sh as (select id, ((row_number() over (order by id) - 1) % {n})::int as shard from (select o_orderkey + 1 as id from orders))"
 _OVER = _SHARD.replace("{n}", "7") + ", ov as (select id, shard from sh where id % 43 <> 0 union all select id, ((shard + 2) % 7)::int from sh where id % 31 = 0 and id % 43 <> 0)"
-_RECT = _CTE + """, rect as (select way_id as area_id, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from refs join nodes on id = node_id where way_id % 20 = 3 group by way_id having min(lat) < max(lat) and min(lon) < max(lon))"""
-_RECTS = _CTE + """, rect as (select way_id as area_id, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from refs join nodes on id = node_id group by way_id having min(lat) < max(lat) and min(lon) < max(lon))"""
+_RECT = _CTE + """, rect as (select way_id as area_id, min(lat) as s, max(lat) as n, min(lon) as w, max(lon) as e from refs join nodes on id = node_id group by way_id having min(lat) < max(lat) and min(lon) < max(lon))"""
 _SIZES = _CTE + ", sizes as (select way_id % 8 as file, way_id as key, 8 + count(*) * 37 + case when way_id % 23 = 0 then 700 else 0 end as size from refs group by way_id)"
 
 SQL = {
@@ -283,8 +250,7 @@ SQL = {
     "duplicate_ids": _SEQ + "select kind, id, count(*) as n from seq group by all having count(*) > 1",
     "id_range_refusals": _SEQ + """, moved as (select kind, case when id % 211 = 0 then id - 5000 when id % 223 = 0 then id + 4398046511104 else id end as id from seq)
         select distinct kind, id, case when id < 1 then 'not positive' else 'too large' end as reason from moved where id < 1 or id > case when kind = 1 then 4398046511103 else 4294967295 end""",
-    "unaligned_coordinates": _CTE + "select id, 50 + lat * 150 as nano from nodes where id % 7 = 0 and (50 + lat * 150) % 100 <> 0 union all select id, lat * 100 from nodes where (lat * 100) % 100 <> 0",
-    "every_unaligned_coordinate": _CTE + "select id, 50 + lat * 150 as nano from nodes where (50 + lat * 150) % 100 <> 0",
+    "unaligned_coordinates": _CTE + "select id, 50 + lat * 150 as nano from nodes where (50 + lat * 150) % 100 <> 0",
     "text_refusals": _CTE + _WAY_TAGS + "select id, k, 'value' as reason from way_tags where id % 709 = 0 or (id % 701 = 0 and strlen(v) * 40000 > 65535)",
     "empty_ways": _CTE + "select id from ways where id not in (select way_id from refs)",
     "key_order_violations": _CTE + "select file, seq, key from (select *, lag(key) over (partition by file order by seq) as prior from (select id % 50 as file, id as seq, idx // 67108864 as key from way_index where idx <> 254)) where prior >= key",
@@ -316,28 +282,19 @@ SQL = {
     "tag_equality_nwr": _CTE + "select 'way' as type, id from ways where status = 'F' union all select 'node', id from nodes where l_returnflag = 'R' union all select 'relation', o_orderkey + 1 from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING'",
     "tag_key_exists": "select 'relation' as type, o_orderkey + 1 as id from orders",
     "tag_regex": "select 'way' as type, o_orderkey + 1 as id from orders where regexp_matches(o_orderpriority, '^[12]-.*[GH]')",
-    "recurse_down": "with recursive" + _CTE[4:] + """, rel(id) as (select o_orderkey + 1 from orders where (o_orderkey + 1) % 100 = 1 union select ref from rel join member_values on relation_id = id where kind = 3),
-        w as (select distinct ref as id from member_values where kind = 2 and relation_id in (select id from rel))
-        select 'relation' as type, id from rel union all select 'way', id from w union all
-        select 'node', id from (select ref as id from member_values where kind = 1 and relation_id in (select id from rel) union select node_id from refs where way_id in (select id from w))""",
-    "recurse_down_segment": "with recursive" + _CTE[4:] + """, rel(id) as (select o_orderkey + 1 from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING' union select ref from rel join member_values on relation_id = id where kind = 3),
+    "recurse_down": "with recursive" + _CTE[4:] + """, rel(id) as (select o_orderkey + 1 from orders join customer on c_custkey = o_custkey where c_mktsegment = 'BUILDING' union select ref from rel join member_values on relation_id = id where kind = 3),
         w as (select distinct ref as id from member_values where kind = 2 and relation_id in (select id from rel))
         select 'relation' as type, id from rel union all select 'way', id from w union all
         select 'node', id from (select ref as id from member_values where kind = 1 and relation_id in (select id from rel) union select node_id from refs where way_id in (select id from w))""",
-    "recurse_up": _CTE + """, w as (select distinct way_id as id from refs where node_id in (select id from nodes where id % 50 = 1))
-        select 'way' as type, id from w union all select distinct 'relation', relation_id from member_values where (kind = 1 and ref in (select id from nodes where id % 50 = 1)) or (kind = 2 and ref in (select id from w))""",
-    "recurse_up_every": _CTE + """, w as (select distinct way_id as id from refs where node_id in (select id from nodes))
+    "recurse_up": _CTE + """, w as (select distinct way_id as id from refs where node_id in (select id from nodes))
         select 'way' as type, id from w union all select distinct 'relation', relation_id from member_values where (kind = 1 and ref in (select id from nodes)) or (kind = 2 and ref in (select id from w))""",
     "around": _CTE + f"select id, lat * lat + lon * lon as distance2 from nodes where lat * lat + lon * lon <= {RADIUS * RADIUS}",
-    "is_in_rect": _RECT + "select id as point_id, area_id from nodes join rect on lat >= s and lat < n and lon >= w and lon < e where id % 10 = 1",
+    "is_in_rect": _RECT + "select id as point_id, area_id from nodes join rect on lat >= s and lat < n and lon >= w and lon < e",
     "ring_closure": _RECT + "select area_id, area_id % 3 <> 0 as ok, case when area_id % 3 = 0 then 2 else 4 end::bigint as n_edges from rect",
-    "is_in_every_rect": _RECTS + "select id as point_id, area_id from nodes join rect on lat >= s and lat < n and lon >= w and lon < e",
-    "every_ring_closure": _RECTS + "select area_id, area_id % 3 <> 0 as ok, case when area_id % 3 = 0 then 2 else 4 end::bigint as n_edges from rect",
     "way_centres": _CTE + "select way_id, floor((min(lat) + max(lat)) / 2)::bigint as lat, floor((min(lon) + max(lon)) / 2)::bigint as lon from refs join nodes on id = node_id group by way_id",
     "relation_nesting": _CTE + "select distinct a.relation_id as parent, a.ref as child from member_values a join member_values b on b.kind = 3 and b.relation_id = a.ref and b.ref = a.relation_id where a.kind = 3",
-    "member_ways_foreach": _CTE + "select distinct relation_id, ref as id, status as v from member_values join ways on id = ref where kind = 2 and relation_id % 25 = 1",
-    "member_ways_foreach_every": _CTE + "select distinct relation_id, ref as id, status as v from member_values join ways on id = ref where kind = 2",
+    "member_ways_foreach": _CTE + "select distinct relation_id, ref as id, status as v from member_values join ways on id = ref where kind = 2",
     "iso_timestamp": "select event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') as iso from events",
 }
 
-QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Graph(spark, sf_dir))) for f in (order_violations_lag, duplicate_ids, id_range_refusals, unaligned_coordinates, every_unaligned_coordinate, text_refusals, empty_ways, key_order_violations, dataset_diff_full_outer, outcome_counts, keyset_symmetric_difference, span_gaps, first_difference, prefix_sum_positions, bucket_lookup_range, every_nth_shard, shard_disjointness, shard_coverage, shard_merge, version_agreement, pack_segments, pack_blocks, bbox_count, bbox_nodes, id_lookup, ways_by_tag_bbox, tag_equality_nwr, tag_key_exists, tag_regex, recurse_down, recurse_down_segment, recurse_up, recurse_up_every, around, is_in_rect, is_in_every_rect, ring_closure, every_ring_closure, way_centres, relation_nesting, member_ways_foreach, member_ways_foreach_every, iso_timestamp)}
+QUERIES = {f.__name__: (lambda spark, sf_dir, f=f: f(Graph(spark, sf_dir))) for f in (order_violations_lag, duplicate_ids, id_range_refusals, unaligned_coordinates, text_refusals, empty_ways, key_order_violations, dataset_diff_full_outer, outcome_counts, keyset_symmetric_difference, span_gaps, first_difference, prefix_sum_positions, bucket_lookup_range, every_nth_shard, shard_disjointness, shard_coverage, shard_merge, version_agreement, pack_segments, pack_blocks, bbox_count, bbox_nodes, id_lookup, ways_by_tag_bbox, tag_equality_nwr, tag_key_exists, tag_regex, recurse_down, recurse_up, around, is_in_rect, ring_closure, way_centres, relation_nesting, member_ways_foreach, iso_timestamp)}

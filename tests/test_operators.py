@@ -76,8 +76,8 @@ def test_every_node_in_every_rectangle(spark):
     boxes = {way: (min(lats), max(lats), min(lons), max(lons)) for way, at in own.items() for lats, lons in [zip(*at, strict=True)]}
     boxes = {way: (s, n, w, e) for way, (s, n, w, e) in boxes.items() if s < n and w < e}
     want = {(node, way) for way, (s, n, w, e) in boxes.items() for node, (lat, lon) in places.items() if s <= lat < n and w <= lon < e}
-    assert Counter(tuple(r) for r in service.is_in_every_rect(g).collect()) == Counter(want)
-    assert {r.area_id: (r.ok, r.n_edges) for r in service.every_ring_closure(g).collect()} == {way: (way % 3 != 0, 4 if way % 3 else 2) for way in boxes}
+    assert Counter(tuple(r) for r in service.is_in_rect(g).collect()) == Counter(want)
+    assert {r.area_id: (r.ok, r.n_edges) for r in service.ring_closure(g).collect()} == {way: (way % 3 != 0, 4 if way % 3 else 2) for way in boxes}
 
 
 def test_every_relation_and_node(spark):
@@ -86,12 +86,12 @@ def test_every_relation_and_node(spark):
 
     g = Graph(spark, os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
     members, ways = g.members.collect(), {r.id for r in g.ways.select("id").collect()}
-    assert {(r.relation_id, r.id) for r in service.member_ways_foreach_every(g).collect()} == {(m.relation_id, m.ref) for m in members if m.kind == 2 and m.ref in ways}
+    assert {(r.relation_id, r.id) for r in service.member_ways_foreach(g).collect()} == {(m.relation_id, m.ref) for m in members if m.kind == 2 and m.ref in ways}
     lats = {r.id: r.lat for r in g.nodes.select("id", "lat").collect()}
-    assert {r.id for r in service.every_unaligned_coordinate(g).collect()} == {node for node, lat in lats.items() if (lat * 150 + 50) % 100}
+    assert {r.id for r in service.unaligned_coordinates(g).collect()} == {node for node, lat in lats.items() if (lat * 150 + 50) % 100}
     up = {r.way_id for r in g.refs.collect() if r.node_id in lats}
     relations = {m.relation_id for m in members if (m.kind == 1 and m.ref in lats) or (m.kind == 2 and m.ref in up)}
-    assert Counter(tuple(r) for r in service.recurse_up_every(g).collect()) == Counter([*(("way", x) for x in up), *(("relation", x) for x in relations)])
+    assert Counter(tuple(r) for r in service.recurse_up(g).collect()) == Counter([*(("way", x) for x in up), *(("relation", x) for x in relations)])
 
 
 def test_as_of_across_ranges(spark):
