@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import gather, sample_by, small_batches, table
+from gridloom.llm.common import gather, releasing, sample_by, small_batches, table
 from gridloom.llm.linear import fit_hinge, fit_sigmoid
 from gridloom.llm.ngrams import distinct_grams
 
@@ -76,6 +76,7 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(a * self.margin(row) + b, -700, 700))))
 
 
+@releasing
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text"):
         rows = [x.astype("<u4").tobytes() for x in features(batch.column("text").to_pylist())]
@@ -97,6 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> QualityMode
     return QualityModel([np.frombuffer(r["features"], dtype="<u4") for r in rows], np.array([r["label"] == 1 for r in rows])) if rows else None
 
 
+@releasing
 def _score(batches: Iterator[pa.RecordBatch], held, good: float) -> Iterator[pa.RecordBatch]:
     model = held.value
     for batch in small_batches(batches, "text"):
@@ -124,6 +126,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rate(docs, model).selectExpr("doc_id", f"coalesce({HELD_OUT}, false) as held_out", "score", "predicted")
 
 
+@releasing
 def _good(batches: Iterator[pa.RecordBatch], held, good: float) -> Iterator[pa.RecordBatch]:
     model = held.value
     for batch in small_batches(batches, "text"):

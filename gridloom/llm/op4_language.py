@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import gather, sample_by, small_batches, table
+from gridloom.llm.common import gather, releasing, sample_by, small_batches, table
 from gridloom.llm.linear import fit_hinge
 from gridloom.llm.ngrams import distinct_grams
 
@@ -89,6 +89,7 @@ class LanguageModel:
         return len(row) < LEAST_GRAMS or float(self.losses(row).min()) <= FAR
 
 
+@releasing
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "text"):
         rows = [x.astype("<u4").tobytes() for x in features(batch.column("text").to_pylist())]
@@ -109,6 +110,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel | None:
     return LanguageModel([np.frombuffer(r["features"], dtype="<u4") for r in rows], [r["label"] for r in rows]) if rows else None
 
 
+@releasing
 def _predict(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     model = held.value
     for batch in small_batches(batches, "text"):
@@ -139,6 +141,7 @@ def language_id(docs: DataFrame) -> DataFrame:
     return identify(docs, model).selectExpr("doc_id", f"coalesce({HELD_OUT}, false) as held_out", "lang_pred", "score", "ambiguous")
 
 
+@releasing
 def _identified(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     model = held.value
     for batch in small_batches(batches, "text"):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import small_batches, stored, table
+from gridloom.llm.common import releasing, small_batches, stored, table
 from gridloom.llm.tokens import encoder, vocabulary
 
 CAPACITY, END_ID, VOCABULARY = 1024, 2, "byte_bpe_50k.json"
@@ -28,6 +28,7 @@ PIECES_A_BUCKET = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@releasing
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
     end = int(end_id).to_bytes(4, "little")
@@ -125,6 +126,7 @@ def slots(bins: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarray
     return {k: np.array(v, dtype=np.int64) for k, v in found.items()}
 
 
+@releasing
 def _place(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     where = held.value
     for batch in batches:
