@@ -49,7 +49,7 @@ def unaligned_coordinates(g: Graph) -> DataFrame:
 
 
 def text_refusals(g: Graph) -> DataFrame:
-    wide = g.way_tags.select("id", "k", F.when(F.col("id") % 701 == 0, F.repeat("v", 40_000)).when(F.col("id") % 709 == 0, F.lit(None).cast("string")).otherwise(F.col("v")).alias("v"))
+    wide = g.way_tags.select("id", "k", F.when(F.col("id") % 709 == 0, F.lit(None).cast("string")).when(F.col("id") % 701 == 0, F.repeat("v", 40_000)).otherwise(F.col("v")).alias("v"))
     return V.text_refusals(wide).select("id", "k", "reason")
 
 

@@ -94,6 +94,16 @@ def test_every_relation_and_node(spark):
     assert Counter(tuple(r) for r in service.recurse_up(g).collect()) == Counter([*(("way", x) for x in up), *(("relation", x) for x in relations)])
 
 
+def test_absent_text_of_both_remainders(spark):
+    """An id that 701 and 709 divide has no text, whose length doesn't matter then."""
+    from types import SimpleNamespace
+
+    from gridloom.plans import service
+
+    tags = spark.createDataFrame([(701 * 709, "status", "F"), (701, "status", "F"), (701, "priority", "1-URGENT"), (709, "status", "F"), (3, "status", "F")], "id long, k string, v string")
+    assert sorted(tuple(r) for r in service.text_refusals(SimpleNamespace(way_tags=tags)).collect()) == [(701, "priority", "value"), (709, "status", "value"), (701 * 709, "status", "value")]
+
+
 def test_as_of_across_ranges(spark):
     starts = spark.createDataFrame([(0, 10), (1, 70_000), (2, 400_000)], "bucket long, start long")
     asked = spark.createDataFrame([(5,), (10,), (69_999,), (70_000,), (300_000,), (900_000,)], "id long")
