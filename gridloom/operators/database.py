@@ -420,13 +420,14 @@ SAMPLE = 5
 def expectations(spark: SparkSession, folder: str, wanted: list[Expect], log: str = "") -> DataFrame:
     """(n, what, file, ok, found) of each expectation, in their order; found tells the value that was held against the wanted one.
 
-    What is looked at is summed up once for all expectations: a row for each file, and the keys that are asked for.
+    What is looked at is summed up once for all expectations: a row for each file, and the keys that are asked for. What stands
+    under one key is one group, also where it takes several blocks.
     """
     files = {r["name"]: r["length"] for r in listing(spark, folder).collect()}  # a few dozen rows
     groups = stored(B.read(spark, folder).select("file", "block", "last_block", "key", "described", F.octet_length("objects").cast("long").alias("bytes")), "groups")
     spans = groups.select("file", "key", F.explode(F.sequence("block", "last_block")).alias("b")).distinct().groupBy("file", "key").agg(F.count(F.lit(1)).alias("blocks"))
     widest = {r["file"]: r["n"] for r in spans.groupBy("file").agg(F.max("blocks").alias("n")).collect()}
-    sums = {r["file"]: r for r in groups.groupBy("file").agg(F.count(F.lit(1)).alias("groups"), F.sum("bytes").alias("bytes")).collect()}
+    sums = {r["file"]: r for r in groups.groupBy("file").agg(F.countDistinct("key").alias("groups"), F.sum("bytes").alias("bytes")).collect()}
     blocks_ = {r["file"]: r["n"] for r in B.entries(spark, folder).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
     maps = {r["file"]: r["n"] for r in B.map_blocks(spark, folder).groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()}
     asked = [x.key for x in wanted if x.key]

@@ -168,6 +168,15 @@ def test_expectations(spark, groups, tmp_path):
     assert listing(spark, out).count() == 5
 
 
+def test_group_of_several_blocks(spark, groups, tmp_path):
+    """What stands under one key is one group, however many blocks it takes."""
+    out = f"file://{tmp_path}/db"
+    D.write_database(groups[1], out, "v", 1024)
+    assert B.read(spark, out).filter("file = 'a.bin'").count() > 60
+    got = D.expectations(spark, out, [D.Expect("group count", "a.bin", wanted=60), D.Expect("least groups", "b.bin", wanted=62)]).orderBy("n").collect()
+    assert [(r.ok, r.found) for r in got] == [(True, "60"), (False, "61")]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_pack_sizes(spark, seed):
     """Blocks by sizes alone are those that the bytes are packed to, large groups included."""
