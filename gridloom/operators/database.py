@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.checks import key_order_violations
 from gridloom.operators.compare import gaps
-from gridloom.operators.pack import Group, pack_groups, segments
+from gridloom.operators.pack import packed as packed_blocks, runs
 from gridloom.operators.storage import shared_dir, stored
 from gridloom.sources import blockfile as B
 from gridloom.sources.pbf import InputRefused
@@ -43,41 +45,47 @@ def file_set(nodes: bool, ways: bool, relations: bool) -> dict[str, bool]:
 
 # Writing.
 
-BLOCKS = "file string, segment long, at int, key binary, payload binary"
+BLOCKS = "file string, run long, at long, key binary, payload binary"
 
 
 def blocks(groups: DataFrame, block: int) -> DataFrame:
     """Payloads of the blocks (columns of BLOCKS) of groups (file, order..., key, objects: array<binary>).
 
-    ``order`` is a column by which a file's groups are sorted. Groups without objects are left out.
+    ``order`` is a column by which a file's groups are sorted. Groups without objects are left out. A large group may come in
+    several rows, by ``part``, so that no row holds it.
     """
+    if "part" not in groups.columns:
+        groups = groups.withColumn("part", F.lit(0))
     sized = groups.filter("size(objects) > 0").withColumn("bytes", F.expr("4 + octet_length(key) + aggregate(objects, 0L, (a, x) -> a + octet_length(x))"))
-    dealt = segments(sized, "file", "order", "bytes", block)
+    dealt = runs(sized, "file", "order", "bytes", block)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, run = None, []
-
-        def out():
-            rows = [(*at, i, key, payload) for i, (key, payload) in enumerate(pack_groups(run, block))]
-            types = (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["file", "segment", "at", "key", "payload"])
-
-        for batch in batches:
-            for *own, key, objects in zip(*(batch.column(c).to_pylist() for c in ("file", "segment", "key", "objects")), strict=True):
-                if run and tuple(own) != at:
-                    yield out()
-                    run = []
-                at = tuple(own)
-                run.append(Group(key, objects))
-        if run:
-            yield out()
-
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.select("file", "segment", "order", "key", "objects").repartition(parts, "file", "segment").sortWithinPartitions("file", "segment", "order").mapInArrow(pack, BLOCKS)
+        names, types = ("file", "run", "at", "key", "payload"), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("file", "run", "key", "objects")), strict=True))
+        out, held = [], 0
+        for own, listed in groupby(rows, itemgetter(0, 1)):
+            for i, (key, payload) in enumerate(packed_blocks(((r[2], r[3]) for r in listed), block)):
+                out.append((*own, i, key, payload))
+                held += len(payload)
+                if held > 4 << 20:
+                    yield made(out)
+                    out, held = [], 0
+        if out:
+            yield made(out)
+
+    return dealt.select("file", F.col("run").cast("long"), "order", "part", "key", "objects").repartition("file", "run").sortWithinPartitions("file", "run", "order", "part").mapInArrow(pack, BLOCKS)
+
+
+def _framed(batches: Iterator[pa.RecordBatch], block: int, method: int) -> Iterator[pa.RecordBatch]:
+    """Blocks as they are stored, compressed where they were packed."""
+    unit, at = block >> B.FACTOR_LOG, BLOCKS.split(", ").index("payload binary")
+    for batch in batches:
+        yield batch.set_column(at, "payload", pa.array([B.framed(x, method, unit) for x in batch.column(at).to_pylist()], pa.binary()))
 
 
 def _appended(batches: Iterator[pa.RecordBatch], folder: str, block: int, method: int) -> Iterator[pa.RecordBatch]:
-    """Blocks that come by file and in order to the bytes of their files; a file is written as its blocks come, and its index after it."""
+    """Stored blocks that come by file and in order to the bytes of their files; a file is written as its blocks come, and its index after it."""
     unit = block >> B.FACTOR_LOG
     at, sink, index, position, done = None, None, [], 0, []
 
@@ -88,12 +96,11 @@ def _appended(batches: Iterator[pa.RecordBatch], folder: str, block: int, method
         done.append((at, len(index), position * unit))
 
     for batch in batches:
-        for file, key, payload in zip(*(batch.column(c).to_pylist() for c in ("file", "key", "payload")), strict=True):
+        for file, key, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "key", "payload")), strict=True):
             if file != at:
                 if sink:
                     close()
                 at, sink, index, position = file, writer(f"{folder}/{file}"), [], 0
-            raw = B.framed(payload, method, unit)
             sink.write(raw)
             index.append(B.ENTRY.pack(position, len(raw) // unit, 0) + key)
             position += len(raw) // unit
@@ -104,10 +111,11 @@ def _appended(batches: Iterator[pa.RecordBatch], folder: str, block: int, method
 
 
 def write_block_files(packed: DataFrame, folder: str, block: int, method: int = B.NO_COMPRESSION) -> DataFrame:
-    """(file, blocks, bytes) of the files written. A file is one run of bytes, so one task writes it, block by block; different files are written at a time."""
+    """(file, blocks, bytes) of the files written. Blocks are made once, by many tasks. A file is one run of bytes, so one task writes it, block by block; different files are written at a time."""
     spark = packed.sparkSession
+    packed = stored(packed.mapInArrow(partial(_framed, block=block, method=method), BLOCKS), "blocks")
     files = [r["file"] for r in packed.select("file").distinct().collect()]  # a few dozen
-    dealt = packed.repartition(max(len(files), 1), "file").sortWithinPartitions("file", "segment", "at")
+    dealt = packed.repartition(max(len(files), 1), "file").sortWithinPartitions("file", "run", "at")
     return stored(dealt.mapInArrow(partial(_appended, folder=folder, block=block, method=method), "file string, blocks long, bytes long"), "written") if files else spark.createDataFrame([], "file string, blocks long, bytes long")
 
 
@@ -150,9 +158,8 @@ def write_map_files(values: DataFrame, folder: str) -> None:
             close()
         yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string())})
 
-    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = values.selectExpr("file", f"cast(id div {B.MAP_IDS} as long) as block", f"cast(id % {B.MAP_IDS} as int) as slot", "value")
-    filled = placed.repartition(parts, "file", "block").sortWithinPartitions("file", "block").mapInArrow(made, "file string, block long, data binary")
+    filled = placed.repartition("file", "block").sortWithinPartitions("file", "block").mapInArrow(made, "file string, block long, data binary")
     stored(filled.repartition("file").sortWithinPartitions("file", "block").mapInArrow(appended, "file string"), "maps")
 
 
@@ -381,7 +388,7 @@ def merge_areas(spark: SparkSession, shards: list[str], out: str) -> None:
     objects = None
     for i, s in enumerate(shards):
         groups = stored(B.read(spark, s).filter(F.col("file").isin(*AREA_FILES)), "groups")
-        for file in AREA_FILES:
+        for file in (f for f in AREA_FILES if f in layouts):
             own = groups.filter(F.col("file") == file).select("file", "block", F.expr(key_order(file)).alias("order"))
             # a key that is too large for a block has several groups
             if not key_order_violations(own, "file", "block", "order").filter("prior.order <> order").isEmpty():

@@ -7,9 +7,10 @@ such places are packed without regard to others: these segments are packed in pa
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, chain, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -32,9 +33,28 @@ def segments(groups: DataFrame, file: str, key: str, size: str, block: int) -> D
     return marked.join(starts, [file, "_part"]).withColumn("segment", F.col("_before") + F.sum("_reset").over(inside)).drop("_part", "_seam", "_prior", "_reset", "_before")
 
 
-def _front(sums: list[int], start: int, room: int) -> int:
-    """End of a block that begins at ``start``: just past two thirds of the room, or a group less if that doesn't fit."""
-    end = min(bisect_right(sums, sums[start] + 2 * room // 3), len(sums) - 1)
+def runs(groups: DataFrame, file: str, key: str, size: str, block: int) -> DataFrame:
+    """groups, of which one may come in several rows, with the run of each: runs begin where a flush divides, one a range at most.
+
+    Only keys and sizes are looked at before the groups are dealt; they themselves are written once.
+    """
+    room = block - 4
+    own = in_ranges(groups, file, key)
+    whole = own.groupBy(file, "_part", key).agg(F.sum(size).alias("_size"))
+    ranges, inside = Window.partitionBy(file).orderBy("_part"), Window.partitionBy(file, "_part").orderBy(key)
+    seams = whole.groupBy(file, "_part").agg(F.max_by("_size", key).alias("_last")).select(file, "_part", F.lag("_last").over(ranges).alias("_seam"))  # a row a range
+    prior = F.coalesce(F.lag("_size").over(inside), F.col("_seam"))
+    marked = whole.join(seams, [file, "_part"]).withColumn("_prior", prior).withColumn("_reset", (F.col("_size") >= room) | (F.col("_prior") >= room) | (F.col("_size") + F.col("_prior") > room))
+    first = marked.groupBy(file, "_part").agg(F.min(F.when(F.col("_reset"), F.col(key))).alias("_first"))
+    begun = F.last(F.when(F.col("_first").isNotNull(), F.col("_part")), ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1))
+    first = stored(first.select(file, "_part", "_first", F.coalesce(begun, F.lit(-1)).alias("_earlier")), "runs")
+    begins = F.coalesce(F.col(key) >= F.col("_first"), F.lit(False))
+    return own.join(F.broadcast(first), [file, "_part"]).withColumn("run", F.when(begins, F.col("_part")).otherwise(F.col("_earlier"))).drop("_part", "_first", "_earlier")
+
+
+def _front(sums: list[int], start: int, seen: int, room: int) -> int:
+    """End of a block that begins at ``start``, of groups up to ``seen``: just past two thirds of the room, or a group less if that doesn't fit."""
+    end = min(bisect_right(sums, sums[start] + 2 * room // 3, start, seen + 1), seen)
     return end if sums[end] - sums[start] <= room else end - 1
 
 
@@ -62,7 +82,7 @@ def block_ends(sizes: list[int], block: int) -> list[int]:
     room, sums, ends, start = block - 4, [0, *accumulate(sizes)], [], 0
     for seen in range(1, len(sums)):
         while sums[seen] - sums[start] >= 2 * room:
-            start = _front(sums[: seen + 1], start, room)
+            start = _front(sums, start, seen, room)
             ends.append(start)
     if start == len(sizes):
         return ends
@@ -85,28 +105,31 @@ class Group:
 LONGEST_OBJECT = 64 << 20
 
 
-def _large(group: Group, block: int) -> Iterator[bytes]:
+def _large(key: bytes, objects: Iterable[bytes], block: int) -> Iterator[bytes]:
     """Payloads of a group larger than a block: blocks that each begin with the key, then each oversized object in pieces."""
-    fit = [x for x in group.objects if len(x) + len(group.key) + 8 < block]
-    rest = [x for x in group.objects if len(x) + len(group.key) + 8 >= block]
-    held, used = [], 8 + len(group.key)
+    head, rest = 8 + len(key), []
+    held, used = [], head
 
     def written() -> bytes:
         n = used.to_bytes(4, "little")
-        return b"".join([n, n, group.key, *held])
+        return b"".join([n, n, key, *held])
 
-    for x in fit:
-        if used + len(x) > block:
+    for x in objects:
+        n = len(x)
+        if n + head >= block:
+            rest.append(x)
+            continue
+        if used + n > block:
             yield written()
-            held, used = [], 8 + len(group.key)
+            held, used = [], head
         held.append(x)
-        used += len(x)
-    if fit:
+        used += n
+    if held:
         yield written()
     for x in rest:
         if len(x) > LONGEST_OBJECT:
             raise ValueError(f"an object of {len(x)} bytes exceeds the limit")
-        whole = block.to_bytes(4, "little") + (len(x) + len(group.key) + 8).to_bytes(4, "little") + group.key + x
+        whole = block.to_bytes(4, "little") + (len(x) + head).to_bytes(4, "little") + key + x
         pieces = (len(whole) - 1) // block + 1
         yield from (whole[i * block : (i + 1) * block] for i in range(pieces))
 
@@ -120,28 +143,51 @@ def _payload(groups: list[Group]) -> bytes:
     return b"".join(out)
 
 
-def pack_groups(groups: list[Group], block: int) -> list[tuple[bytes, bytes]]:
-    """(key, payload) of the blocks of sorted groups."""
-    groups = [g for g in groups if g.objects]
-    room, out, run = block - 4, [], []
+def packed(rows: Iterable[tuple[bytes, list[bytes]]], block: int) -> Iterator[tuple[bytes, bytes]]:
+    """(key, payload) of the blocks of sorted groups (key, objects), of which one may come in several rows. Held are two blocks' worth of small groups, or one block of a large group."""
+    room, run, sums, last = block - 4, [], [0], 0
+
+    def cut(end: int) -> tuple[bytes, bytes]:
+        out = run[0].key, _payload(run[:end])
+        del run[:end], sums[:end]
+        return out
+
+    def flush() -> Iterator[tuple[bytes, bytes]]:
+        if run and sums[-1] - sums[0] >= room:
+            done = 0
+            for end in _halves([s - sums[0] for s in sums], room):
+                yield cut(end - done)
+                done = end
+        if run:
+            yield cut(len(run))
+
+    for key, parts in groupby(rows, itemgetter(0)):
+        left = chain.from_iterable(objects for _, objects in parts)
+        held, size = [], 4 + len(key)
+        for x in left:
+            held.append(x)
+            size += len(x)
+            if size >= room:
+                break
+        if not held:
+            continue
+        if size >= room:
+            yield from flush()
+            yield from ((key, p) for p in _large(key, chain(held, left), block))
+            continue
+        if run and last + size > room:
+            yield from flush()
+        run.append(Group(key, held))
+        sums.append(sums[-1] + size)
+        last = size
+        while sums[-1] - sums[0] >= 2 * room:
+            yield cut(_front(sums, 0, len(sums) - 1, room))
+    yield from flush()
 
-    def flush() -> None:
-        start = 0
-        for end in block_ends([g.size for g in run], block) if run else []:
-            out.append((run[start].key, _payload(run[start:end])))
-            start = end
-        run.clear()
 
-    for g in groups:
-        if g.size >= room:
-            flush()
-            out.extend((g.key, p) for p in _large(g, block))
-            continue
-        if run and run[-1].size + g.size > room:
-            flush()
-        run.append(g)
-    flush()
-    return out
+def pack_groups(groups: list[Group], block: int) -> list[tuple[bytes, bytes]]:
+    """(key, payload) of the blocks of sorted groups."""
+    return list(packed(((g.key, g.objects) for g in groups), block))
 
 
 def large_blocks(head: int, objects: list[int], block: int) -> list[tuple[int, int]]:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from gridloom.operators import database as D
 from gridloom.operators import datasets as E
 from gridloom.operators import search as Q
 from gridloom.operators import tags as T
+from gridloom.operators.pack import Group
 from gridloom.operators.shards import every_nth_shard
 from gridloom.operators.storage import stored
 from gridloom.plans.graph import _ALL, _CTE, _GEO, _NODE_TAGS, _RELATION, _WAY_TAGS, Graph
@@ -62,9 +65,10 @@ def staged_kinds(g: Graph) -> DataFrame:
 
 
 def _little(c: Column | str, n: int) -> Column:
-    """Bytes of a number, lowest first."""
-    digits = F.lpad(F.hex(c), 2 * n, "0")
-    return F.unhex(F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in reversed(range(n)))))
+    """Bytes of a number, lowest first: the number with its bytes turned, in hex."""
+    own = (F.col(c) if isinstance(c, str) else c).cast("long")
+    turned = reduce(Column.bitwiseOR, (F.shiftleft(F.shiftright(own, 8 * i).bitwiseAND(F.lit(255)), 8 * (n - 1 - i)) for i in range(n)))
+    return F.unhex(F.lpad(F.hex(turned), 2 * n, "0"))
 
 
 def _joined(*parts: Column) -> Column:
@@ -73,7 +77,8 @@ def _joined(*parts: Column) -> Column:
 
 def _groups(g: Graph) -> DataFrame:
     """Groups of four kinds of keys: nodes under tiles, ways under indexes, ids under local tags, regions and ids under global tags."""
-    listed = lambda df, file, key, order, value: df.groupBy(F.lit(file).alias("file"), key.alias("key"), order.alias("order")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", value.alias("o")))), lambda x: x["o"]).alias("objects"))
+    part = F.shiftright("id", 21).alias("part")  # a common tag's objects in rows of a bounded length
+    listed = lambda df, file, key, order, value: df.groupBy(F.lit(file).alias("file"), key.alias("key"), order.alias("order"), part).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", value.alias("o")))), lambda x: x["o"]).alias("objects"))
     text = lambda c: F.encode(F.col(c), "utf-8")
     size = lambda c: _little(F.octet_length(c), 2)
     number = lambda c: F.struct(F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).alias("a"), F.col(c).alias("b"), F.lit("").alias("k"), F.lit("").alias("v"))
@@ -103,7 +108,11 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = []
         for file, data in zip(batch.column("file").to_pylist(), batch.column("objects").to_pylist(), strict=True):
             skip, n, each = _IDS[file]
-            sums.append(sum(int.from_bytes(data[i + skip : i + skip + n], "little") for i in range(0, len(data), each)))
+            if len(data) < 1 << 10:
+                sums.append(sum(int.from_bytes(data[i + skip : i + skip + n], "little") for i in range(0, len(data), each)))
+            else:
+                digits = np.frombuffer(data, np.uint8).reshape(-1, each)[:, skip : skip + n].sum(axis=0, dtype=np.int64)
+                sums.append(sum(int(d) << 8 * i for i, d in enumerate(digits)))
         yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("described"), pa.array(map(len, batch.column("objects").to_pylist()), pa.int64()), pa.array(sums, pa.int64())], ["file", "key", "bytes", "ids"])
 
 
@@ -148,7 +157,7 @@ def compare_databases(g: Graph) -> DataFrame:
     for changed in (False, True):
         out = D.scratch(g.spark, "compared")
         D.write_database(_single(g, changed), out, "v1", BLOCK)
-        data, index = B.write_blocks([D.Group(i.to_bytes(4, "little"), [b"abc" * 250]) for i in range(4)], BLOCK, B.LZ4)
+        data, index = B.write_blocks([Group(i.to_bytes(4, "little"), [b"abc" * 250]) for i in range(4)], BLOCK, B.LZ4)
         tail = b"\1\2" if changed else b"\0\0"  # after the last block, and at the end of its padding
         with writer(f"{out}/g.bin") as f:
             f.write(data[:-2] + tail + tail)
@@ -184,10 +193,9 @@ def merged_areas(g: Graph) -> DataFrame:
     D.write_database(_groups(g).filter("file = 'nodes.bin'"), out, "v1", BLOCK)
     D.merge_areas(g.spark, _area_shards(g), out)
     objects = D.shard_objects(B.read(g.spark, out), 0)
-    found = D.merged_objects(objects.withColumn("id", F.lit(0))).drop("id")  # as they stand
-    ids = objects.select("file", "key", "seq", "id")
+    found = D.merged_objects(objects.withColumnRenamed("id", "own").withColumn("id", F.lit(0))).drop("id")  # as they stand
     described = F.when(F.col("file") == "areas.bin", F.lower(F.concat(*(F.hex(F.substring("key", i, 1)) for i in (4, 3, 2, 1))))).otherwise(F.decode(F.expr("substring(key, 16)"), "utf-8"))
-    return found.join(ids, ["file", "key", "seq"]).select("file", described.alias("key"), "place", "id", F.octet_length("object").alias("bytes"))
+    return found.select("file", described.alias("key"), "place", F.col("own").alias("id"), F.octet_length("object").alias("bytes"))
 
 
 def database_expectations(g: Graph) -> DataFrame:

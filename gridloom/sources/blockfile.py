@@ -107,35 +107,8 @@ def write_blocks(groups: list[Group], block: int, method: int = NO_COMPRESSION)
 
 
 def pack_lz4(data: bytes) -> bytes:
-    """A raw block of the lz4 format. Matches are sought by the last place of the next four bytes."""
-    out, seen, at, anchor, n = bytearray(), {}, 0, 0, len(data)
-
-    def length(x: int) -> bytes:
-        return b"" if x < 15 else b"\xff" * ((x - 15) // 255) + bytes([(x - 15) % 255])
-
-    def sequence(literals: bytes, back: int, size: int) -> None:
-        extra = size - 4 if size else 0
-        out.append(min(len(literals), 15) << 4 | min(extra, 15))
-        out.extend(length(len(literals)) + literals)
-        if size:
-            out.extend(back.to_bytes(2, "little") + length(extra))
-
-    # the format asks for five literals at the end, and for matches to begin twelve bytes before it at the latest
-    while at < n - 12:
-        word = data[at : at + 4]
-        place = seen.get(word)
-        seen[word] = at
-        if place is None or at - place > 0xFFFF:
-            at += 1
-            continue
-        size = 4
-        while at + size < n - 5 and data[place + size] == data[at + size]:
-            size += 1
-        sequence(data[anchor:at], at - place, size)
-        at += size
-        anchor = at
-    sequence(data[anchor:], 0, 0)
-    return bytes(out)
+    """A raw block of the lz4 format."""
+    return pa.Codec("lz4_raw").compress(data, asbytes=True)
 
 
 def payload_length(raw: bytes, method: int) -> int:
@@ -150,8 +123,31 @@ def payload_length(raw: bytes, method: int) -> int:
     return size
 
 
+def _unpack_claimed(data: bytes, most: int) -> bytes | None:
+    """A raw block of the lz4 format, if it is as long as its first four bytes say, or as ``most``: it then fits that length and no shorter one."""
+    codec = pa.Codec("lz4_raw")
+
+    def fits(n: int) -> bytes | None:
+        try:
+            return codec.decompress(data, n, asbytes=True)
+        except (OSError, ValueError):
+            return None
+
+    whole = fits(most) if data and most > 4 else None
+    if whole is None:
+        return None
+    size = int.from_bytes(whole[:4], "little")
+    return next((whole[:n] for n in dict.fromkeys((size, most)) if 4 < n <= most and fits(n) is not None and fits(n - 1) is None), None)
+
+
 def unpack_lz4(data: bytes, most: int) -> bytes:
     """A raw block of the lz4 format."""
+    found = _unpack_claimed(data, most)
+    return _unpack_bytewise(data, most) if found is None else found
+
+
+def _unpack_bytewise(data: bytes, most: int) -> bytes:
+    """The same for any length, telling what is wrong with damaged data."""
     out, at = bytearray(), 0
 
     def more(n: int) -> int:
@@ -194,8 +190,8 @@ def unpack_lz4(data: bytes, most: int) -> bytes:
     return bytes(out)
 
 
-def parse_index(index: bytes, kind: str) -> tuple[int, int, int, list[tuple[int, int, bytes]]]:
-    """(unit, block size, method, [(position, size in units, key)])"""
+def index_layout(index: bytes, kind: str) -> tuple[int, int, int]:
+    """(unit, block size, method)"""
     if len(index) < 8:
         raise InputRefused("the index header is cut off")
     version, unit_log, factor, method = struct.unpack_from("<IBBH", index)
@@ -203,18 +199,27 @@ def parse_index(index: bytes, kind: str) -> tuple[int, int, int, list[tuple[int,
         raise InputRefused(f"unsupported version {version}")
     if unit_log + factor >= 63 or method not in (0, 2):
         raise InputRefused("unsupported unit or compression")
-    entries, at = [], 8
+    return 1 << unit_log, 1 << unit_log + factor, method
+
+
+def index_entries(index: bytes, kind: str) -> Iterator[tuple[int, int, bytes]]:
+    """(position, size in units, key) of each block; a key's length is told by its first four bytes."""
+    at = 8
     while at < len(index):
         if at + ENTRY.size > len(index):
             raise InputRefused("an index entry is cut off")
         position, size, _ = ENTRY.unpack_from(index, at)
         at += ENTRY.size
-        n = key_length(kind, index[at:])
+        n = key_length(kind, index[at : at + 4])
         if at + n > len(index):
             raise InputRefused("an index key is cut off")
-        entries.append((position, size, index[at : at + n]))
+        yield position, size, index[at : at + n]
         at += n
-    return 1 << unit_log, 1 << unit_log + factor, method, entries
+
+
+def parse_index(index: bytes, kind: str) -> tuple[int, int, int, list[tuple[int, int, bytes]]]:
+    """(unit, block size, method, [(position, size in units, key)])"""
+    return *index_layout(index, kind), list(index_entries(index, kind))
 
 
 def _unpacked(raw: bytes, method: int, block_size: int) -> bytes:
@@ -248,7 +253,7 @@ def groups_of(blocks: list[tuple[int, bytes]], at: Callable[[int], bytes], metho
         start = 4
         while start < total:
             end = int.from_bytes(raw[start : start + 4], "little")
-            n = key_length(kind, raw[start + 4 : end])
+            n = key_length(kind, raw[start + 4 : min(start + 8, end)])
             if end > total or start + 4 + n > end:
                 raise InputRefused("a group goes beyond its block")
             yield blocks[first][0], blocks[i][0], raw[start + 4 : start + 4 + n], raw[start + 4 + n : end]
@@ -312,21 +317,25 @@ def entries(spark: SparkSession, folder: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ENTRIES.split(", ")]
         types = (pa.string(), pa.string(), *[pa.int64()] * 4, pa.binary(), *[pa.int32()] * 3, pa.int64())
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
         for batch in batches:
             for file, path, length, idx in zip(*(batch.column(c).to_pylist() for c in ("file", "path", "length", "idx")), strict=True):
                 if not idx:
                     if length:
                         raise InputRefused(f"{file}: data without an index")
                     continue
-                unit, block_size, method, listed = parse_index(idx, kind_of(file))
-                out, run = [], 0
-                for i, (position, size, key) in enumerate(listed):
-                    run = run if i and key == listed[i - 1][2] else i
+                unit, block_size, method = index_layout(idx, kind_of(file))
+                out, run, prior = [], 0, None
+                for i, (position, size, key) in enumerate(index_entries(idx, kind_of(file))):
+                    run, prior = run if key == prior else i, key
                     if (position + size) * unit > length:
                         raise InputRefused(f"{file}: a block goes beyond the file")
                     out.append((file, path, i, run, position * unit, (position + size) * unit, key, unit, block_size, method, length))
-                for i in range(0, len(out), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 10_000], strict=True), types, strict=True)], names)
+                    if len(out) == 10_000:
+                        yield made(out)
+                        out = []
+                if out:
+                    yield made(out)
 
     return data.join(index, "file", "left").mapInArrow(rows, ENTRIES)
 
@@ -368,7 +377,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in GROUPS.split(", ")])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return entries(spark, folder).repartitionByRange(parts, "file", "run").sortWithinPartitions("file", "block").mapInArrow(rows, GROUPS)
 
 
@@ -393,7 +402,7 @@ def layout(spark: SparkSession, folder: str) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "block", "key", "start", "payload_end", "end"])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return entries(spark, folder).repartitionByRange(parts, "file", "block").sortWithinPartitions("file", "block").mapInArrow(rows, "file string, block long, key string, start long, payload_end long, end long")
 
 

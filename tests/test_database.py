@@ -46,6 +46,39 @@ def test_round_trip(spark, groups, tmp_path, method):
     assert whole == {(f, k): sum(map(len, o)) for f, _, k, o in rows if o}
 
 
+def test_group_in_several_rows(spark, groups, tmp_path):
+    """A group that comes in rows of a few objects is written as the one that comes in one row."""
+    rows = [(f, n, i, k, o[i : i + 7]) for f, n, k, o in groups[0] for i in range(0, len(o), 7)]
+    D.write_database(groups[1], f"file://{tmp_path}/whole", "v", 1024, B.LZ4)
+    D.write_database(spark.createDataFrame(rows, "file string, order int, part int, key binary, objects array<binary>"), f"file://{tmp_path}/parts", "v", 1024, B.LZ4)
+    for f in ("a.bin", "a.bin.idx", "b.bin", "b.bin.idx"):
+        assert (tmp_path / "parts" / f).read_bytes() == (tmp_path / "whole" / f).read_bytes()
+
+
+def test_index_is_read_once():
+    """Bytes that are copied while an index is read are a few times those that it has."""
+
+    class Counted(bytes):
+        copied = 0
+
+        def __getitem__(self, i):
+            out = super().__getitem__(i)
+            Counted.copied += len(out) if isinstance(i, slice) else 1
+            return out
+
+    index = Counted(B.index_header(1024) + b"".join(B.ENTRY.pack(8 * i, 8, 0) + key(i) for i in range(5000)))
+    assert len(B.parse_index(index, "u32")[3]) == 5000 and Counted.copied < 3 * len(index)
+
+
+def test_unpacked_length():
+    """What the codec unpacks is as long as what was packed, and data that are cut off are refused."""
+    for data in (b"\x0a\0\0\0abcabc", b"\x0a\0\0\0abcabcabcabc", b"\xff\0\0\0ab" * 9, b"\0" * 1024, b"\x05\0\0\0a", b"ab"):
+        own = B.pack_lz4(data)
+        assert B.unpack_lz4(own, 1024) == B._unpack_bytewise(own, 1024) == data
+    with pytest.raises(pbf.InputRefused):
+        B.unpack_lz4(B.pack_lz4(random.Random(1).randbytes(500))[:-100], 1024)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_lz4(seed):
     rng = random.Random(seed)
