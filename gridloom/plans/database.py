@@ -53,8 +53,9 @@ def pbf_headers(g: Graph) -> DataFrame:
 
 def pbf_order(g: Graph) -> DataFrame:
     """Elements that don't follow the one before in their file, which is none; counted beside all."""
-    own = pbf.read(g.spark, _file(g)).withColumn("block", F.struct("file", "block"))
-    return V.order_violations(own.select("block", "pos", "kind", "id")).agg(F.count(F.lit(1)).alias("violations")).crossJoin(own.agg(F.count(F.lit(1)).alias("elements")))  # one row each
+    read = pbf.read(g.spark, _file(g)).select(F.struct("file", "block").alias("block"), "pos", "kind", "id")
+    own = stored(read, "elements")  # files are decoded once
+    return V.order_violations(own).agg(F.count(F.lit(1)).alias("violations")).crossJoin(own.agg(F.count(F.lit(1)).alias("elements")))  # one row each
 
 
 def staged_kinds(g: Graph) -> DataFrame:

@@ -125,6 +125,19 @@ def test_damaged_files_by_spark(spark, tmp_path):
             pbf.read(spark, f"file://{tmp_path}/p").collect()
 
 
+def test_files_are_decoded_once(spark, tmp_path, monkeypatch):
+    """What is judged of map files comes of one decoding, so a plan over them has no Python step left."""
+    from types import SimpleNamespace
+
+    from gridloom.plans import database
+
+    pbf.write(spark.createDataFrame([(1, i, i, i, None, None, []) for i in range(1, 40)], "kind int, id long, lat long, lon long, refs array<long>, members array<struct<kind int, ref long, role string>>, tags array<struct<k string, v string>>"), f"file://{tmp_path}/pbf", 2, 1, 7)
+    monkeypatch.setattr(database, "_file", lambda g: f"file://{tmp_path}/pbf")
+    found = database.pbf_order(SimpleNamespace(spark=spark))
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(0, 39)]
+
+
 def test_file_sets():
     assert {n: len(D.file_set(*n)) for n in ((0, 0, 0), (1, 1, 1), (1, 0, 0), (1, 0, 1), (0, 1, 0), (0, 0, 1))} | {(0, 0, 0): 1} == {(0, 0, 0): 1, (1, 1, 1): 39, (1, 0, 0): 39, (1, 0, 1): 31, (0, 1, 0): 31, (0, 0, 1): 23}
 
