@@ -6,7 +6,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 from itertools import groupby
 from operator import itemgetter
 
@@ -385,17 +385,15 @@ def repeated_areas(objects: DataFrame) -> DataFrame:
 def merge_areas(spark: SparkSession, shards: list[str], out: str) -> None:
     """The four area files of shards merged into the database ``out``: staged, then moved in, their version last."""
     version, layouts = merge_preconditions(spark, shards, out), layouts_agree(spark, shards)
-    objects = None
-    for i, s in enumerate(shards):
-        groups = stored(B.read(spark, s).filter(F.col("file").isin(*AREA_FILES)), "groups")
-        for file in (f for f in AREA_FILES if f in layouts):
-            own = groups.filter(F.col("file") == file).select("file", "block", F.expr(key_order(file)).alias("order"))
-            # a key that is too large for a block has several groups
-            if not key_order_violations(own, "file", "block", "order").filter("prior.order <> order").isEmpty():
-                raise InputRefused(f"{s}: keys of {file} descend")
-        found = shard_objects(groups, i)
-        objects = found if objects is None else objects.unionByName(found)
-    objects = stored(objects, "objects")
+    read = (B.read(spark, s).filter(F.col("file").isin(*AREA_FILES)).withColumn("shard", F.lit(i)) for i, s in enumerate(shards))
+    groups = stored(reduce(DataFrame.unionByName, read), "groups")
+    for file in (f for f in AREA_FILES if f in layouts):
+        own = groups.filter(F.col("file") == file).select("shard", "block", F.expr(key_order(file)).alias("order"))
+        # a key that is too large for a block has several groups
+        found = key_order_violations(own, "shard", "block", "order").filter("prior.order <> order").select("shard").limit(1).collect()
+        if found:
+            raise InputRefused(f"{shards[found[0]['shard']]}: keys of {file} descend")
+    objects = stored(reduce(DataFrame.unionByName, (shard_objects(groups.filter(F.col("shard") == i), i) for i in range(len(shards)))), "objects")
     if not repeated_areas(objects).isEmpty():
         raise InputRefused("an area is in several shards")
 

@@ -203,6 +203,22 @@ def test_merge(spark, groups, tmp_path):
         D.merge_areas(spark, [at("one"), at("two")], at("out"))
 
 
+def test_shards_are_read_together(spark, tmp_path, monkeypatch):
+    """Keys of all shards are looked at in one go for each file that is there, and the shard whose keys descend is named."""
+    at = lambda n: f"file://{tmp_path}/{n}"
+    own = spark.createDataFrame([("nodes.bin", 1, key(1), [b"x" * 12])], SCHEMA)
+    D.write_database(own, at("out"), "v", 1024)
+    record = lambda n: n.to_bytes(4, "little") + bytes(4)
+    for name, order in (("one", 1), ("two", -1)):
+        rows = spark.createDataFrame([("areas.bin", order * n, key(n), [record(i)]) for n, i in ((5, 1 + order), (9, 5 + order))], SCHEMA)
+        D.commit(spark, at(name), "a", lambda f, rows=rows: D.write_block_files(D.blocks(rows, 16), f, 16).count(), D.AREA_VERSION_FILE)
+    asked, real = [], D.key_order_violations
+    monkeypatch.setattr(D, "key_order_violations", lambda *a: asked.append(a) or real(*a))
+    with pytest.raises(pbf.InputRefused, match="two: keys of areas.bin descend"):
+        D.merge_areas(spark, [at("one"), at("two")], at("out"))
+    assert len(asked) == 1
+
+
 def test_expectations(spark, groups, tmp_path):
     out = f"file://{tmp_path}/db"
     D.write_database(groups[1], out, "v", 1024)
