@@ -7,17 +7,16 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial, reduce
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.checks import key_order_violations
 from gridloom.operators.compare import gaps
-from gridloom.operators.pack import packed as packed_blocks, runs
+from gridloom.operators.pack import Packer, joined, lengths
 from gridloom.operators.storage import shared_dir, stored
 from gridloom.sources import blockfile as B
 from gridloom.sources.pbf import InputRefused
@@ -45,78 +44,174 @@ def file_set(nodes: bool, ways: bool, relations: bool) -> dict[str, bool]:
 
 # Writing.
 
-BLOCKS = "file string, run long, at long, key binary, payload binary"
+#: What is packed: blocks that a task has written to a file of its own (``kind`` 1 and 3), and groups whose blocks hang on other ranges (0: before the first flush of the range, 2: pending at its end).
+PIECES = "file string, range int, kind int, seq int, path string, start long, bytes long, sizes binary, lens binary, keys binary, bodies binary"
+HEAD, BODY, TAIL, CHAIN = range(4)
 
 
 def blocks(groups: DataFrame, block: int) -> DataFrame:
-    """Payloads of the blocks (columns of BLOCKS) of groups (file, order..., key, objects: array<binary>).
+    """Groups (file, order..., key, objects: array<binary>) dealt in ranges of their order, for ``write_block_files`` to pack.
 
     ``order`` is a column by which a file's groups are sorted. Groups without objects are left out. A large group may come in
     several rows, by ``part``, so that no row holds it.
     """
     if "part" not in groups.columns:
         groups = groups.withColumn("part", F.lit(0))
-    sized = groups.filter("size(objects) > 0").withColumn("bytes", F.expr("4 + octet_length(key) + aggregate(objects, 0L, (a, x) -> a + octet_length(x))"))
-    dealt = runs(sized, "file", "order", "bytes", block)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ("file", "run", "at", "key", "payload"), (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("file", "run", "key", "objects")), strict=True))
-        out, held = [], 0
-        for own, listed in groupby(rows, itemgetter(0, 1)):
-            for i, (key, payload) in enumerate(packed_blocks(((r[2], r[3]) for r in listed), block)):
-                out.append((*own, i, key, payload))
-                held += len(payload)
-                if held > 4 << 20:
-                    yield made(out)
-                    out, held = [], 0
-        if out:
-            yield made(out)
-
-    return dealt.select("file", F.col("run").cast("long"), "order", "part", "key", "objects").repartition("file", "run").sortWithinPartitions("file", "run", "order", "part").mapInArrow(pack, BLOCKS)
-
-
-def _framed(batches: Iterator[pa.RecordBatch], block: int, method: int) -> Iterator[pa.RecordBatch]:
-    """Blocks as they are stored, compressed where they were packed."""
-    unit, at = block >> B.FACTOR_LOG, BLOCKS.split(", ").index("payload binary")
+    own = groups.filter("size(objects) > 0").select("file", "order", "part", "key", "objects")
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.repartitionByRange(parts, "file", "order").sortWithinPartitions("file", "order", "part").select("file", "key", "objects")
+
+
+class _Pieces:
+    """Rows of PIECES of a task, whose blocks go to a file of its own."""
+
+    def __init__(self, folder: str, block: int, method: int):
+        self.path, self.unit, self.method = f"{folder}/{uuid.uuid4().hex}", block >> B.FACTOR_LOG, method
+        self.sink, self.at, self.rows, self.seq = None, 0, [], 0
+
+    def _row(self, file: str, part: int, kind: int, sizes: np.ndarray, lens: np.ndarray, **more) -> None:
+        self.rows.append({"file": file, "range": part, "kind": kind, "seq": self.seq, "sizes": sizes.astype("<u4").tobytes(), "lens": lens.astype("<u4").tobytes(), **more})
+        self.seq += 1
+
+    def blocks(self, file: str, part: int, kind: int, keys: pa.Array, payloads: pa.Array) -> None:
+        """Blocks as they are stored: compressed, and filled up to whole units."""
+        if self.method == B.NO_COMPRESSION:
+            sizes = lengths(payloads)
+            room = -(-sizes // self.unit) * self.unit
+            full = joined(payloads, B.zeros(room - sizes, self.unit))
+            data = memoryview(full.buffers()[2])
+        else:
+            framed = [B.framed(x, self.method, self.unit) for x in payloads.to_pylist()]
+            room, data = np.fromiter(map(len, framed), np.int64, len(framed)), b"".join(framed)
+        if not self.sink:
+            self.sink = writer(self.path)
+        n = int(room.sum())
+        self.sink.write(data[:n])
+        self._row(file, part, kind, room // self.unit, lengths(keys), path=self.path, start=self.at, bytes=n, keys=b"".join(keys.to_pylist()))
+        self.at += n
+
+    def groups(self, file: str, part: int, kind: int, keys: pa.Array, bodies: pa.Array) -> None:
+        """Groups as they are."""
+        self._row(file, part, kind, lengths(bodies), lengths(keys), keys=b"".join(keys.to_pylist()), bodies=b"".join(bodies.to_pylist()))
+
+    def taken(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """The rows so far, if they are many or the ``last``; blocks are told once their file is whole."""
+        if last and self.sink:
+            self.sink.close()
+        if self.rows and (last or sum(len(r.get("bodies") or b"") for r in self.rows) > 4 << 20):
+            types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
+            names = [x.split()[0] for x in PIECES.split(", ")]
+            held = [] if last else [r for r in self.rows if r["kind"] in (BODY, CHAIN)]
+            for i in range(0, len(self.rows), 64):
+                told = [r for r in self.rows[i : i + 64] if last or r["kind"] in (HEAD, TAIL)]
+                if told:
+                    yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in told], t) for n, t in zip(names, types, strict=True)], names)
+            self.rows = held
+
+
+def _packed(batches: Iterator[pa.RecordBatch], folder: str, block: int, method: int) -> Iterator[pa.RecordBatch]:
+    """A range of groups, packed from its first flush on."""
+    part, at, packer, out = TaskContext.get().partitionId(), None, None, _Pieces(folder, block, method)
+
+    def close():
+        packer.close()
+        if packer.pending:
+            out.groups(at, part, TAIL, *packer.pending)
+
+    for batch in batches:
+        files = batch.column("file").dictionary_encode()
+        codes = files.indices.to_numpy()
+        edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a == b:
+                continue
+            file = files.dictionary[int(codes[a])].as_py()
+            if file != at:
+                if packer:
+                    close()
+                at, packer = file, Packer(block, partial(out.blocks, file, part, BODY), partial(out.groups, file, part, HEAD))
+            packer.feed(batch.column("key")[a:b], batch.column("objects")[a:b])
+        yield from out.taken()
+    if packer:
+        close()
+    yield from out.taken(True)
+
+
+def _chained(batches: Iterator[pa.RecordBatch], folder: str, block: int, method: int) -> Iterator[pa.RecordBatch]:
+    """What is pending at the end of ranges, with the groups that follow up to a flush; these come many in a row."""
+    at, packer, out = None, None, _Pieces(folder, block, method)
     for batch in batches:
-        yield batch.set_column(at, "payload", pa.array([B.framed(x, method, unit) for x in batch.column(at).to_pylist()], pa.binary()))
+        for file, chain, sizes, lens, keys, bodies in zip(*(batch.column(c).to_pylist() for c in ("file", "chain", "sizes", "lens", "keys", "bodies")), strict=True):
+            if (file, chain) != at:
+                if packer:
+                    packer.finish()
+                at, packer = (file, chain), Packer(block, partial(out.blocks, file, chain, CHAIN))
+            packer.small(B.cut(keys, lens), B.cut(bodies, sizes))
+        yield from out.taken()
+    if packer:
+        packer.finish()
+    yield from out.taken(True)
 
 
 def _appended(batches: Iterator[pa.RecordBatch], folder: str, block: int, method: int) -> Iterator[pa.RecordBatch]:
-    """Stored blocks that come by file and in order to the bytes of their files; a file is written as its blocks come, and its index after it."""
+    """Pieces that come by file and in order to the bytes of their files, and the indexes beside them."""
     unit = block >> B.FACTOR_LOG
-    at, sink, index, position, done = None, None, [], 0, []
+    at, sink, index, position, n, done = None, None, None, 0, 0, []
 
     def close():
         sink.close()
-        with writer(f"{folder}/{at}.idx") as f:
-            f.write(B.index_header(block, method) + b"".join(index))
-        done.append((at, len(index), position * unit))
+        index.close()
+        done.append((at, n, position * unit))
 
     for batch in batches:
-        for file, key, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "key", "payload")), strict=True):
+        for file, path, start, size, sizes, lens, keys in zip(*(batch.column(c).to_pylist() for c in ("file", "path", "start", "bytes", "sizes", "lens", "keys")), strict=True):
             if file != at:
                 if sink:
                     close()
-                at, sink, index, position = file, writer(f"{folder}/{file}"), [], 0
-            sink.write(raw)
-            index.append(B.ENTRY.pack(position, len(raw) // unit, 0) + key)
-            position += len(raw) // unit
+                at, sink, index, position, n = file, writer(f"{folder}/{file}"), writer(f"{folder}/{file}.idx"), 0, 0
+                index.write(B.index_header(block, method))
+            with opened(path) as source:
+                for i in range(start, start + size, PIECE << 3):
+                    sink.write(source.read_at(min(PIECE << 3, start + size - i), i))
+            units = np.frombuffer(sizes, "<u4").astype(np.int64)
+            places = position + np.cumsum(units) - units
+            position += int(units.sum())
+            if position > 1 << 32:
+                raise ValueError(f"{file}: too many units for its index")
+            index.write(b"".join(B.index_rows(places, units, B.cut(keys, lens)).to_pylist()))
+            n += len(units)
     if sink:
         close()
     types = (pa.string(), pa.int64(), pa.int64())
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done, strict=True)) or [()] * 3, types, strict=True)], ["file", "blocks", "bytes"])
 
 
-def write_block_files(packed: DataFrame, folder: str, block: int, method: int = B.NO_COMPRESSION) -> DataFrame:
-    """(file, blocks, bytes) of the files written. Blocks are made once, by many tasks. A file is one run of bytes, so one task writes it, block by block; different files are written at a time."""
-    spark = packed.sparkSession
-    packed = stored(packed.mapInArrow(partial(_framed, block=block, method=method), BLOCKS), "blocks")
-    files = [r["file"] for r in packed.select("file").distinct().collect()]  # a few dozen
-    dealt = packed.repartition(max(len(files), 1), "file").sortWithinPartitions("file", "run", "at")
-    return stored(dealt.mapInArrow(partial(_appended, folder=folder, block=block, method=method), "file string, blocks long, bytes long"), "written") if files else spark.createDataFrame([], "file string, blocks long, bytes long")
+def write_block_files(dealt: DataFrame, folder: str, block: int, method: int = B.NO_COMPRESSION) -> DataFrame:
+    """(file, blocks, bytes) of the files written, of groups as ``blocks`` deals them.
+
+    A task packs its range from the first flush on; what is pending at its end goes with the groups of the next ranges up to a
+    flush, which are small and come in arrays. Blocks are written once by the tasks that pack them. A file is one run of bytes, so
+    one task puts it together, copying bytes; different files are written at a time.
+    """
+    spark = dealt.sparkSession
+    scratch_ = scratch(spark, "blocks")
+    try:
+        own = stored(dealt.mapInArrow(partial(_packed, folder=scratch_, block=block, method=method), PIECES), "pieces")
+        flushed = own.groupBy("file", "range").agg(F.max("kind").alias("most"))  # a row a range
+        before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        earlier = flushed.select("file", "range", F.coalesce(F.max(F.when(F.col("most") > HEAD, F.col("range"))).over(before), F.lit(-1)).alias("earlier"))
+        left = own.filter(F.col("kind").isin(HEAD, TAIL)).join(F.broadcast(earlier), ["file", "range"]).withColumn("chain", F.when(F.col("kind") == TAIL, F.col("range")).otherwise(F.col("earlier")))
+        left = left.repartition("file", "chain").sortWithinPartitions("file", "chain", "range", "kind", "seq").select("file", "chain", "sizes", "lens", "keys", "bodies")
+        chains = stored(left.mapInArrow(partial(_chained, folder=scratch_, block=block, method=method), PIECES), "chains")
+        pieces = own.filter(F.col("kind") == BODY).unionByName(chains).drop("bodies")
+        files = sorted(r["file"] for r in pieces.select("file").distinct().collect())  # a few dozen
+        if not files:
+            return spark.createDataFrame([], "file string, blocks long, bytes long")
+        number = F.element_at(F.create_map(*(F.lit(x) for i, f in enumerate(files) for x in (f, i))), F.col("file"))
+        each = pieces.repartitionById(len(files), number).sortWithinPartitions("file", "range", "kind", "seq")
+        return stored(each.mapInArrow(partial(_appended, folder=folder, block=block, method=method), "file string, blocks long, bytes long"), "written")
+    finally:
+        Folder(spark, scratch_).remove()
 
 
 def write_map_files(values: DataFrame, folder: str) -> None:
@@ -125,15 +220,25 @@ def write_map_files(values: DataFrame, folder: str) -> None:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, data = None, None
+
+        def whole():
+            return pa.RecordBatch.from_pydict({"file": [at[0]], "block": pa.array([at[1]], pa.int64()), "data": pa.array([data.tobytes()], pa.binary())})
+
         for batch in batches:
-            for file, block, slot, value in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "slot", "value")), strict=True):
-                if (file, block) != at:
+            files = batch.column("file").dictionary_encode()
+            codes, block, slot, value = (files.indices.to_numpy(), *(batch.column(c).to_numpy() for c in ("block", "slot", "value")))
+            edges = np.flatnonzero((codes[1:] != codes[:-1]) | (block[1:] != block[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(codes)], strict=True):
+                if a == b:
+                    continue
+                own = files.dictionary[int(codes[a])].as_py(), int(block[a])
+                if own != at:
                     if at:
-                        yield pa.RecordBatch.from_pydict({"file": [at[0]], "block": pa.array([at[1]], pa.int64()), "data": pa.array([data.tobytes()], pa.binary())})
-                    at, data = (file, block), np.zeros(B.MAP_IDS, dtype="<u4")
-                data[slot] = value
+                        yield whole()
+                    at, data = own, np.zeros(B.MAP_IDS, dtype="<u4")
+                data[slot[a:b]] = value[a:b]
         if at:
-            yield pa.RecordBatch.from_pydict({"file": [at[0]], "block": pa.array([at[1]], pa.int64()), "data": pa.array([data.tobytes()], pa.binary())})
+            yield whole()
 
     def appended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sink, index, names = None, None, [], []
@@ -226,18 +331,25 @@ def write_database(groups: DataFrame, out: str, version: str, block: int, method
 
 
 def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of two files byte by byte: differing bytes before and from ``used`` on, and the first of them."""
+    """Pieces of two files byte by byte: differing bytes before and from ``used`` on, and the first of them. Pieces of which every byte counts are looked at together where they adjoin."""
     at, a, b = None, None, None
     for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            if (r["path_a"], r["path_b"]) != at:
-                at, a, b = (r["path_a"], r["path_b"]), opened(r["path_a"]), opened(r["path_b"])
-            x, y = (np.frombuffer(f.read_at(r["end"] - r["start"], r["start"]), dtype=np.uint8) for f in (a, b))
-            used = B.payload_length(x.tobytes(), r["method"]) if r["method"] else len(x) if r["counts"] else 0
-            differs = x != y
-            first = int(np.argmax(differs[:used])) if differs[:used].any() else None
-            out.append((r["name"], r["block"], None if first is None else r["start"] + first, len(x) - used, int(differs[used:].sum()), bool(r["counts"])))
+        spans, out = [], []
+        for r in zip(*(batch.column(c).to_pylist() for c in ("name", "path_a", "path_b", "start", "end", "method", "block", "counts")), strict=True):
+            if spans and r[7] and not r[5] and spans[-1][7] and not spans[-1][5] and r[:3] == spans[-1][:3] and r[3] == spans[-1][4] and r[4] - spans[-1][3] <= PIECE:
+                spans[-1][4] = r[4]
+            else:
+                spans.append(list(r))
+        for name, path_a, path_b, start, end, method, block, counts in spans:
+            if (path_a, path_b) != at:
+                at, a, b = (path_a, path_b), opened(path_a), opened(path_b)
+            x, y = (f.read_at(end - start, start) for f in (a, b))
+            used = B.payload_length(x, method) if method else len(x) if counts else 0
+            first, other = None, 0
+            if x != y:
+                differs = np.frombuffer(x, np.uint8) != np.frombuffer(y, np.uint8)
+                first, other = start + int(np.argmax(differs[:used])) if differs[:used].any() else None, int(differs[used:].sum())
+            out.append((name, block, first, len(x) - used, other, bool(counts)))
         types = (pa.string(), *[pa.int64()] * 4, pa.bool_())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 6, types, strict=True)], ["name", "block", "first", "ignored", "ignored_differing", "referenced"])
 
@@ -284,7 +396,7 @@ def compare(spark: SparkSession, a: str, b: str) -> DataFrame:
 
 def _dealt(pieces: DataFrame) -> DataFrame:
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pieces.repartition(parts, "name", "start").sortWithinPartitions("name", "start")
+    return pieces.repartition(parts, "name", F.expr(f"start div {PIECE << 2}")).sortWithinPartitions("name", "start")
 
 
 def verdict(report: DataFrame) -> tuple[int, str]:

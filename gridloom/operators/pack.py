@@ -9,10 +9,13 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import accumulate, chain, groupby
+from itertools import accumulate, chain, groupby, islice
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,25 +36,6 @@ def segments(groups: DataFrame, file: str, key: str, size: str, block: int) -> D
     return marked.join(starts, [file, "_part"]).withColumn("segment", F.col("_before") + F.sum("_reset").over(inside)).drop("_part", "_seam", "_prior", "_reset", "_before")
 
 
-def runs(groups: DataFrame, file: str, key: str, size: str, block: int) -> DataFrame:
-    """groups, of which one may come in several rows, with the run of each: runs begin where a flush divides, one a range at most.
-
-    Only keys and sizes are looked at before the groups are dealt; they themselves are written once.
-    """
-    room = block - 4
-    own = in_ranges(groups, file, key)
-    whole = own.groupBy(file, "_part", key).agg(F.sum(size).alias("_size"))
-    ranges, inside = Window.partitionBy(file).orderBy("_part"), Window.partitionBy(file, "_part").orderBy(key)
-    seams = whole.groupBy(file, "_part").agg(F.max_by("_size", key).alias("_last")).select(file, "_part", F.lag("_last").over(ranges).alias("_seam"))  # a row a range
-    prior = F.coalesce(F.lag("_size").over(inside), F.col("_seam"))
-    marked = whole.join(seams, [file, "_part"]).withColumn("_prior", prior).withColumn("_reset", (F.col("_size") >= room) | (F.col("_prior") >= room) | (F.col("_size") + F.col("_prior") > room))
-    first = marked.groupBy(file, "_part").agg(F.min(F.when(F.col("_reset"), F.col(key))).alias("_first"))
-    begun = F.last(F.when(F.col("_first").isNotNull(), F.col("_part")), ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1))
-    first = stored(first.select(file, "_part", "_first", F.coalesce(begun, F.lit(-1)).alias("_earlier")), "runs")
-    begins = F.coalesce(F.col(key) >= F.col("_first"), F.lit(False))
-    return own.join(F.broadcast(first), [file, "_part"]).withColumn("run", F.when(begins, F.col("_part")).otherwise(F.col("_earlier"))).drop("_part", "_first", "_earlier")
-
-
 def _front(sums: list[int], start: int, seen: int, room: int) -> int:
     """End of a block that begins at ``start``, of groups up to ``seen``: just past two thirds of the room, or a group less if that doesn't fit."""
     end = min(bisect_right(sums, sums[start] + 2 * room // 3, start, seen + 1), seen)
@@ -185,6 +169,209 @@ def packed(rows: Iterable[tuple[bytes, list[bytes]]], block: int) -> Iterator[tu
     yield from flush()
 
 
+def _binary(offsets: np.ndarray, data: pa.Buffer) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), data])
+
+
+def lengths(values: pa.Array) -> np.ndarray:
+    return pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _large_binary(values: pa.Array) -> pa.Array:
+    return values if values.type == pa.large_binary() else values.cast(pa.large_binary())
+
+
+def _u32(values: np.ndarray) -> pa.Array:
+    """Numbers as binary values of four bytes, lowest first."""
+    return _binary(np.arange(len(values) + 1) * 4, pa.py_buffer(np.ascontiguousarray(values, "<u4")))
+
+
+def joined(*parts: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))
+
+
+class _LargeGroup:
+    """As ``_large``, of objects that come in arrays: a step for each block, not for each object."""
+
+    def __init__(self, key: bytes, block: int):
+        self.key, self.block, self.head = key, block, 8 + len(key)
+        self.held, self.used, self.rest = [], self.head, []
+
+    def _written(self) -> bytes:
+        n = self.used.to_bytes(4, "little")
+        out = b"".join([n, n, self.key, *self.held])
+        self.held, self.used = [], self.head
+        return out
+
+    def feed(self, objects: pa.Array) -> Iterator[bytes]:
+        sizes = lengths(objects)
+        oversized = np.flatnonzero(sizes + self.head >= self.block).tolist()
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        data, first = memoryview(objects.buffers()[2] or b""), int(np.frombuffer(objects.buffers()[1], np.int64)[objects.offset])
+        at = 0
+        for end in (*oversized, len(sizes)):
+            while at < end:
+                fit = min(int(np.searchsorted(sums, sums[at] + self.block - self.used, "right")) - 1, end)
+                if fit > at:
+                    self.held.append(bytes(data[first + sums[at] : first + sums[fit]]))
+                    self.used += int(sums[fit] - sums[at])
+                    at = fit
+                if at < end:
+                    yield self._written()
+            if end < len(sizes):
+                self.rest.append(bytes(data[first + sums[end] : first + sums[end + 1]]))
+                at = end + 1
+
+    def close(self) -> Iterator[bytes]:
+        if self.held:
+            yield self._written()
+        yield from _large(self.key, self.rest, self.block)
+
+
+def _ends(sums: list[int], start: int, stop: int, room: int, closed: bool) -> list[int]:
+    """Ends of the blocks of the groups from ``start`` to ``stop``, which no flush divides; not ``closed``: only of those that what follows doesn't change."""
+    ends = []
+    while (seen := bisect_left(sums, sums[start] + 2 * room, start, stop + 1)) <= stop:
+        start = _front(sums, start, seen, room)
+        ends.append(start)
+    if closed and start < stop:
+        if sums[stop] - sums[start] >= room:
+            ends += [start + e for e in _halves([s - sums[start] for s in sums[start : stop + 1]], room)]
+        ends.append(stop)
+    return ends
+
+
+class Packer:
+    """As ``packed``, of arrays of keys and of lists of objects, in a few steps for each array and block.
+
+    ``blocks(keys, payloads)`` takes blocks. ``head(keys, bodies)``, if given, takes the groups before the first flush, which may
+    belong to blocks that began before; what is pending at the end is then left in ``pending``.
+    """
+
+    def __init__(self, block: int, blocks, head=None):
+        self.block, self.room, self.blocks, self.head = block, block - 4, blocks, head
+        self.pending, self.last, self.large, self.open = None, 0, None, None
+
+    def _begun(self) -> None:
+        """A flush is here, so what comes next doesn't hang on what was before."""
+        self.head = None
+
+    def _cut(self, keys: pa.Array, bodies: pa.Array, sizes: np.ndarray, ends: np.ndarray) -> None:
+        """Blocks of whole groups that end there."""
+        starts = np.concatenate([[0], ends[:-1]])
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        inside = sums[1:] - np.repeat(sums[starts], ends - starts) + 4
+        heads = np.zeros(len(sizes), np.int64)
+        heads[starts] = 4
+        own = joined(_binary(np.concatenate([[0], np.cumsum(heads)]), pa.py_buffer((sums[ends] - sums[starts] + 4).astype("<u4"))), _u32(inside), keys, bodies)
+        offsets = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1, 8 * own.offset)
+        self.blocks(keys.take(pa.array(starts)), _binary(offsets[np.concatenate([[0], ends])], own.buffers()[2]))
+
+    def small(self, keys: pa.Array, bodies: pa.Array, closed: bool = False) -> None:
+        """Whole groups smaller than a block. ``closed``: a flush follows."""
+        if self.head and len(keys):
+            sizes = 4 + lengths(keys) + lengths(bodies)
+            resets = np.flatnonzero(sizes + np.concatenate([[self.last], sizes[:-1]]) > self.room)
+            first = int(resets[0]) if self.last and len(resets) else int(resets[resets > 0][0]) if (resets > 0).any() else len(keys)
+            if first:
+                self.head(keys[:first], bodies[:first])
+            if first == len(keys):
+                self.last = int(sizes[-1])
+                return
+            keys, bodies = keys[first:], bodies[first:]
+            self._begun()
+        if self.pending:
+            keys, bodies = (pa.concat_arrays(list(x)) for x in zip(self.pending, (keys, bodies), strict=True))
+        self.pending = None
+        if not len(keys):
+            return
+        sizes = 4 + lengths(keys) + lengths(bodies)
+        flushes = np.flatnonzero(sizes[1:] + sizes[:-1] > self.room) + 1
+        starts, stops = np.concatenate([[0], flushes]), np.concatenate([flushes, [len(sizes)]])
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        whole = sums[stops] - sums[starts] < self.room  # a block
+        whole[-1] &= closed
+        ends = [stops[whole]]
+        if not whole.all():
+            listed, last = sums.tolist(), len(stops) - 1
+            ends += [np.array(_ends(listed, int(starts[i]), int(stops[i]), self.room, closed or i < last), np.int64) for i in np.flatnonzero(~whole)]
+        ends = np.sort(np.concatenate(ends))
+        done = int(ends[-1]) if len(ends) else 0
+        if done:
+            self._cut(keys[:done], bodies[:done], sizes[:done], ends)
+        if done < len(keys):
+            self.pending = keys[done:], bodies[done:]
+
+    def _flush(self) -> None:
+        empty = pa.array([], pa.large_binary())
+        self.small(empty, empty, True)
+
+    def _feed_large(self, objects: pa.Array) -> None:
+        self._large_out(self.large.feed(objects))
+
+    def _large_out(self, payloads: Iterator[bytes]) -> None:
+        while made := list(islice(payloads, 1 << 10)):
+            self.blocks(pa.array([self.large.key] * len(made), pa.large_binary()), pa.array(made, pa.large_binary()))
+
+    def _close_large(self) -> None:
+        self._large_out(self.large.close())
+        self.large = None
+
+    def _begin_large(self, key: bytes) -> None:
+        self._flush()
+        self._begun()
+        self.large = _LargeGroup(key, self.block)
+
+    def feed(self, keys: pa.Array, lists: pa.Array) -> None:
+        """Rows with a key and a list of objects each, in order; a group may take several rows, also of the next call."""
+        keys = _large_binary(keys)
+        if self.large:
+            same = pc.equal(keys, pa.scalar(self.large.key, pa.large_binary())).to_numpy(zero_copy_only=False)
+            n = len(same) if same.all() else int(np.argmin(same))
+            self._feed_large(_large_binary(lists[:n].flatten()))
+            keys, lists = keys[n:], lists[n:]
+            if not len(keys):
+                return
+            self._close_large()
+        if self.open:
+            keys, lists = (pa.concat_arrays(list(x)) for x in zip(self.open, (keys, lists), strict=True))
+            self.open = None
+        values = _large_binary(lists.flatten())
+        begins = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))])
+        offsets = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset) if len(values) else np.zeros(1, np.int64)
+        starts = np.concatenate([[0], np.flatnonzero(~pc.equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)) + 1]) if len(keys) > 1 else np.zeros(1, np.int64)
+        own = keys.take(pa.array(starts)) if len(starts) < len(keys) else keys
+        edges = np.append(starts, len(keys))
+        bodies = _binary(offsets[begins[edges]], values.buffers()[2] or pa.py_buffer(b""))
+        sizes = 4 + lengths(own) + lengths(bodies)
+        at, last = 0, len(starts) - 1
+        for big in np.flatnonzero(sizes >= self.room).tolist():
+            self.small(own[at:big], bodies[at:big])
+            self._begin_large(own[big].as_py())
+            self._feed_large(values[begins[edges[big]] : begins[edges[big + 1]]])
+            at = big + 1
+            if big < last:
+                self._close_large()
+        if at <= last:  # the last group may go on
+            self.small(own[at:last], bodies[at:last])
+            self.open = keys[starts[last] :], lists[starts[last] :]
+
+    def close(self) -> None:
+        """All rows have come."""
+        if self.large:
+            self._close_large()
+        if self.open:
+            keys, values = self.open[0][:1], _large_binary(self.open[1].flatten())
+            body = values.to_numpy(zero_copy_only=False)
+            self.small(keys, pa.array([b"".join(body)], pa.large_binary()))
+            self.open = None
+
+    def finish(self) -> None:
+        """As ``close``, and nothing follows in the file."""
+        self.close()
+        self._flush()
+
+
 def pack_groups(groups: list[Group], block: int) -> list[tuple[bytes, bytes]]:
     """(key, payload) of the blocks of sorted groups."""
     return list(packed(((g.key, g.objects) for g in groups), block))

@@ -76,19 +76,46 @@ def _joined(*parts: Column) -> Column:
     return F.concat(*parts)
 
 
+def _region_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of (id, region) as objects, each once: the region in three bytes, then the id in eight, by id and then as bytes."""
+    for batch in batches:
+        lists = batch.column("listed")
+        begins, pairs = lists.offsets.to_numpy(), lists.values
+        ids, regions = (pairs.field(c).to_numpy() for c in ("id", "region"))
+        row = np.repeat(np.arange(len(lists)), np.diff(begins))
+        pairs = np.stack([ids, regions], 1)[begins[0] : begins[-1]]
+        raw = np.ascontiguousarray(pairs.astype("<i8")).view(np.uint8).reshape(-1, 16)
+        turned = raw[:, 8].astype(np.int64) << 16 | raw[:, 9].astype(np.int64) << 8 | raw[:, 10]
+        order = np.lexsort((turned, pairs[:, 0], row))
+        data = np.concatenate([raw[:, 8:11], raw[:, :8]], 1)[order]
+        own = row[order]
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (data[1:] != data[:-1]).any(axis=1)
+        data = np.ascontiguousarray(data[new])
+        objects = pa.BinaryArray.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, 11 * len(data) + 11, 11, dtype=np.int32)), pa.py_buffer(data)])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(own[new], minlength=len(lists)))])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), batch.column("part"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), objects)], ["k", "v", "part", "objects"])
+
+
 def _groups(g: Graph) -> DataFrame:
-    """Groups of four kinds of keys: nodes under tiles, ways under indexes, ids under local tags, regions and ids under global tags."""
-    part = F.shiftright("id", 21).alias("part")  # a common tag's objects in rows of a bounded length
-    listed = lambda df, file, key, order, value: df.groupBy(F.lit(file).alias("file"), key.alias("key"), order.alias("order"), part).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", value.alias("o")))), lambda x: x["o"]).alias("objects"))
+    """Groups of four kinds of keys: nodes under tiles, ways under indexes, ids under local tags, regions and ids under global tags.
+
+    Most keys have few objects, so each comes in a row of its own, in the order of ``part``; global tags, which are common, in rows of a bounded length.
+    """
+    number = lambda c: F.struct(F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).alias("a"), F.col(c).alias("b"), F.lit("").alias("k"), F.lit("").alias("v"))
     text = lambda c: F.encode(F.col(c), "utf-8")
     size = lambda c: _little(F.octet_length(c), 2)
-    number = lambda c: F.struct(F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).alias("a"), F.col(c).alias("b"), F.lit("").alias("k"), F.lit("").alias("v"))
-    local, global_ = T.local_postings(g.way_tags), T.global_postings(g.node_tags)
+    part = lambda a, b: F.struct(F.col(a).cast("long").alias("a"), b.alias("b")).alias("part")
+    single = lambda df, file, key, order, a, value: df.select(F.lit(file).alias("file"), key.alias("key"), order.alias("order"), part(a, value), F.array(value).alias("objects"))
+    none = F.unhex(F.lit(""))
+    tagged = g.node_tags.select("k", "v", F.shiftright("id", 21).alias("part"), "id", F.shiftright(P.coarse(F.col("idx")), 8).alias("region"))
+    listed = tagged.groupBy("k", "v", "part").agg(F.collect_list(F.struct("id", "region")).alias("listed"))
+    global_ = listed.mapInArrow(_region_ids, "k string, v string, part long, objects array<binary>")
     rows = [
-        listed(g.nodes, "nodes.bin", _little("tile", 4), number("tile"), _joined(_little("id", 8), _little("lower", 4))),
-        listed(g.way_index, "ways.bin", _little("idx", 4), number("idx"), _little("id", 4)),
-        listed(local, "way_tags_local.bin", _joined(size("k"), size("v"), _little("region", 3), text("k"), text("v")), F.struct(F.col("region").bitwiseAND(F.lit(0x7FFFFF)).alias("a"), F.col("region").alias("b"), "k", "v"), _little("id", 4)),
-        listed(global_, "node_tags_global.bin", _joined(size("k"), size("v"), _little(F.lit(0), 4), text("k"), text("v")), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "k", "v"), _joined(_little("region", 3), _little("id", 8))),
+        single(g.nodes, "nodes.bin", _little("tile", 4), number("tile"), "id", _joined(_little("id", 8), _little("lower", 4))),
+        single(g.way_index, "ways.bin", _little("idx", 4), number("idx"), "id", _little("id", 4)),
+        single(T.local_postings(g.way_tags), "way_tags_local.bin", _joined(size("k"), size("v"), _little("region", 3), text("k"), text("v")), F.struct(F.col("region").bitwiseAND(F.lit(0x7FFFFF)).alias("a"), F.col("region").alias("b"), "k", "v"), "id", _little("id", 4)),
+        global_.select(F.lit("node_tags_global.bin").alias("file"), _joined(size("k"), size("v"), _little(F.lit(0), 4), text("k"), text("v")).alias("key"), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "k", "v").alias("order"), part("part", none), "objects"),
     ]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.pack import Group, pack_groups
+from gridloom.operators.pack import Group, joined, pack_groups
 from gridloom.sources.pbf import InputRefused
 from gridloom.sources.ranges import listing, opened
 
@@ -91,6 +94,23 @@ def index_header(block: int, method: int = NO_COMPRESSION) -> bytes:
     return struct.pack("<IBBH", VERSION, (block >> FACTOR_LOG).bit_length() - 1, FACTOR_LOG, method)
 
 
+def cut(data: bytes, lens: bytes) -> pa.Array:
+    """Binary values that stand one after the other, of lengths in four bytes each."""
+    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lens, "<u4"), dtype=np.int64)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def zeros(lens: np.ndarray, most: int) -> pa.Array:
+    """Binary values of so many zeros each, at most ``most``."""
+    return pa.array([b"\0" * i for i in range(most)], pa.large_binary()).take(pa.array(lens))
+
+
+def index_rows(places: np.ndarray, sizes: np.ndarray, keys: pa.Array) -> pa.Array:
+    """Entries of an index, as ENTRY packs them with the key after it."""
+    numbers = np.stack([places, sizes, np.zeros(len(sizes), np.int64)], 1).astype("<u4")
+    return joined(cut(numbers.tobytes(), np.full(len(sizes), ENTRY.size, "<u4").tobytes()), keys)
+
+
 def write_blocks(groups: list[Group], block: int, method: int = NO_COMPRESSION) -> tuple[bytes, bytes]:
     """(data, index) of blocks; both empty without groups."""
     unit = block >> FACTOR_LOG
@@ -217,6 +237,21 @@ def index_entries(index: bytes, kind: str) -> Iterator[tuple[int, int, bytes]]:
         at += n
 
 
+def index_arrays(index: bytes, kind: str, most: int = 10_000) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """(number of the first, positions, sizes in units, keys) of the blocks, up to ``most`` at a time; keys of a fixed length are taken as they stand."""
+    if kind == "u32" and (len(index) - 8) % 16 == 0:
+        for i in range(0, (len(index) - 8) // 16, most):
+            own = np.frombuffer(index, "<u4", min(4 * most, (len(index) - 8) // 4 - 4 * i), 8 + 16 * i).reshape(-1, 4)
+            keys = np.ascontiguousarray(own[:, 3])
+            yield i, own[:, 0].astype(np.int64), own[:, 1].astype(np.int64), pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(np.arange(0, 4 * len(own) + 4, 4, dtype=np.int32)), pa.py_buffer(keys)])
+        return
+    i, listed = 0, index_entries(index, kind)
+    while own := list(islice(listed, most)):
+        places, sizes, keys = zip(*own, strict=True)
+        yield i, np.array(places, np.int64), np.array(sizes, np.int64), pa.array(keys, pa.binary())
+        i += len(own)
+
+
 def parse_index(index: bytes, kind: str) -> tuple[int, int, int, list[tuple[int, int, bytes]]]:
     """(unit, block size, method, [(position, size in units, key)])"""
     return *index_layout(index, kind), list(index_entries(index, kind))
@@ -317,7 +352,6 @@ def entries(spark: SparkSession, folder: str) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ENTRIES.split(", ")]
         types = (pa.string(), pa.string(), *[pa.int64()] * 4, pa.binary(), *[pa.int32()] * 3, pa.int64())
-        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
         for batch in batches:
             for file, path, length, idx in zip(*(batch.column(c).to_pylist() for c in ("file", "path", "length", "idx")), strict=True):
                 if not idx:
@@ -325,17 +359,16 @@ def entries(spark: SparkSession, folder: str) -> DataFrame:
                         raise InputRefused(f"{file}: data without an index")
                     continue
                 unit, block_size, method = index_layout(idx, kind_of(file))
-                out, run, prior = [], 0, None
-                for i, (position, size, key) in enumerate(index_entries(idx, kind_of(file))):
-                    run, prior = run if key == prior else i, key
-                    if (position + size) * unit > length:
+                run, prior = 0, None
+                for i, places, sizes, keys in index_arrays(idx, kind_of(file)):
+                    if int((places + sizes).max()) * unit > length:
                         raise InputRefused(f"{file}: a block goes beyond the file")
-                    out.append((file, path, i, run, position * unit, (position + size) * unit, key, unit, block_size, method, length))
-                    if len(out) == 10_000:
-                        yield made(out)
-                        out = []
-                if out:
-                    yield made(out)
+                    same = pc.equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+                    begins = np.concatenate([[keys[0].as_py() != prior], ~same])
+                    runs = np.maximum.accumulate(np.where(begins, i + np.arange(len(places)), run))
+                    run, prior = int(runs[-1]), keys[-1].as_py()
+                    columns = (file, path, i + np.arange(len(places)), runs, places * unit, (places + sizes) * unit, keys, unit, block_size, method, length)
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) if isinstance(x, np.ndarray) else pa.repeat(pa.scalar(x, t), len(places)) for x, t in zip(columns, types, strict=True)], names)
 
     return data.join(index, "file", "left").mapInArrow(rows, ENTRIES)
 
@@ -381,29 +414,42 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return entries(spark, folder).repartitionByRange(parts, "file", "run").sortWithinPartitions("file", "block").mapInArrow(rows, GROUPS)
 
 
+def described(kind: str, keys: pa.Array) -> pa.Array:
+    """As ``describe_key`` of each key."""
+    if kind != "u32" or not len(keys):
+        return pa.array([describe_key(kind, k) for k in keys.to_pylist()], pa.string())
+    values = np.frombuffer(b"".join(keys.to_pylist()), "<u4")
+    digits = np.frombuffer(b"0123456789abcdef", np.uint8)[values[:, None] >> np.arange(28, -4, -4, dtype=np.uint32) & 15]
+    text = np.concatenate([np.broadcast_to(np.frombuffer(b"0x", np.uint8), (len(values), 2)), digits], 1)
+    return pa.StringArray.from_buffers(len(values), pa.py_buffer(np.arange(0, 10 * len(values) + 10, 10, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(text)))
+
+
 def layout(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, block, key, start, payload_end, end) of every block; of a block only its length is read."""
+    """(file, block, key, start, payload_end, end) of every block; of a compressed block its length is read, and of others nothing."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, source = None, None
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["path"] != path:
-                    path, source = r["path"], opened(r["path"])
-                size = r["end"] - r["start"]
-                used = size
-                if r["method"] != NO_COMPRESSION and size:
-                    used = 4 + abs(int.from_bytes(source.read_at(4, r["start"]), "little", signed=True))
-                    if used > size:
-                        raise InputRefused("a block claims more than it spans")
-                out.append((r["file"], r["block"], describe_key(kind_of(r["file"]), r["key"]), r["start"], r["start"] + used, r["end"]))
-            types = (pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3)
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["file", "block", "key", "start", "payload_end", "end"])
-
+            start, end = batch.column("start").to_numpy(), batch.column("end").to_numpy()
+            used = end.copy()
+            for i in np.flatnonzero((batch.column("method").to_numpy() != NO_COMPRESSION) & (end > start)).tolist():
+                if (own := batch.column("path")[i].as_py()) != path:
+                    path, source = own, opened(own)
+                used[i] = start[i] + 4 + abs(int.from_bytes(source.read_at(4, int(start[i])), "little", signed=True))
+                if used[i] > end[i]:
+                    raise InputRefused("a block claims more than it spans")
+            files = batch.column("file").to_pylist()
+            edges = [i for i in range(len(files)) if not i or files[i] != files[i - 1]]
+            for a, b in zip(edges, [*edges[1:], len(files)], strict=True):
+                file, block, *places = (x[a:b] for x in (batch.column("file"), batch.column("block"), *map(pa.array, (start, used, end))))
+                yield pa.RecordBatch.from_arrays([file, block, described(kind_of(files[a]), batch.column("key")[a:b]), *places], ["file", "block", "key", "start", "payload_end", "end"])
+
+    schema = "file string, block long, key string, start long, payload_end long, end long"
+    found = entries(spark, folder)
+    plain, packed = found.filter(F.col("method") == NO_COMPRESSION), found.filter(F.col("method") != NO_COMPRESSION)
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return entries(spark, folder).repartitionByRange(parts, "file", "block").sortWithinPartitions("file", "block").mapInArrow(rows, "file string, block long, key string, start long, payload_end long, end long")
+    dealt = packed.repartition(parts, "file", F.shiftright("block", 10)).sortWithinPartitions("file", "block")  # these are read
+    return plain.mapInArrow(rows, schema).unionByName(dealt.mapInArrow(rows, schema))
 
 
 def map_blocks(spark: SparkSession, folder: str) -> DataFrame:
