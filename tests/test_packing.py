@@ -80,3 +80,25 @@ def test_region_ids():
     for at in (0, 1):
         (got,) = _region_ids(iter([batch.slice(at)]))
         assert got.column("objects").to_pylist() == [[o for _, o in x] for x in want[at:]]
+
+
+@pytest.mark.parametrize("file", ["a.bin", "way_tags_local.bin", "way_tags_global.bin"])
+def test_index_arrays(spark, tmp_path, file):
+    """An index is read in arrays as entry by entry, and blocks that aren't compressed are laid out without being dealt by ranges."""
+    kind = B.kind_of(file)
+    key = {"u32": lambda n: n.to_bytes(4, "little"), "local": lambda n: B.local_key(n, "k" * (n % 3), "v"), "global": lambda n: B.global_key("k", "é" * (n % 5), n)}[kind]
+    rows = [(file, n, key(n), [bytes(700 + n % 300)] * (4 if n == 20 else 1)) for n in range(1, 40)]
+    for method in (B.NO_COMPRESSION, B.LZ4):
+        out = tmp_path / str(method)
+        D.write_database(spark.createDataFrame(rows, "file string, order int, key binary, objects array<binary>"), f"file://{out}", "v", 1024, method)
+        index = (out / f"{file}.idx").read_bytes()
+        unit, size, _, listed = B.parse_index(index, kind)
+        arrays = [(i + j, *x) for i, *own in B.index_arrays(index, kind, 7) for j, x in enumerate(zip(*(y.tolist() for y in own), strict=True))]
+        assert arrays == [(i, *x) for i, x in enumerate(listed)] and len(listed) == 42
+        runs = {r.block: r.run for r in B.entries(spark, f"file://{out}").collect()}
+        assert runs == {i: next(j for j in range(i + 1) if listed[j][2] == k) for i, (_, _, k) in enumerate(listed)}
+        found = B.layout(spark, f"file://{out}")
+        assert "rangepartitioning" not in found._jdf.queryExecution().toString()
+        data = (out / file).read_bytes()
+        want = [(i, B.describe_key(kind, k), p * unit, p * unit + B.payload_length(data[p * unit : (p + n) * unit], method), (p + n) * unit) for i, (p, n, k) in enumerate(listed)]
+        assert sorted((r.block, r.key, r.start, r.payload_end, r.end) for r in found.collect()) == want
