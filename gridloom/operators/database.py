@@ -336,7 +336,7 @@ def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         spans, out = [], []
         for r in zip(*(batch.column(c).to_pylist() for c in ("name", "path_a", "path_b", "start", "end", "method", "block", "counts")), strict=True):
-            if spans and r[7] and not r[5] and spans[-1][7] and not spans[-1][5] and r[:3] == spans[-1][:3] and r[3] == spans[-1][4] and r[4] - spans[-1][3] <= PIECE:
+            if spans and r[7] and not r[5] and spans[-1][7] and not spans[-1][5] and r[:3] == tuple(spans[-1][:3]) and r[3] == spans[-1][4] and r[4] - spans[-1][3] <= PIECE:
                 spans[-1][4] = r[4]
             else:
                 spans.append(list(r))

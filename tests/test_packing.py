@@ -102,3 +102,18 @@ def test_index_arrays(spark, tmp_path, file):
         data = (out / file).read_bytes()
         want = [(i, B.describe_key(kind, k), p * unit, p * unit + B.payload_length(data[p * unit : (p + n) * unit], method), (p + n) * unit) for i, (p, n, k) in enumerate(listed)]
         assert sorted((r.block, r.key, r.start, r.payload_end, r.end) for r in found.collect()) == want
+
+
+def test_adjoining_pieces(tmp_path):
+    """Pieces of which every byte counts are read together where they adjoin, and give the first difference of any."""
+    data = random.Random(2).randbytes(4000)
+    other = bytearray(data)
+    other[1234] ^= 1
+    other[3990] ^= 1
+    for name, own in (("a", data), ("b", bytes(other))):
+        (tmp_path / name).write_bytes(own)
+    spans = [(i, i + 100, True) for i in range(0, 3000, 100)] + [(3500, 3600, True), (3600, 4000, False)]
+    columns = ["f.bin"], [str(tmp_path / "a")], [str(tmp_path / "b")]
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c * len(spans)) for c in columns), pa.array([s[0] for s in spans]), pa.array([s[1] for s in spans]), pa.array([0] * len(spans), pa.int32()), pa.array(range(len(spans))), pa.array([s[2] for s in spans])], ["name", "path_a", "path_b", "start", "end", "method", "block", "counts"])
+    (got,) = D._content(iter([batch]))
+    assert [(r["first"], r["ignored"], r["ignored_differing"], r["referenced"]) for r in got.to_pylist()] == [(1234, 0, 0, True), (None, 0, 0, True), (None, 400, 1, False)]
