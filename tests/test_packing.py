@@ -117,3 +117,15 @@ def test_adjoining_pieces(tmp_path):
     batch = pa.RecordBatch.from_arrays([*(pa.array(c * len(spans)) for c in columns), pa.array([s[0] for s in spans]), pa.array([s[1] for s in spans]), pa.array([0] * len(spans), pa.int32()), pa.array(range(len(spans))), pa.array([s[2] for s in spans])], ["name", "path_a", "path_b", "start", "end", "method", "block", "counts"])
     (got,) = D._content(iter([batch]))
     assert [(r["first"], r["ignored"], r["ignored_differing"], r["referenced"]) for r in got.to_pylist()] == [(1234, 0, 0, True), (None, 0, 0, True), (None, 400, 1, False)]
+
+
+def test_map_files(spark, tmp_path):
+    """Map files of several batches and with blocks that have no ids are as those made in one call; ids are placed in arrays, not one by one."""
+    rng, whole = random.Random(3), {}
+    for file in ("a.map", "b.map"):
+        whole[file] = sorted((i, rng.randrange(1 << 32)) for i in rng.sample(range(5 << 16), 20_000) if not 1 << 16 <= i < 3 << 16)
+    df = spark.createDataFrame([(f, *x) for f, own in whole.items() for x in own], "file string, id long, value long")
+    D.write_map_files(df, f"file://{tmp_path}")
+    for file, own in whole.items():
+        assert ((tmp_path / file).read_bytes(), (tmp_path / f"{file}.idx").read_bytes()) == B.write_map(own)
+    assert sorted((r.file, r.block) for r in B.map_blocks(spark, f"file://{tmp_path}").collect()) == [(f, i) for f in whole for i in (0, 3, 4)]
