@@ -86,9 +86,9 @@ def releasing(step: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., It
     """
 
     @wraps(step)
-    def run(batches: Iterator[pa.RecordBatch], **options) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], *args, **options) -> Iterator[pa.RecordBatch]:
         try:
-            yield from step(batches, **options)
+            yield from step(batches, *args, **options)
         finally:
             pa.default_memory_pool().release_unused()
             _trim()(0)
