@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial, reduce
 
@@ -20,7 +20,7 @@ from gridloom.operators.pack import Packer, joined, lengths
 from gridloom.operators.storage import shared_dir, stored
 from gridloom.sources import blockfile as B
 from gridloom.sources.pbf import InputRefused
-from gridloom.sources.ranges import Folder, listing, opened, writer
+from gridloom.sources.ranges import Folder, listing, local, opened, writer
 
 # Names of the files of a database, and of its areas.
 VERSION_FILE, AREA_VERSION_FILE = "osm_base_version", "area_version"
@@ -49,21 +49,51 @@ PIECES = "file string, range int, kind int, seq int, path string, start long, by
 HEAD, BODY, TAIL, CHAIN = range(4)
 
 
-def blocks(groups: DataFrame, block: int) -> DataFrame:
+def blocks(groups: DataFrame, block: int, derived: list[str] | None = None) -> DataFrame:
     """Groups (file, order..., key, objects: array<binary>) dealt in ranges of their order, for ``write_block_files`` to pack.
 
     ``order`` is a column by which a file's groups are sorted. Groups without objects are left out. A large group may come in
-    several rows, by ``part``, so that no row holds it.
+    several rows, by ``part``, so that no row holds it. ``derived``: expressions of which keys and objects are made once rows are dealt
+    (``Made``), so that neither the sample of the ranges nor the shuffle has them; a group must then have objects.
     """
     if "part" not in groups.columns:
         groups = groups.withColumn("part", F.lit(0))
-    own = groups.filter("size(objects) > 0").select("file", "order", "part", "key", "objects")
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return own.repartitionByRange(parts, "file", "order").sortWithinPartitions("file", "order", "part").select("file", "key", "objects")
+    own = groups if derived else groups.filter("size(objects) > 0").select("file", "order", "part", "key", "objects")
+    spark = groups.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    dealt = own.repartitionByRange(parts, "file", "order").sortWithinPartitions("file", "order", "part")
+    return dealt.selectExpr("file", *(derived or ["key", "objects"]))
+
+
+def _pressed(data: memoryview) -> Iterator[bytes]:
+    """Bytes as they wait to be appended: pieces as lz4 data, each after its length, or after its length negative as it is if that is shorter."""
+    codec = pa.Codec("lz4_raw")
+    for i in range(0, len(data), PIECE << 3):
+        own = data[i : i + (PIECE << 3)]
+        packed = codec.compress(own, asbytes=True)
+        yield from (struct.pack("<i", len(packed)), packed) if len(packed) < len(own) else (struct.pack("<i", -len(own)), own)
+
+
+def _released(source, start: int, size: int) -> Iterator[bytes]:
+    """The ``size`` bytes of which ``_pressed`` was written from ``start`` on, piece by piece."""
+    codec = pa.Codec("lz4_raw")
+    for i in range(0, size, PIECE << 3):
+        (n,) = struct.unpack("<i", source.read_at(4, start))
+        data = source.read_at(abs(n), start + 4)
+        yield codec.decompress(data, min(PIECE << 3, size - i)) if n >= 0 else data
+        start += 4 + abs(n)
+
+
+@dataclass(frozen=True)
+class Made:
+    """Keys and objects that rows don't have yet: ``make`` gives batches of (file, key, objects) for batches of (file, ``columns``...). Flat columns are the cheapest to hand over."""
+
+    columns: list[str]
+    make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 class _Pieces:
-    """Rows of PIECES of a task, whose blocks go to a file of its own."""
+    """Rows of PIECES of a task, whose blocks go to a file of its own; there they are compressed, since they only wait to be put together."""
 
     def __init__(self, folder: str, block: int, method: int):
         self.path, self.unit, self.method = f"{folder}/{uuid.uuid4().hex}", block >> B.FACTOR_LOG, method
@@ -85,10 +115,11 @@ class _Pieces:
             room, data = np.fromiter(map(len, framed), np.int64, len(framed)), b"".join(framed)
         if not self.sink:
             self.sink = writer(self.path)
-        n = int(room.sum())
-        self.sink.write(data[:n])
-        self._row(file, part, kind, room // self.unit, lengths(keys), path=self.path, start=self.at, bytes=n, keys=b"".join(keys.to_pylist()))
-        self.at += n
+        n, start = int(room.sum()), self.at
+        for own in _pressed(memoryview(data)[:n]):
+            self.sink.write(own)
+            self.at += len(own)
+        self._row(file, part, kind, room // self.unit, lengths(keys), path=self.path, start=start, bytes=n, keys=b"".join(keys.to_pylist()))
 
     def groups(self, file: str, part: int, kind: int, keys: pa.Array, bodies: pa.Array) -> None:
         """Groups as they are."""
@@ -109,8 +140,8 @@ class _Pieces:
             self.rows = held
 
 
-def _packed(batches: Iterator[pa.RecordBatch], folder: str, block: int, method: int) -> Iterator[pa.RecordBatch]:
-    """A range of groups, packed from its first flush on."""
+def _packed(batches: Iterator[pa.RecordBatch], folder: str, block: int, method: int, made=None) -> Iterator[pa.RecordBatch]:
+    """A range of groups, packed from its first flush on; ``made`` gives their keys and objects."""
     part, at, packer, out = TaskContext.get().partitionId(), None, None, _Pieces(folder, block, method)
 
     def close():
@@ -118,7 +149,7 @@ def _packed(batches: Iterator[pa.RecordBatch], folder: str, block: int, method:
         if packer.pending:
             out.groups(at, part, TAIL, *packer.pending)
 
-    for batch in batches:
+    for batch in made(batches) if made else batches:
         files = batch.column("file").dictionary_encode()
         codes = files.indices.to_numpy()
         edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
@@ -171,8 +202,8 @@ def _appended(batches: Iterator[pa.RecordBatch], folder: str, block: int, method
                 at, sink, index, position, n = file, writer(f"{folder}/{file}"), writer(f"{folder}/{file}.idx"), 0, 0
                 index.write(B.index_header(block, method))
             with opened(path) as source:
-                for i in range(start, start + size, PIECE << 3):
-                    sink.write(source.read_at(min(PIECE << 3, start + size - i), i))
+                for own in _released(source, start, size):
+                    sink.write(own)
             units = np.frombuffer(sizes, "<u4").astype(np.int64)
             places = position + np.cumsum(units) - units
             position += int(units.sum())
@@ -186,8 +217,8 @@ def _appended(batches: Iterator[pa.RecordBatch], folder: str, block: int, method
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*done, strict=True)) or [()] * 3, types, strict=True)], ["file", "blocks", "bytes"])
 
 
-def write_block_files(dealt: DataFrame, folder: str, block: int, method: int = B.NO_COMPRESSION) -> DataFrame:
-    """(file, blocks, bytes) of the files written, of groups as ``blocks`` deals them.
+def write_block_files(dealt: DataFrame, folder: str, block: int, method: int = B.NO_COMPRESSION, made=None) -> DataFrame:
+    """(file, blocks, bytes) of the files written, of groups as ``blocks`` deals them; ``made`` turns batches of derived groups into such of (file, key, objects).
 
     A task packs its range from the first flush on; what is pending at its end goes with the groups of the next ranges up to a
     flush, which are small and come in arrays. Blocks are written once by the tasks that pack them. A file is one run of bytes, so
@@ -196,17 +227,22 @@ def write_block_files(dealt: DataFrame, folder: str, block: int, method: int = B
     spark = dealt.sparkSession
     scratch_ = scratch(spark, "blocks")
     try:
-        own = stored(dealt.mapInArrow(partial(_packed, folder=scratch_, block=block, method=method), PIECES), "pieces")
-        flushed = own.groupBy("file", "range").agg(F.max("kind").alias("most"))  # a row a range
-        before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-        earlier = flushed.select("file", "range", F.coalesce(F.max(F.when(F.col("most") > HEAD, F.col("range"))).over(before), F.lit(-1)).alias("earlier"))
+        own = stored(dealt.mapInArrow(partial(_packed, folder=scratch_, block=block, method=method, made=made), PIECES), "pieces")
+        ranges = sorted((r["file"], r["range"], r["most"]) for r in own.groupBy("file", "range").agg(F.max("kind").alias("most")).collect())  # a row a range
+        if not ranges:
+            return local(spark, [], file=pa.string(), blocks=pa.int64(), bytes=pa.int64())
+        # the last range before with a flush, by whose end the groups before a range's first flush are packed
+        found, flushed = [], {}
+        for file, at, most in ranges:
+            found.append((file, at, flushed.get(file, -1)))
+            if most > HEAD:
+                flushed[file] = at
+        earlier = local(spark, found, file=pa.string(), range=pa.int32(), earlier=pa.int32())
         left = own.filter(F.col("kind").isin(HEAD, TAIL)).join(F.broadcast(earlier), ["file", "range"]).withColumn("chain", F.when(F.col("kind") == TAIL, F.col("range")).otherwise(F.col("earlier")))
         left = left.repartition("file", "chain").sortWithinPartitions("file", "chain", "range", "kind", "seq").select("file", "chain", "sizes", "lens", "keys", "bodies")
         chains = stored(left.mapInArrow(partial(_chained, folder=scratch_, block=block, method=method), PIECES), "chains")
         pieces = own.filter(F.col("kind") == BODY).unionByName(chains).drop("bodies")
-        files = sorted(r["file"] for r in pieces.select("file").distinct().collect())  # a few dozen
-        if not files:
-            return spark.createDataFrame([], "file string, blocks long, bytes long")
+        files = sorted({file for file, *_ in ranges})  # a few dozen
         number = F.element_at(F.create_map(*(F.lit(x) for i, f in enumerate(files) for x in (f, i))), F.col("file"))
         each = pieces.repartitionById(len(files), number).sortWithinPartitions("file", "range", "kind", "seq")
         return stored(each.mapInArrow(partial(_appended, folder=folder, block=block, method=method), "file string, blocks long, bytes long"), "written")
@@ -214,8 +250,8 @@ def write_block_files(dealt: DataFrame, folder: str, block: int, method: int = B
         Folder(spark, scratch_).remove()
 
 
-def write_map_files(values: DataFrame, folder: str) -> None:
-    """Map files of (file, id, value): blocks of ids are made in parallel, then written one after the other; blocks without ids take no bytes."""
+def write_map_files(values: DataFrame, folder: str) -> list[str]:
+    """Map files of (file, id, value), and their names: blocks of ids are made in parallel, then written one after the other; blocks without ids take no bytes."""
     unit = struct.pack("<IBBH", B.MAP_VERSION, 15, B.FACTOR_LOG, 0)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +301,7 @@ def write_map_files(values: DataFrame, folder: str) -> None:
 
     placed = values.selectExpr("file", f"cast(id div {B.MAP_IDS} as long) as block", f"cast(id % {B.MAP_IDS} as int) as slot", "value")
     filled = placed.repartition("file", "block").sortWithinPartitions("file", "block").mapInArrow(made, "file string, block long, data binary")
-    stored(filled.repartition("file").sortWithinPartitions("file", "block").mapInArrow(appended, "file string"), "maps")
+    return [r["file"] for r in stored(filled.repartition("file").sortWithinPartitions("file", "block").mapInArrow(appended, "file string"), "maps").collect()]  # a few
 
 
 def empty_files(spark: SparkSession, folder: str, names: list[str]) -> None:
@@ -312,16 +348,15 @@ def commit(spark: SparkSession, out: str, version: str, write, name: str = VERSI
         staging.remove()
 
 
-def write_database(groups: DataFrame, out: str, version: str, block: int, method: int = B.NO_COMPRESSION, maps: DataFrame | None = None, files: dict[str, bool] | None = None) -> None:
-    """A database of groups (file, order, key, objects) and maps (file, id, value). ``files``: what must be there; those without content are written empty."""
+def write_database(groups: DataFrame, out: str, version: str, block: int, method: int = B.NO_COMPRESSION, maps: DataFrame | None = None, files: dict[str, bool] | None = None, made: Made | None = None) -> None:
+    """A database of groups (file, order, key, objects) and maps (file, id, value). ``files``: what must be there; those without content are written empty. ``made``: of groups that have neither keys nor objects yet."""
     spark = groups.sparkSession
 
     def write(folder: str) -> None:
-        written = write_block_files(blocks(groups, block), folder, block, method)
+        written = write_block_files(blocks(groups, block, made.columns if made else None), folder, block, method, made.make if made else None)
         names = {r["file"] for r in written.collect()}  # a few dozen
         if maps is not None:
-            write_map_files(maps, folder)
-            names |= {r["file"] for r in maps.select("file").distinct().collect()}
+            names |= set(write_map_files(maps, folder))
         empty_files(spark, folder, [n for n in files or {} if n != VERSION_FILE and n.removesuffix(".idx") not in names])
 
     commit(spark, out, version, write)

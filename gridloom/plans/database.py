@@ -16,7 +16,7 @@ from gridloom.operators import database as D
 from gridloom.operators import datasets as E
 from gridloom.operators import search as Q
 from gridloom.operators import tags as T
-from gridloom.operators.pack import Group
+from gridloom.operators.pack import Group, joined, lengths
 from gridloom.operators.shards import every_nth_shard
 from gridloom.operators.storage import stored
 from gridloom.plans.graph import _ALL, _CTE, _GEO, _NODE_TAGS, _RELATION, _WAY_TAGS, Graph
@@ -65,11 +65,15 @@ def staged_kinds(g: Graph) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+def _turned(c: Column | str, n: int) -> Column:
+    """A number with its ``n`` bytes turned."""
+    own = (F.col(c) if isinstance(c, str) else c).cast("long")
+    return reduce(Column.bitwiseOR, (F.shiftleft(F.shiftright(own, 8 * i).bitwiseAND(F.lit(255)), 8 * (n - 1 - i)) for i in range(n)))
+
+
 def _little(c: Column | str, n: int) -> Column:
     """Bytes of a number, lowest first: the number with its bytes turned, in hex."""
-    own = (F.col(c) if isinstance(c, str) else c).cast("long")
-    turned = reduce(Column.bitwiseOR, (F.shiftleft(F.shiftright(own, 8 * i).bitwiseAND(F.lit(255)), 8 * (n - 1 - i)) for i in range(n)))
-    return F.unhex(F.lpad(F.hex(turned), 2 * n, "0"))
+    return F.unhex(F.lpad(F.hex(_turned(c, n)), 2 * n, "0"))
 
 
 def _joined(*parts: Column) -> Column:
@@ -97,33 +101,89 @@ def _region_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), batch.column("part"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), objects)], ["k", "v", "part", "objects"])
 
 
+def _bytes(values: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` lowest bytes of numbers, lowest first, a row for each."""
+    return np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8)[:, :n]
+
+
+def _fixed(*parts: np.ndarray) -> pa.Array:
+    """Binary values of one length, a row of the parts beside each other for each."""
+    data = np.concatenate(parts, 1)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(data), [None, pa.py_buffer(np.arange(len(data) + 1) * data.shape[1]), pa.py_buffer(data)])
+
+
+def _each(objects: pa.Array) -> pa.Array:
+    """Lists of one object."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(objects) + 1), pa.int32()), objects)
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_region_ids``, with the objects of a list as one value."""
+    for batch in _region_ids(batches):
+        lists = batch.column("objects")
+        data = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(lists.offsets.to_numpy() * np.int32(REGION_ID)), lists.values.buffers()[2]])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), batch.column("part"), data], ["k", "v", "part", "data"])
+
+
+REGION_ID = 11
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and objects of the rows of ``_groups``."""
+    for batch in batches:
+        files = batch.column("file").dictionary_encode()
+        codes = files.indices.to_numpy()
+        edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()] if len(codes) else []
+        for a, b in zip(edges, [*edges[1:], len(codes)] if edges else [], strict=True):
+            own, file = batch.slice(a, b - a), files.dictionary[int(codes[a])].as_py()
+            number, ids, other, n = (own.column(c).to_numpy() for c in ("number", "id", "other", "n"))
+            if file in ("nodes.bin", "ways.bin"):
+                key = _fixed(_bytes(number, 4))
+            else:
+                text = own.column("text").cast(pa.large_binary())
+                key = joined(_fixed(_bytes(n, 2), _bytes(lengths(text) - n, 2), _bytes(number, 3 if file == "way_tags_local.bin" else 4)), text)
+            if file == "node_tags_global.bin":
+                data = own.column("data")
+                ends = np.frombuffer(data.buffers()[1], np.int32, len(data) + 1, 4 * data.offset)
+                raw = np.frombuffer(data.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, REGION_ID)
+                objects = pa.ListArray.from_arrays(pa.array((ends - ends[0]) // REGION_ID, pa.int32()), _fixed(raw))
+            elif file == "nodes.bin":
+                objects = _each(_fixed(_bytes(ids, 8), _bytes(other, 4)[:, ::-1]))
+            else:
+                objects = _each(_fixed(_bytes(ids, 4)))
+            yield pa.RecordBatch.from_arrays([own.column("file"), key, objects], ["file", "key", "objects"])
+
+
+MADE = D.Made(["order.b as number", "part.a as id", "part.b as other", "octet_length(order.k) as n", "cast(concat(order.k, order.v) as binary) as text", "data"], _made)
+
+
 def _groups(g: Graph) -> DataFrame:
     """Groups of four kinds of keys: nodes under tiles, ways under indexes, ids under local tags, regions and ids under global tags.
 
-    Most keys have few objects, so each comes in a row of its own, in the order of ``part``; global tags, which are common, in rows of a bounded length.
+    Most keys have few objects, so each comes in a row of its own, in the order of ``part``, by id and then by the object's bytes; global tags, which are common, in rows
+    of a bounded length. Keys and the other objects are made of the rows' numbers by ``_made``.
     """
-    number = lambda c: F.struct(F.col(c).bitwiseAND(F.lit(0x7FFFFFFF)).alias("a"), F.col(c).alias("b"), F.lit("").alias("k"), F.lit("").alias("v"))
-    text = lambda c: F.encode(F.col(c), "utf-8")
-    size = lambda c: _little(F.octet_length(c), 2)
-    part = lambda a, b: F.struct(F.col(a).cast("long").alias("a"), b.alias("b")).alias("part")
-    single = lambda df, file, key, order, a, value: df.select(F.lit(file).alias("file"), key.alias("key"), order.alias("order"), part(a, value), F.array(value).alias("objects"))
-    none = F.unhex(F.lit(""))
+    struct = lambda **c: F.struct(*(x.alias(n) for n, x in c.items()))
+    number = lambda c: struct(a=F.col(c).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)), b=F.col(c).cast("long"), k=F.lit(""), v=F.lit(""))
+    none, zero = F.lit(None).cast("binary").alias("data"), F.lit(0).cast("long")
+    rows_ = lambda df, file, order, a, b, data: df.select(F.lit(file).alias("file"), order.alias("order"), struct(a=F.col(a).cast("long"), b=b).alias("part"), data)
     tagged = g.node_tags.select("k", "v", F.shiftright("id", 21).alias("part"), "id", F.shiftright(P.coarse(F.col("idx")), 8).alias("region"))
     listed = tagged.groupBy("k", "v", "part").agg(F.collect_list(F.struct("id", "region")).alias("listed"))
-    global_ = listed.mapInArrow(_region_ids, "k string, v string, part long, objects array<binary>")
+    global_ = listed.mapInArrow(_blobs, "k string, v string, part long, data binary")
     rows = [
-        single(g.nodes, "nodes.bin", _little("tile", 4), number("tile"), "id", _joined(_little("id", 8), _little("lower", 4))),
-        single(g.way_index, "ways.bin", _little("idx", 4), number("idx"), "id", _little("id", 4)),
-        single(T.local_postings(g.way_tags), "way_tags_local.bin", _joined(size("k"), size("v"), _little("region", 3), text("k"), text("v")), F.struct(F.col("region").bitwiseAND(F.lit(0x7FFFFF)).alias("a"), F.col("region").alias("b"), "k", "v"), "id", _little("id", 4)),
-        global_.select(F.lit("node_tags_global.bin").alias("file"), _joined(size("k"), size("v"), _little(F.lit(0), 4), text("k"), text("v")).alias("key"), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "k", "v").alias("order"), part("part", none), "objects"),
+        rows_(g.nodes, "nodes.bin", number("tile"), "id", _turned("lower", 4), none),
+        rows_(g.way_index, "ways.bin", number("idx"), "id", zero, none),
+        rows_(T.local_postings(g.way_tags), "way_tags_local.bin", struct(a=F.col("region").cast("long").bitwiseAND(F.lit(0x7FFFFF)), b=F.col("region").cast("long"), k=F.col("k"), v=F.col("v")), "id", zero, none),
+        rows_(global_, "node_tags_global.bin", struct(a=zero, b=zero, k=F.col("k"), v=F.col("v")), "part", zero, F.col("data")),
     ]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 def _database(g: Graph, method: int = B.LZ4) -> str:
     out = D.scratch(g.spark, "database")
+    g.nodes = stored(g.nodes, "places")  # of which groups, tags, indexes and maps are made
     maps = g.nodes.select(F.lit("nodes.map").alias("file"), "id", F.col("tile").alias("value"))
-    D.write_database(stored(_groups(g), "groups"), out, "v1", BLOCK, method, maps, D.file_set(True, True, False))
+    D.write_database(stored(_groups(g), "groups"), out, "v1", BLOCK, method, maps, D.file_set(True, True, False), MADE)
     return out
 
 
@@ -159,23 +219,36 @@ def map_blocks_in_use(g: Graph) -> DataFrame:
     return B.map_blocks(g.spark, _database(g)).filter("file = 'nodes.map'")
 
 
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and objects of the rows of ``_single``: as many x as ``n`` tells, with a y in the hundredth place if ``other``."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("n").to_numpy(), dtype=np.int64)
+        starts = np.concatenate([[0], ends])
+        data = np.full(int(starts[-1]), ord("x"), np.uint8)
+        data[starts[:-1][batch.column("other").to_numpy(zero_copy_only=False)] + 99] = ord("y")
+        objects = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(starts), pa.py_buffer(data)])
+        yield pa.RecordBatch.from_arrays([batch.column("file"), _fixed(_bytes(batch.column("order").to_numpy(), 4)), _each(objects)], ["file", "key", "objects"])
+
+
+TEXTS = D.Made(["order", "n", "other"], _texts)
+
+
 def _single(g: Graph, changed: bool = False) -> DataFrame:
-    """Groups of which any two exceed a block, in six files by way; ``changed``: with another byte, a group more, or no file."""
+    """Groups of which any two exceed a block, in six files by way; ``changed``: with another byte, a group more, or no file. Their keys and texts are made by ``_texts``."""
     n = (F.lit(700) + F.col("id") % 300).cast("int")
-    own = g.ways.select("id", F.concat(F.lit("f"), (F.col("id") % 6).cast("string"), F.lit(".bin")).alias("file"), F.repeat(F.lit("x"), n).alias("text"))
+    other = (F.col("id") % 6 == 3) & (F.col("id") % 7 == 0) if changed else F.lit(False)
+    own = g.ways.select("id", F.concat(F.lit("f"), (F.col("id") % 6).cast("string"), F.lit(".bin")).alias("file"), n.alias("n"), other.alias("other"))
     if changed:
-        other = F.concat(F.expr("substring(text, 1, 99)"), F.lit("y"), F.expr("substring(text, 101)"))
-        own = own.withColumn("text", F.when((F.col("id") % 6 == 3) & (F.col("id") % 7 == 0), other).otherwise(F.col("text")))
         own = own.filter("file <> 'f1.bin'").unionByName(own.filter("file = 'f4.bin' and id <= 12").withColumn("id", F.col("id") + (1 << 31)))
     else:
         own = own.filter("file <> 'f2.bin'")
-    return own.select("file", F.col("id").alias("order"), _little("id", 4).alias("key"), F.array(F.encode("text", "utf-8")).alias("objects"))
+    return own.select("file", F.col("id").alias("order"), "n", "other")
 
 
 def block_layout(g: Graph) -> DataFrame:
     """Where each block stands, in files where every group has a block of its own."""
     out = D.scratch(g.spark, "layout")
-    D.write_database(_single(g), out, "v1", BLOCK)
+    D.write_database(_single(g), out, "v1", BLOCK, made=TEXTS)
     return B.layout(g.spark, out)
 
 
@@ -184,7 +257,7 @@ def compare_databases(g: Graph) -> DataFrame:
     paths = []
     for changed in (False, True):
         out = D.scratch(g.spark, "compared")
-        D.write_database(_single(g, changed), out, "v1", BLOCK)
+        D.write_database(_single(g, changed), out, "v1", BLOCK, made=TEXTS)
         data, index = B.write_blocks([Group(i.to_bytes(4, "little"), [b"abc" * 250]) for i in range(4)], BLOCK, B.LZ4)
         tail = b"\1\2" if changed else b"\0\0"  # after the last block, and at the end of its padding
         with writer(f"{out}/g.bin") as f:
@@ -218,7 +291,7 @@ def _area_shards(g: Graph) -> list[str]:
 def merged_areas(g: Graph) -> DataFrame:
     """Objects of merged area files, in order under each key."""
     out = D.scratch(g.spark, "merged")
-    D.write_database(_groups(g).filter("file = 'nodes.bin'"), out, "v1", BLOCK)
+    D.write_database(_groups(g).filter("file = 'nodes.bin'"), out, "v1", BLOCK, made=MADE)
     D.merge_areas(g.spark, _area_shards(g), out)
     objects = D.shard_objects(B.read(g.spark, out), 0)
     found = D.merged_objects(objects.withColumnRenamed("id", "own").withColumn("id", F.lit(0))).drop("id")  # as they stand

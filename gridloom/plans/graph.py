@@ -21,11 +21,12 @@ class Graph:
 
     def __getattr__(self, name: str):
         made = {
-            "raw_nodes": lambda: self._staged("nodes", G.nodes),
+            "lines": lambda: self._staged("lines", G.lines),
+            "raw_nodes": lambda: G.nodes(self.lines),
             "nodes": lambda: X.placed(self.raw_nodes),
             "staged_nodes": lambda: staged(self.spark, ("by tile", self.sf_dir), lambda: sorted_by_tile(self.nodes)),
-            "refs": lambda: self._staged("refs", G.refs),
-            "ways": lambda: self._staged("ways", G.ways),
+            "refs": lambda: G.refs(self.lines),
+            "ways": lambda: G.ways(self.spark, self.sf_dir),  # columns of orders as they are
             "relations": lambda: self._staged("relations", G.relations),
             "members": lambda: self._staged("members", G.members),
             "located": lambda: X.located_refs(self.refs, self.nodes),

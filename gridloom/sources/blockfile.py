@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.pack import Group, joined, pack_groups
 from gridloom.sources.pbf import InputRefused
-from gridloom.sources.ranges import listing, opened
+from gridloom.sources.ranges import files, local, opened
 
 # Fixed values of the format.
 VERSION, LEAST_VERSION, MOST_VERSION, LEAST_GLOBAL_VERSION = 7600, 7512, 7600, 7561
@@ -340,37 +340,72 @@ def map_blocks_in_use(index: bytes) -> list[int]:
 ENTRIES = "file string, path string, block long, run long, start long, end long, key binary, unit int, block_size int, method int, length long"
 
 
-def entries(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each block that the indexes of a folder list (columns of ENTRIES). Only index files are read.
+#: Entries of an index that are read at a time: keys of a fixed length allow to begin anywhere.
+EACH = 1 << 14
+
+
+def _run_before(index, at: int) -> int:
+    """The first of the consecutive blocks with the key of block ``at``, in an index of keys of four bytes."""
+    key, step = index.read_at(4, 8 + 16 * at + ENTRY.size), 1
+    while at > 0:
+        n = min(at, step)
+        differs = np.flatnonzero(np.frombuffer(index.read_at(16 * n, 8 + 16 * (at - n)), "<u4").reshape(-1, 4)[:, 3] != int.from_bytes(key, "little"))
+        if len(differs):
+            return at - n + int(differs[-1]) + 1
+        at, step = at - n, min(step << 4, EACH)
+    return 0
+
+
+def _index_pieces(spark: SparkSession, folder: str) -> list[tuple]:
+    """(file, path, length, index, first, n, method): ranges of the entries of each index, or a whole index (``n`` -1) where only reading it tells where entries begin."""
+    found, out = {name: own for name, *own in files(spark, folder)}, []
+    for file, (path, length) in found.items():
+        if file.endswith(".bin"):
+            index, size = found.get(f"{file}.idx", (None, 0))
+            if not size:
+                if length:
+                    raise InputRefused(f"{file}: data without an index")
+                continue
+            with opened(index) as source:
+                method = index_layout(source.read_at(min(8, size), 0), kind_of(file))[2]
+            ranged = kind_of(file) == "u32" and (size - 8) % 16 == 0
+            out += [(file, path, length, index, i, min(EACH, (size - 8) // 16 - i), method) for i in range(0, (size - 8) // 16, EACH)] if ranged else [(file, path, length, index, 0, -1, method)]
+    return out
 
-    ``run``: the first of the consecutive blocks with one key, which a large group may span; ``length``: of the data file.
-    """
-    name = F.regexp_extract("path", "([^/]+?)([.]idx)?$", 1)
-    data = listing(spark, folder).filter("name like '%.bin'").select(F.col("name").alias("file"), "path", "length")
-    index = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin.idx").load(folder).select(name.alias("file"), F.col("content").alias("idx"))
+
+def _entries(spark: SparkSession, pieces: list[tuple], then=None, schema: str = ENTRIES) -> DataFrame:
+    """The entries of these pieces, or what ``then`` makes of their batches in the same task."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ENTRIES.split(", ")]
         types = (pa.string(), pa.string(), *[pa.int64()] * 4, pa.binary(), *[pa.int32()] * 3, pa.int64())
         for batch in batches:
-            for file, path, length, idx in zip(*(batch.column(c).to_pylist() for c in ("file", "path", "length", "idx")), strict=True):
-                if not idx:
-                    if length:
-                        raise InputRefused(f"{file}: data without an index")
-                    continue
+            for file, path, length, index, first, n in zip(*(batch.column(c).to_pylist() for c in ("file", "path", "length", "index", "first", "n")), strict=True):
+                with opened(index) as source:
+                    idx = source.read() if n < 0 else source.read_at(8, 0) + source.read_at(16 * n, 8 + 16 * first)
+                    run, prior = _run_before(source, first) if first else 0, None
                 unit, block_size, method = index_layout(idx, kind_of(file))
-                run, prior = 0, None
                 for i, places, sizes, keys in index_arrays(idx, kind_of(file)):
                     if int((places + sizes).max()) * unit > length:
                         raise InputRefused(f"{file}: a block goes beyond the file")
+                    i += first
                     same = pc.equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
-                    begins = np.concatenate([[keys[0].as_py() != prior], ~same])
+                    begins = np.concatenate([[prior is not None and keys[0].as_py() != prior], ~same])
                     runs = np.maximum.accumulate(np.where(begins, i + np.arange(len(places)), run))
                     run, prior = int(runs[-1]), keys[-1].as_py()
                     columns = (file, path, i + np.arange(len(places)), runs, places * unit, (places + sizes) * unit, keys, unit, block_size, method, length)
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) if isinstance(x, np.ndarray) else pa.repeat(pa.scalar(x, t), len(places)) for x, t in zip(columns, types, strict=True)], names)
 
-    return data.join(index, "file", "left").mapInArrow(rows, ENTRIES)
+    types = {"file": pa.string(), "path": pa.string(), "length": pa.int64(), "index": pa.string(), "first": pa.int64(), "n": pa.int64(), "method": pa.int32()}
+    return local(spark, pieces, **types).mapInArrow((lambda batches: then(rows(batches))) if then else rows, schema)
+
+
+def entries(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each block that the indexes of a folder list (columns of ENTRIES). Only index files are read, in ranges where that can be.
+
+    ``run``: the first of the consecutive blocks with one key, which a large group may span; ``length``: of the data file.
+    """
+    return _entries(spark, _index_pieces(spark, folder))
 
 
 def _by_run(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
@@ -438,18 +473,19 @@ def layout(spark: SparkSession, folder: str) -> DataFrame:
                 used[i] = start[i] + 4 + abs(int.from_bytes(source.read_at(4, int(start[i])), "little", signed=True))
                 if used[i] > end[i]:
                     raise InputRefused("a block claims more than it spans")
-            files = batch.column("file").to_pylist()
-            edges = [i for i in range(len(files)) if not i or files[i] != files[i - 1]]
-            for a, b in zip(edges, [*edges[1:], len(files)], strict=True):
+            codes = batch.column("file").dictionary_encode().indices.to_numpy()
+            edges = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist()] if len(codes) else []
+            for a, b in zip(edges, [*edges[1:], len(codes)] if edges else [], strict=True):
                 file, block, *places = (x[a:b] for x in (batch.column("file"), batch.column("block"), *map(pa.array, (start, used, end))))
-                yield pa.RecordBatch.from_arrays([file, block, described(kind_of(files[a]), batch.column("key")[a:b]), *places], ["file", "block", "key", "start", "payload_end", "end"])
+                yield pa.RecordBatch.from_arrays([file, block, described(kind_of(file[0].as_py()), batch.column("key")[a:b]), *places], ["file", "block", "key", "start", "payload_end", "end"])
 
     schema = "file string, block long, key string, start long, payload_end long, end long"
-    found = entries(spark, folder)
-    plain, packed = found.filter(F.col("method") == NO_COMPRESSION), found.filter(F.col("method") != NO_COMPRESSION)
+    pieces = _index_pieces(spark, folder)
+    plain = _entries(spark, [p for p in pieces if p[-1] == NO_COMPRESSION], rows, schema)
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    packed = _entries(spark, [p for p in pieces if p[-1] != NO_COMPRESSION])
     dealt = packed.repartition(parts, "file", F.shiftright("block", 10)).sortWithinPartitions("file", "block")  # these are read
-    return plain.mapInArrow(rows, schema).unionByName(dealt.mapInArrow(rows, schema))
+    return plain.unionByName(dealt.mapInArrow(rows, schema))
 
 
 def map_blocks(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,15 +26,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("ok", "rn", "id", F.expr("row * 65536 - 910000000 + (id * 40503) % 65536").alias("lat"), F.expr("(column - 32768) * 65536 + (id * 30011) % 65536").alias("lon"), "l_returnflag", "l_linestatus")
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, lat, lon, tags); some that ways refer to are missing."""
+def nodes(lines: DataFrame) -> DataFrame:
+    """(id, lat, lon, tags) of ``lines``; some that ways refer to are missing."""
     pair = lambda k, c: F.struct(F.lit(k).alias("k"), F.col(c).alias("v"))
-    return lines(spark, sf_dir).filter("id % 29 <> 0").select("id", "lat", "lon", F.array(pair("returnflag", "l_returnflag"), pair("linestatus", "l_linestatus")).alias("tags"))
+    return lines.filter("id % 29 <> 0").select("id", "lat", "lon", F.array(pair("returnflag", "l_returnflag"), pair("linestatus", "l_linestatus")).alias("tags"))
 
 
-def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(way_id, pos, node_id), pos from 0."""
-    return lines(spark, sf_dir).select((F.col("ok") + 1).alias("way_id"), (F.col("rn") - 1).alias("pos"), F.col("id").alias("node_id"))
+def refs(lines: DataFrame) -> DataFrame:
+    """(way_id, pos, node_id) of ``lines``, pos from 0."""
+    return lines.select((F.col("ok") + 1).alias("way_id"), (F.col("rn") - 1).alias("pos"), F.col("id").alias("node_id"))
 
 
 def ways(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,12 +37,21 @@ def writer(path: str):
     return fs.open_output_stream(own)
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(name, path, length) of a file, or of the files of a folder, empty ones too. Their content isn't read; the driver lists them."""
+def files(spark: SparkSession, path: str) -> list[tuple[str, str, int]]:
+    """(name, path, length) of a file, or of the files of a folder, empty ones too."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
-    rows = sorted((x.getPath().getName(), x.getPath().toString(), x.getLen()) for x in found if x.isFile())
-    return spark.createDataFrame(rows, "name string, path string, length long")
+    return sorted((x.getPath().getName(), x.getPath().toString(), x.getLen()) for x in found if x.isFile())
+
+
+def local(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A table of rows that the driver has, which takes no Python worker to make."""
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(types), types.values(), strict=True)], list(types)))
+
+
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(name, path, length) of a file, or of the files of a folder, empty ones too. Their content isn't read; the driver lists them."""
+    return local(spark, files(spark, path), name=pa.string(), path=pa.string(), length=pa.int64())
 
 
 class Folder:

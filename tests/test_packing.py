@@ -4,6 +4,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.operators import database as D, pack
 from gridloom.operators.storage import shared_dir
@@ -129,3 +130,43 @@ def test_map_files(spark, tmp_path):
     for file, own in whole.items():
         assert ((tmp_path / file).read_bytes(), (tmp_path / f"{file}.idx").read_bytes()) == B.write_map(own)
     assert sorted((r.file, r.block) for r in B.map_blocks(spark, f"file://{tmp_path}").collect()) == [(f, i) for f in whole for i in (0, 3, 4)]
+
+
+def test_index_in_ranges(spark, tmp_path, monkeypatch):
+    """One index of keys of a fixed length is read by several tasks, and a run of one key is told across their ranges; blocks that aren't compressed take one step without a shuffle."""
+    rows = [("a.bin", n, n.to_bytes(4, "little"), [bytes(700 + n % 300)] * (30 if n == 9 else 1)) for n in range(1, 40)]
+    D.write_database(spark.createDataFrame(rows, "file string, order int, key binary, objects array<binary>"), f"file://{tmp_path}/d", "v", 1024)
+    monkeypatch.setattr(B, "EACH", 4)
+    found = B.entries(spark, f"file://{tmp_path}/d").withColumn("task", F.spark_partition_id()).collect()
+    *_, listed = B.parse_index((tmp_path / "d" / "a.bin.idx").read_bytes(), "u32")
+    assert {r.block: r.run for r in found} == {i: next(j for j in range(i + 1) if listed[j][2] == k) for i, (_, _, k) in enumerate(listed)}
+    assert len(listed) == 68 and len({r.task for r in found}) > 1
+    plain = B.layout(spark, f"file://{tmp_path}/d").filter("payload_end = end")
+    (steps, _) = plain._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")
+    assert steps.count("MapInArrow") == 2  # one over what isn't compressed, and one over what is, after its shuffle
+
+
+def test_waiting_pieces(tmp_path, monkeypatch):
+    """Blocks wait in compressed pieces, and come out of these as they went in."""
+    monkeypatch.setattr(D, "PIECE", 1 << 7)
+    rng = random.Random(5)
+    for data in (b"", b"x" * 5000, rng.randbytes(3000), b"x" * 1024 + rng.randbytes(1500)):
+        held = b"".join(D._pressed(memoryview(data)))
+        (tmp_path / "p").write_bytes(b"before" + held)
+        with D.opened(str(tmp_path / "p")) as source:
+            assert b"".join(D._released(source, 6, len(data))) == data
+    assert len(b"".join(D._pressed(memoryview(b"x" * 5000)))) < 500
+
+
+def test_made_after_dealing(spark, tmp_path):
+    """Objects that are made once rows are dealt aren't in the sample or the shuffle, and give the files that the same objects give."""
+    from gridloom.plans import database
+
+    rows = [(f"f{i % 2}.bin", i, 700 + i % 300, i % 7 == 0) for i in range(1, 60)]
+    dealt = D.blocks(spark.createDataFrame(rows, "file string, order long, n int, other boolean"), 1024, database.TEXTS.columns)
+    assert "objects" not in dealt._jdf.queryExecution().toString()
+    texts = {(f, i): b"x" * 99 + (b"y" if o else b"x") + b"x" * (n - 100) for f, i, n, o in rows}
+    D.write_block_files(dealt, f"file://{tmp_path}/a", 1024, made=database.TEXTS.make).count()
+    D.write_block_files(D.blocks(spark.createDataFrame([(f, i, i.to_bytes(4, "little"), [x]) for (f, i), x in texts.items()], "file string, order long, key binary, objects array<binary>"), 1024), f"file://{tmp_path}/b", 1024).count()
+    for name in ("f0.bin", "f0.bin.idx", "f1.bin", "f1.bin.idx"):
+        assert (tmp_path / "a" / name).read_bytes() == (tmp_path / "b" / name).read_bytes() != b""
