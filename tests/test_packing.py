@@ -170,3 +170,23 @@ def test_made_after_dealing(spark, tmp_path):
     D.write_block_files(D.blocks(spark.createDataFrame([(f, i, i.to_bytes(4, "little"), [x]) for (f, i), x in texts.items()], "file string, order long, key binary, objects array<binary>"), 1024), f"file://{tmp_path}/b", 1024).count()
     for name in ("f0.bin", "f0.bin.idx", "f1.bin", "f1.bin.idx"):
         assert (tmp_path / "a" / name).read_bytes() == (tmp_path / "b" / name).read_bytes() != b""
+
+
+def test_keys_and_objects_of_rows():
+    """Keys and objects that are made of the rows' numbers, of whole and of sliced batches, are those of each row by itself."""
+    from gridloom.plans import database
+
+    little, region = (lambda x, n: x.to_bytes(n, "little")), lambda i: i.to_bytes(3, "big") + i.to_bytes(8, "little")
+    rows = [("node_tags_global.bin", 0, 4, 0, 1, b"k\xc3\xa9v", b"".join(map(region, range(3)))), ("node_tags_global.bin", 0, 4, 0, 0, b"", region(9)), ("nodes.bin", 0xFFFFFFFE, 1 << 40, 0x01020304, 0, b"", None), ("nodes.bin", 5, 7, 0, 0, b"", None), ("way_tags_local.bin", 0x123456, 8, 0, 2, b"kkv", None), ("ways.bin", 0xFE, 0xFFFFFFFF, 0, 0, b"", None)]
+    want = [
+        (rows[0][0], B.global_key("k", "év"), [region(i) for i in range(3)]),
+        (rows[1][0], B.global_key("", ""), [region(9)]),
+        ("nodes.bin", little(0xFFFFFFFE, 4), [little(1 << 40, 8) + b"\1\2\3\4"]),
+        ("nodes.bin", little(5, 4), [little(7, 8) + bytes(4)]),
+        ("way_tags_local.bin", B.local_key(0x123456, "kk", "v"), [little(8, 4)]),
+        ("ways.bin", little(0xFE, 4), [little(0xFFFFFFFF, 4)]),
+    ]
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["file", "number", "id", "other", "n", "text", "data"])
+    for at in range(len(rows) + 1):
+        assert [tuple(r.values()) for b in database._made(iter([batch.slice(at)])) for r in b.to_pylist()] == want[at:]

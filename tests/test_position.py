@@ -119,3 +119,11 @@ def test_way_levels(spark):
 def test_text(spark):
     row = spark.range(1).select(P.degrees_text(F.lit(-5)).alias("a"), P.degrees_text(F.lit(1_234_567_890)).alias("b"), P.iso_timestamp(F.lit(1_767_302_490)).alias("c")).head()
     assert tuple(row) == ("-0.0000005", "123.4567890", "2026-01-01T21:21:30Z")
+
+
+def test_places_take_little_code(spark):
+    """Bits are spread by a table, all numbers of 16 bits alike, and a place names its position a few times only, so that its code stays small enough to be compiled."""
+    got = [r[0] for r in spark.range(1 << 16).select(P.spread(F.col("id") + (5 << 16))).collect()]
+    assert got == [sum((x >> i & 1) << 2 * i for i in range(16)) for x in range(1 << 16)]
+    places = spark.range(9).select(P.place_tile(F.col("id"), F.col("id") * 7))
+    assert places._jdf.queryExecution().optimizedPlan().toString().count("id#") < 16
