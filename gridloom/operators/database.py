@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial, reduce
 
@@ -353,10 +354,10 @@ def write_database(groups: DataFrame, out: str, version: str, block: int, method
     spark = groups.sparkSession
 
     def write(folder: str) -> None:
-        written = write_block_files(blocks(groups, block, made.columns if made else None), folder, block, method, made.make if made else None)
-        names = {r["file"] for r in written.collect()}  # a few dozen
-        if maps is not None:
-            names |= set(write_map_files(maps, folder))
+        with ThreadPoolExecutor(1) as beside:  # map files are written while blocks are packed; an error of either ends both
+            mapped = beside.submit(write_map_files, maps, folder) if maps is not None else None
+            written = write_block_files(blocks(groups, block, made.columns if made else None), folder, block, method, made.make if made else None)
+            names = {r["file"] for r in written.collect()} | set(mapped.result() if mapped else ())  # a few dozen
         empty_files(spark, folder, [n for n in files or {} if n != VERSION_FILE and n.removesuffix(".idx") not in names])
 
     commit(spark, out, version, write)
