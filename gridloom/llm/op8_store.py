@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import lookup_join, shared_path, small_batches, stored, table
+from gridloom.llm.common import lookup_join, shared_path, small_batches, table
+from gridloom.llm.parts import read_parts, stored_parts, write_parts
 from gridloom.llm.tokens import encoder, vocabulary
 
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"
@@ -36,7 +37,7 @@ LEAST, ABOUT, MOST = 64, 256, 1024
 SEEN = 8
 DIGEST_BYTES = 16
 CHUNK_ROWS = "digest binary, n_ids int, data binary, doc_id long, n_tokens long, digests array<binary>, lengths array<int>"
-RECIPES = "kind string, part int, ordinal long, doc_id long, n_tokens long, before long, digests array<binary>, lengths array<int>, n_docs long, root binary"
+RECIPES = "part int, ordinal long, doc_id long, n_tokens long, before long, digests array<binary>, lengths array<int>, n_docs long, root binary"
 
 
 def digest_of(data: bytes) -> bytes:
@@ -111,14 +112,28 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         )
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops repeated chunks: equal ones come to one task, one after the other."""
+def _raw(digests: pa.Array) -> tuple[bytes, np.ndarray]:
+    """Digests one after the other, and where each begins; at last where they end."""
+    if not len(digests):
+        return b"", np.zeros(1, dtype=np.int32)
+    own = digests.cast(pa.binary())
+    at = np.frombuffer(own.buffers()[1], dtype="<i4")[own.offset : own.offset + len(own) + 1]
+    return (own.buffers()[2] or pa.py_buffer(b""))[int(at[0]) : int(at[-1])].to_pybytes(), at - at[0]
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    """Rows of documents, and of chunks. Drops repeated chunks: equal ones come to one task, one after the other, after all rows without a digest."""
     last = None
     for batch in batches:
-        digests = batch.column("digest").to_pylist()
-        keep = [i for i, (a, b) in enumerate(zip([last, *digests], digests, strict=False)) if b is None or a != b]
-        last = digests[-1] if digests else last
-        yield batch.take(pa.array(keep, pa.int64()))
+        n = batch.column("digest").null_count
+        yield "document", batch.slice(0, n)
+        if n < batch.num_rows:
+            own = batch.slice(n)
+            raw, _ = _raw(own.column("digest"))
+            halves = np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
+            keep = np.concatenate([[raw[:DIGEST_BYTES] != last], (halves[1:] != halves[:-1]).any(axis=1)])
+            last = raw[-DIGEST_BYTES:]
+            yield "chunk", own if keep.all() else own.filter(pa.array(keep))
 
 
 class _Merkle:
@@ -140,29 +155,36 @@ class _Merkle:
         return node
 
 
-def _leaf(doc_id: int | None, n_tokens: int, digests: list[bytes]) -> bytes:
-    return f"{doc_id},{n_tokens},".encode() + b"".join(digests)
+def _leaf(doc_id: int | None, n_tokens: int, digests: bytes) -> bytes:
+    return f"{doc_id},{n_tokens},".encode() + digests
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part = TaskContext.get().partitionId()
-    tree, ordinal, before = _Merkle(), 0, 0
-    names = ["kind", "part", "ordinal", "doc_id", "n_tokens", "before", "digests", "lengths", "n_docs", "root"]
-    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+def _leaves(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """Leaves of recipes."""
+    digests = batch.column("digests")
+    raw, at = _raw(digests.flatten())
+    ends = at[np.cumsum(pc.list_value_length(digests).to_numpy(zero_copy_only=False))].tolist()
+    for doc_id, n, a, b in zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist(), [0, *ends], ends, strict=False):
+        yield _leaf(doc_id, n, raw[a:b])
 
-    def made(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
+    part = TaskContext.get().partitionId()
+    tree, ordinal, before = _Merkle(), 0, 0
+    names = ["part", "ordinal", "doc_id", "n_tokens", "before", "digests", "lengths", "n_docs", "root"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int64(), pa.binary()]
     for batch in batches:
-        rows = []
-        for doc_id, n, digests, lengths in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "digests", "lengths")), strict=True):
-            tree.add(_leaf(doc_id, n, digests))
-            rows.append(("recipe", part, ordinal, doc_id, n, before, digests, lengths, None, None))
-            ordinal, before = ordinal + 1, before + n
-        if rows:
-            yield made(rows)
+        n = batch.num_rows
+        if not n:
+            continue
+        for leaf in _leaves(batch):
+            tree.add(leaf)
+        ends = before + np.cumsum(batch.column("n_tokens").to_numpy())
+        cols = [pa.repeat(pa.scalar(part, pa.int32()), n), pa.array(np.arange(ordinal, ordinal + n)), batch.column("doc_id"), batch.column("n_tokens"), pa.array(np.concatenate([[before], ends[:-1]])), batch.column("digests"), batch.column("lengths"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+        yield "recipe", pa.RecordBatch.from_arrays(cols, names)
+        ordinal, before = ordinal + n, int(ends[-1])
     if ordinal:
-        yield made([("manifest", part, None, None, before, None, None, None, ordinal, tree.root())])
+        yield "manifest", pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, None, None, before, None, None, None, ordinal, tree.root()), types, strict=True)], names)
 
 
 def width_of(path: str) -> int:
@@ -177,11 +199,11 @@ def write_store(docs: DataFrame, out: str, path: str | None = None, end_id: int
     cut = own.mapInArrow(partial(_chunks, path=path, end_id=end_id), CHUNK_ROWS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owner = F.when(F.col("digest").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "n_tokens", "digests"))
-    once = cut.withColumn("owner", owner).repartition(parts, "owner").drop("owner").sortWithinPartitions("digest").mapInArrow(_once, CHUNK_ROWS)
-    once.withColumn("kind", F.when(F.col("digest").isNotNull(), "chunk").otherwise("document")).write.partitionBy("kind").option("compression", "zstd").parquet(f"{out}/chunks")
-    made = spark.read.schema(CHUNK_ROWS + ", kind string").parquet(f"{out}/chunks").filter("kind = 'document'")
-    ordered = made.select("doc_id", "n_tokens", "digests", "lengths").repartitionByRange(parts, "doc_id", "n_tokens", "digests").sortWithinPartitions("doc_id", "n_tokens", "digests")
-    ordered.mapInArrow(_recipes, RECIPES).write.partitionBy("kind").option("compression", "zstd").parquet(f"{out}/recipes")
+    write_parts(cut.withColumn("owner", owner).repartition(parts, "owner").drop("owner").sortWithinPartitions("digest"), _once, CHUNK_ROWS, f"{out}/chunks")
+    made = read_parts(spark, CHUNK_ROWS, f"{out}/chunks").filter("kind = 'document'")
+    # without a number, small ranges that adjoin are read by one task
+    ordered = made.select("doc_id", "n_tokens", "digests", "lengths").repartitionByRange("doc_id", "n_tokens", "digests").sortWithinPartitions("doc_id", "n_tokens", "digests")
+    write_parts(ordered, _recipes, RECIPES, f"{out}/recipes")
     tree = _Merkle()
     for row in manifests(spark, out).orderBy("part").toLocalIterator():  # a row for each part
         tree.add(bytes(row["root"]))
@@ -189,15 +211,15 @@ def write_store(docs: DataFrame, out: str, path: str | None = None, end_id: int
 
 
 def chunks(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(CHUNK_ROWS + ", kind string").parquet(f"{out}/chunks").filter("kind = 'chunk'").select("digest", "n_ids", "data")
+    return read_parts(spark, CHUNK_ROWS, f"{out}/chunks").filter("kind = 'chunk'").select("digest", "n_ids", "data")
 
 
 def recipes(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(RECIPES).parquet(f"{out}/recipes").filter("kind = 'recipe'").drop("kind", "n_docs", "root")
+    return read_parts(spark, RECIPES, f"{out}/recipes").filter("kind = 'recipe'").drop("kind", "n_docs", "root")
 
 
 def manifests(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(RECIPES).parquet(f"{out}/recipes").filter("kind = 'manifest'").select("part", "n_docs", "n_tokens", "root")
+    return read_parts(spark, RECIPES, f"{out}/recipes").filter("kind = 'manifest'").select("part", "n_docs", "n_tokens", "root")
 
 
 def verify(spark: SparkSession, out: str) -> bool:
@@ -207,8 +229,8 @@ def verify(spark: SparkSession, out: str) -> bool:
         sums: dict[int, list[int]] = {}
         broken: set[int] = set()
         for batch in batches:
-            for part, doc_id, n, before, digests in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "before", "digests")), strict=True):
-                trees.setdefault(part, _Merkle()).add(_leaf(doc_id, n, digests))
+            for leaf, part, n, before in zip(_leaves(batch), *(batch.column(c).to_pylist() for c in ("part", "n_tokens", "before")), strict=True):
+                trees.setdefault(part, _Merkle()).add(leaf)
                 own = sums.setdefault(part, [0, 0])
                 if before != own[1]:
                     broken.add(part)
@@ -235,10 +257,10 @@ def _checked(batches: Iterator[pa.RecordBatch], width: int, full: bool) -> Itera
         for digest, n, data in zip(*(batch.column(c).to_pylist() for c in ("digest", "n_ids", "data")), strict=True):
             if digest_of(data) != digest or len(data) != n * width:
                 raise ValueError("a chunk differs from its digest")
-            ids = np.frombuffer(data, dtype=f"<u{width}").astype("<u4").tobytes()
+            ids = np.frombuffer(data, dtype=f"<u{width}").astype("<u4")
             sums.append(zlib.crc32(ids))
             if full:
-                wide.append(ids)
+                wide.append(ids.tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n_ids"), pa.array(sums, pa.int64()), *([pa.array(wide, pa.binary())] if full else [])], ["digest", "n_ids", "crc", *["ids"] * full])
 
 
@@ -296,20 +318,23 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(owner)), batch.column("ordinal").take(pa.array(owner)), pa.array(pos.astype(np.int32)), digests.flatten(), lengths.flatten(), pa.array(after)], ["part", "ordinal", "pos", "digest", "length", "after"])
 
 
-def _references(spark: SparkSession, out: str) -> DataFrame:
-    """(part, ordinal, pos, digest, length, after): chunks of documents, with the ids that follow each in its document; raises if a recipe's lengths aren't those of its document."""
-    held = recipes(spark, out).select("part", "ordinal", "n_tokens", "digests", "lengths")
-    return held.mapInArrow(_listed, "part int, ordinal long, pos int, digest binary, length int, after long")
+#: Chunks of documents, and the ids that follow each in its document.
+REFERENCES = "part int, ordinal long, pos int, digest binary, length int, after long"
+
+
+def _held(spark: SparkSession, out: str) -> DataFrame:
+    """What ``_listed`` takes, which raises if a recipe's lengths aren't those of its document."""
+    return recipes(spark, out).select("part", "ordinal", "n_tokens", "digests", "lengths")
 
 
 def read_sums(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a store; raises if a chunk is missing or isn't as long as a recipe says."""
     width = spark.read.parquet(f"{out}/root").head()["width"]
     sums = chunks(spark, out).mapInArrow(partial(_checked, width=width, full=False), "digest binary, n_ids int, crc long")
-    references = stored(_references(spark, out), "references")
+    references, total = stored_parts(_held(spark, out), REFERENCES, "references", _listed)
     uses = references.groupBy("digest").agg(F.count(F.lit(1)).alias("uses"))
-    known = stored(uses.join(sums, "digest", "left"), "sums")
-    shares = lookup_join(references, known, "digest", "uses", references.count()).select("part", "ordinal", "length", "n_ids", "crc", "after").mapInArrow(_shifted, "part int, ordinal long, share long")
+    known, _ = stored_parts(uses.join(sums, "digest", "left").select("digest", "uses", "n_ids", "crc"), "digest binary, uses long, n_ids int, crc long", "sums")
+    shares = lookup_join(references, known, "digest", "uses", total).select("part", "ordinal", "length", "n_ids", "crc", "after").mapInArrow(_shifted, "part int, ordinal long, share long")
     whole = shares.groupBy("part", "ordinal").agg(F.bit_xor("share").alias("ids_crc32"))
     starts = manifests(spark, out).select("part", F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))  # a row for each part
     return recipes(spark, out).select("part", "ordinal", "doc_id", "n_tokens", "before").join(whole, ["part", "ordinal"]).join(F.broadcast(starts), "part").select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
@@ -319,7 +344,7 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
     """doc_id and ids (array) of each document, put together from its chunks."""
     width = spark.read.parquet(f"{out}/root").head()["width"]
     wide = chunks(spark, out).mapInArrow(partial(_checked, width=width, full=True), "digest binary, n_ids int, crc long, ids binary")
-    joined = _references(spark, out).join(wide, "digest", "left")
+    joined = _held(spark, out).mapInArrow(_listed, REFERENCES).join(wide, "digest", "left")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

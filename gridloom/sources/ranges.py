@@ -15,7 +15,7 @@ def _system(scheme: str, host: str):
     return pafs.FileSystem.from_uri(f"{scheme}://{host}/")[0]
 
 
-def _placed(path: str) -> tuple[pafs.FileSystem, str]:
+def placed(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a path as Spark gives it (``file:/x``, ``hdfs://host/x``, ``/x``)."""
     found = re.fullmatch(r"([a-z][a-z0-9+.-]*):(?://([^/]*))?(/.*)", path)
     if not found or found[1] == "file":
@@ -27,12 +27,12 @@ def _placed(path: str) -> tuple[pafs.FileSystem, str]:
 
 def opened(path: str):
     """A file that can be read at any offset (``read_at``)."""
-    fs, own = _placed(path)
+    fs, own = placed(path)
     return fs.open_input_file(own)
 
 
 def writer(path: str):
-    fs, own = _placed(path)
+    fs, own = placed(path)
     fs.create_dir(own.rpartition("/")[0], recursive=True)
     return fs.open_output_stream(own)
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ from gridloom.llm import op7_url_filter as op7
 from gridloom.llm import op8_store as op8
 from gridloom.llm import op9_packing as op9
 from gridloom.llm import op10_licenses as op10
-from gridloom.llm import registry
+from gridloom.llm import parts, registry
 from gridloom.llm.components import components
 from gridloom.llm.divideskip import search, t_occurrence
 from gridloom.llm.tokens import encoder, vocabulary
@@ -425,6 +426,45 @@ def test_store(spark, odd, empty, tmp_path):
     assert op8.store_and_read(empty).count() == 0
 
 
+def test_store_files(spark, odd, tmp_path, monkeypatch):
+    """Tasks write the store themselves, whole files only; by Spark's writer, where pyarrow doesn't know the file system, it has the same rows."""
+    op8.write_store(odd, f"file://{tmp_path}/own")
+    names = [p.name for x in ("chunks", "recipes") for p in (tmp_path / "own" / x).rglob("*") if p.is_file()]
+    assert names and all(re.fullmatch(r"part-\d+\.parquet", n) for n in names)
+
+    def unknown(path):
+        raise pa.ArrowInvalid("no such file system")
+
+    monkeypatch.setattr(parts, "placed", unknown)
+    op8.write_store(odd, f"file://{tmp_path}/other")
+    read = [(op8.chunks(spark, out).orderBy("digest").collect(), op8.recipes(spark, out).select("doc_id", "n_tokens", "digests", "lengths").orderBy("doc_id", "n_tokens", "digests").collect(), op8.verify(spark, out)) for out in (f"file://{tmp_path}/own", f"file://{tmp_path}/other")]
+    assert read[0] == read[1] and read[0][2]
+
+
+def test_failed_part(spark, tmp_path):
+    """A step that fails leaves no file."""
+    def step(batches):
+        for batch in batches:
+            yield "a", batch
+        raise ValueError("in between")
+
+    with pytest.raises(Exception, match="in between"):
+        parts.write_parts(spark.range(100), step, "id long", f"file://{tmp_path}/failed")
+    assert not [p for p in (tmp_path / "failed").rglob("*") if p.is_file()]
+    assert parts.write_parts(spark.range(0), lambda b: (("a", x) for x in b), "id long", f"file://{tmp_path}/none") == 0
+    assert parts.read_parts(spark, "id long", f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 300])
+def test_repeated_chunks(size):
+    """Equal digests on both sides of a batch's end, after rows of documents."""
+    rng = random.Random(size)
+    digests = [None] * 5 + sorted(rng.choices([rng.randbytes(16) for _ in range(40)], k=200))
+    batches = pa.table({"digest": pa.array(digests, pa.binary()), "n": list(range(205))}).to_batches(max_chunksize=size)
+    got = [(kind, r["digest"]) for kind, b in op8._once(iter(batches)) for r in b.to_pylist()]
+    assert got == [("document", None)] * 5 + [("chunk", d) for d in sorted(set(digests[5:]))]
+
+
 def test_crc_of_parts():
     rng = random.Random(1)
     for _ in range(30):
