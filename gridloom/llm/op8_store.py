@@ -112,11 +112,11 @@ def _chunks(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         )
 
 
-def _raw(digests: pa.Array) -> tuple[bytes, np.ndarray]:
-    """Digests one after the other, and where each begins; at last where they end."""
-    if not len(digests):
+def _raw(values: pa.Array) -> tuple[bytes, np.ndarray]:
+    """Binary values one after the other, and where each begins; at last where they end."""
+    if not len(values):
         return b"", np.zeros(1, dtype=np.int32)
-    own = digests.cast(pa.binary())
+    own = values.cast(pa.binary())
     at = np.frombuffer(own.buffers()[1], dtype="<i4")[own.offset : own.offset + len(own) + 1]
     return (own.buffers()[2] or pa.py_buffer(b""))[int(at[0]) : int(at[-1])].to_pybytes(), at - at[0]
 
@@ -254,13 +254,17 @@ def _checked(batches: Iterator[pa.RecordBatch], width: int, full: bool) -> Itera
     """The crc of each chunk's ids as 32-bit integers; raises if its bytes aren't those of its digest."""
     for batch in batches:
         sums, wide = [], []
-        for digest, n, data in zip(*(batch.column(c).to_pylist() for c in ("digest", "n_ids", "data")), strict=True):
-            if digest_of(data) != digest or len(data) != n * width:
+        raw, at = _raw(batch.column("data"))
+        if not np.array_equal(np.diff(at), batch.column("n_ids").to_numpy() * width):
+            raise ValueError("a chunk differs from its digest")
+        ids, data, ends = memoryview(np.frombuffer(raw, dtype=f"<u{width}").astype("<u4").tobytes()), memoryview(raw), at.tolist()
+        for digest, begin, end in zip(batch.column("digest").to_pylist(), ends[:-1], ends[1:], strict=True):
+            if digest_of(data[begin:end]) != digest:
                 raise ValueError("a chunk differs from its digest")
-            ids = np.frombuffer(data, dtype=f"<u{width}").astype("<u4")
-            sums.append(zlib.crc32(ids))
+            own = ids[4 * begin // width : 4 * end // width]
+            sums.append(zlib.crc32(own))
             if full:
-                wide.append(ids.tobytes())
+                wide.append(bytes(own))
         yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("n_ids"), pa.array(sums, pa.int64()), *([pa.array(wide, pa.binary())] if full else [])], ["digest", "n_ids", "crc", *["ids"] * full])
 
 

@@ -465,6 +465,24 @@ def test_repeated_chunks(size):
     assert got == [("document", None)] * 5 + [("chunk", d) for d in sorted(set(digests[5:]))]
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_checked_chunks(width):
+    """Sums and ids of chunks of a slice of a batch; other bytes, or another number of ids, are refused."""
+    rng = random.Random(width)
+    ids = [np.array([rng.randrange(1 << 8 * width) for _ in range(rng.randint(1, 90))], dtype="<u4") for _ in range(30)]
+    data = [x.astype(f"<u{width}").tobytes() for x in ids]
+
+    def checked(data, n, full=True):
+        batch = pa.RecordBatch.from_arrays([pa.array([op8.digest_of(x.astype(f"<u{width}").tobytes()) for x in ids], pa.binary()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["digest", "n_ids", "data"])
+        return [r for b in op8._checked(iter([batch.slice(0, 7), batch.slice(7, 0), batch.slice(7)]), width, full) for r in b.to_pylist()]
+
+    n = [len(x) for x in ids]
+    assert [(r["n_ids"], r["crc"], r["ids"]) for r in checked(data, n)] == [(len(x), zlib.crc32(x.tobytes()), x.tobytes()) for x in ids]
+    for bad in ((data[:9] + [bytes(len(data[9]))] + data[10:], n), (data, n[:9] + [n[9] + 1] + n[10:])):
+        with pytest.raises(ValueError, match="differs from its digest"):
+            checked(*bad)
+
+
 def test_crc_of_parts():
     rng = random.Random(1)
     for _ in range(30):
