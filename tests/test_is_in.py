@@ -1,6 +1,9 @@
 """Points in areas: where two edges bound an area, and where more or fewer do."""
 
 import random
+from collections import Counter
+
+import pytest
 
 from gridloom.operators import search
 
@@ -32,3 +35,43 @@ def test_any_edges(spark):
         assert len(got) == len(want) and set(got) == want
     plan = search.is_in(own, df, 16, 16)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")  # not an aggregate over all pairs
+
+
+def _plans(plan):
+    """A plan as it ran, and those below it."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    yield plan
+    for x in below:
+        yield from _plans(x)
+
+
+def _rectangle(area, s, n, w, e):
+    return [(area, s, w, s, e), (area, s, e, n, e), (area, n, e, n, w), (area, n, w, s, w)]
+
+
+def test_points_are_met_in_pieces(spark):
+    """A join makes a row for an area and a piece of points, not for each of their pairs."""
+    rng = random.Random(7)
+    points = [(i, rng.randrange(1000), rng.randrange(1000)) for i in range(4000)]
+    edges = [x for area in range(20) for x in _rectangle(area, -area, 1000 + area, -area, 1000 + area)]
+    own = spark.createDataFrame(points, "point_id long, lat long, lon long")
+    run = search.is_in(own, spark.createDataFrame(edges, "area_id long, lat1 long, lon1 long, lat2 long, lon2 long"), 256, 512)._jdf.queryExecution()
+    assert run.toRdd().count() == 4000 * 20
+    joined = [p.metrics().apply("numOutputRows").value() for p in _plans(run.executedPlan()) if p.nodeName().endswith("Join") and p.metrics().contains("numOutputRows")]
+    assert 0 < sum(joined) < 4000 * 20 / 8
+
+
+@pytest.mark.parametrize("sizes", [{}, {"PIECE": 3, "MOST_PIECES": 2, "MOST_PAIRS": 4}])
+def test_dense_cells(spark, monkeypatch, sizes):
+    """Many points in one place and on borders, some twice or without a place, and many areas over them; dense cells are divided."""
+    for k, v in sizes.items():
+        monkeypatch.setattr(search, k, v)
+    places = [(5, 5)] * 300 + [(a, b) for a in range(-9, 10) for b in range(-9, 10)]
+    points = [(i // 2 if i < 10 else i, *at) for i, at in enumerate(places)]
+    boxes = {area: (-(area % 7), area % 5 + 1, -(area % 4), area % 6 + 1) for area in range(40)}
+    want = Counter((p, area) for p, lat, lon in points for area, (s, n, w, e) in boxes.items() if s <= lat < n and w <= lon < e)
+    own = spark.createDataFrame([*points, (9000, None, 1), (9001, 1, None)], "point_id long, lat long, lon long")
+    df = spark.createDataFrame([x for area, box in boxes.items() for x in _rectangle(area, *box)], "area_id long, lat1 long, lon1 long, lat2 long, lon2 long")
+    for cell, width in ((16, 16), (4, 3)):
+        assert Counter(tuple(r) for r in search.is_in(own, df, cell, width).collect()) == want
